@@ -90,3 +90,45 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+
+@query
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.minhash import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op1_minhash"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.o)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, x.component_id, d.doc_id = x.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id) x USING (doc_id)
+"""
+
+
+@query
+def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.embedding import links
+
+    return links(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+ORACLE_SQL["op7_embedding"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id, vec_id AS o FROM v UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.o),
+x AS (SELECT vec_id, min(o) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM x LEFT JOIN n ON a = vec_id
+"""
