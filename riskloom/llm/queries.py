@@ -132,3 +132,10 @@ n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM x LEFT JOIN n ON a = vec_id
 """
+
+
+@query
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.ppm import scored
+
+    return scored(table(spark, sf_dir, "documents"))
