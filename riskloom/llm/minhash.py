@@ -225,3 +225,20 @@ def deduplicated(docs: DataFrame, text: str = "text", size: int = 5, percent: in
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = out.select("doc_id", "n_shingles", whole.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def representatives(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of docs that deduplicated() keeps, with their columns.
+
+    Of rows that repeat a doc_id and its set one stays; texts without words, and rows with a null
+    doc_id, have no copies and all stay.
+    """
+    marked = deduplicated(docs, text, size, percent)
+    dropped = marked.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct()
+    rest = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    again = marked.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = staged(again, "minhash-repeated")
+    if again.isEmpty():
+        return rest
+    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return rest.join(again, "doc_id", "left_anti").unionByName(one.select("_row.*"))

@@ -139,3 +139,17 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.ppm import scored
 
     return scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_linkrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.linkrank import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.wrapper import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
