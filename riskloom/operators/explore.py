@@ -113,10 +113,10 @@ def missing(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         complete = complete & ~null[c]
     total = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(complete, 1)).alias("complete_rows"), *[F.count(F.when(null[c], 1)).alias(f"m{k}") for k, c in enumerate(columns)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{k}").alias("missing")) for k, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"m{k}").alias("missing")) for k, c in enumerate(columns)])
     out = total.select("n", "complete_rows", F.explode(rows).alias("r")).select("r.*", "n", "complete_rows")
     pct = 100.0 * F.col("missing") / F.col("n")
-    return out.select("column", "missing", pct.alias("pct"), F.when(pct > 10, "high").when(pct > 1, "moderate").otherwise("low").alias("severity"), "complete_rows")
+    return out.select("name", "missing", pct.alias("pct"), F.when(pct > 10, "high").when(pct > 1, "moderate").otherwise("low").alias("severity"), "complete_rows")
 
 
 def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,7 +147,7 @@ def design_check(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
         v = c.cast("double")
         good = F.when(finite(v), v)
         aggregates += [F.count(F.when(F.isnan(v) | v.isNull(), 1)).alias(f"a{k}"), F.count(F.when(F.abs(v) == float("inf"), 1)).alias(f"b{k}"), F.var_pop(good).alias(f"v{k}")]
-    rows = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"a{k}").alias("n_nan"), F.col(f"b{k}").alias("n_inf"), F.col(f"v{k}").alias("variance")) for k, n in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"a{k}").alias("n_nan"), F.col(f"b{k}").alias("n_inf"), F.col(f"v{k}").alias("variance")) for k, n in enumerate(columns)])
     out = df.agg(*aggregates).select(F.explode(rows).alias("r")).select("r.*")
-    problem = F.when((F.col("n_nan") > 0) | (F.col("n_inf") > 0), "not finite").when((F.col("variance") < 1e-10) & (F.col("column") != "Intercept"), "constant")
+    problem = F.when((F.col("n_nan") > 0) | (F.col("n_inf") > 0), "not finite").when((F.col("variance") < 1e-10) & (F.col("name") != "Intercept"), "constant")
     return out.withColumn("problem", F.coalesce(problem, F.lit("none")))

@@ -70,7 +70,7 @@ class Frame:
     """A design frame that is kept while a model is fitted: x, y, w, o."""
 
     def __init__(self, design: DataFrame, y: Column, w: Column, o: Column):
-        kept = design.select("x", y.cast("double").alias("y"), w.cast("double").alias("w"), o.cast("double").alias("o"))
+        kept = design.select(F.col("_x").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), o.cast("double").alias("o"))
         self.df = kept.persist(StorageLevel.MEMORY_AND_DISK)
         part = self.df.withColumn("part", F.spark_partition_id())
         row = part.agg(F.count(F.lit(1)), F.sum("w"), F.sum(F.col("w") * F.col("y")), F.max("part") + 1).first()
@@ -259,7 +259,7 @@ def _estimate_theta(frame: Frame, glm: GLM, names, signs, smooth) -> tuple[Famil
     link, theta, thetas = glm.link, 1.0, []
     for k in range(10):
         fit = irls(frame, family, link, names, 0.0, 0.0, glm.spec.intercept, signs, smooth, max_iter=25)
-        eta = _dot(fit.beta)
+        eta = _dot(fit.beta, "x")
         mu = link.inverse(eta + F.col("o"))
         if k == 0:
             s = frame.df.agg(F.sum((F.col("y") - mu) * (F.col("y") - mu) - mu), F.sum(mu * mu)).first()
@@ -284,10 +284,10 @@ def _estimate_theta(frame: Frame, glm: GLM, names, signs, smooth) -> tuple[Famil
     return family, thetas
 
 
-def _dot(beta: np.ndarray) -> Column:
-    """x . beta of the array column x."""
+def _dot(beta: np.ndarray, design: str = "_x") -> Column:
+    """The product of the design array with the coefficients."""
     literal = F.array(*[F.lit(float(b)) for b in beta])
-    return F.aggregate(F.zip_with("x", literal, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(design, literal, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
 def alpha_path(largest: float, n: int = 20, ratio: float = 1e-4) -> np.ndarray:
@@ -426,14 +426,14 @@ class Model:
         return [n for n, b in self.params.items() if abs(b) > 1e-10]
 
     def eta(self, df: DataFrame) -> DataFrame:
-        """df with the design in x and the linear predictor, offset included, in eta."""
+        """df with the design in _x and the linear predictor, offset included, in _eta."""
         out = self.spec.design(df)
         o = F.lit(0.0) if self.offset is None else F.col(self.offset).cast("double")
-        return out.withColumn("eta", _dot(self.fit.beta) + (F.log(o) if self.is_exposure else o))
+        return out.withColumn("_eta", _dot(self.fit.beta) + (F.log(o) if self.is_exposure else o))
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         """df with the mean; a projection without any action."""
-        out = self.eta(df).withColumn(name, self.link.inverse(F.col("eta")))
+        out = self.eta(df).withColumn(name, self.link.inverse(F.col("_eta")))
         return out.select(*df.columns, name)
 
     def residuals(self, df: DataFrame, kind: str = "deviance", name: str = "residual") -> DataFrame:
@@ -456,17 +456,17 @@ class Model:
 
     def score_test(self, df: DataFrame, z: Column) -> dict:
         """Rao test of a numeric column that the model lacks: one pass for U, z'Wz and X'Wz."""
-        scored = self.eta(df).withColumn("_mu", self.family.clamp(self.link.inverse(F.col("eta"))))
+        scored = self.eta(df).withColumn("_mu", self.family.clamp(self.link.inverse(F.col("_eta"))))
         g = self.link.slope(F.col("_mu"))
         v = self.family.variance(F.col("_mu"))
         w = (F.lit(1.0) if self.weights is None else F.col(self.weights)) / (v * g * g)
         y, zc = F.col(self.spec.response).cast("double"), z.cast("double")
-        cross = [F.sum(w * zc * F.get("x", F.lit(j))) for j in range(len(self.names))]
+        cross = [F.sum(w * zc * F.get("_x", F.lit(j))) for j in range(len(self.names))]
         row = scored.agg(F.sum(w * g * zc * (y - F.col("_mu"))), F.sum(w * zc * zc), *cross).first()
         u, zz, xz = row[0], row[1], np.array(row[2:])
         info = (zz - xz @ self.fit.cov @ xz) * self.scale
         stat = u * u / info if info > 1e-10 else 0.0
-        return {"statistic": stat, "df": 1, "p_value": chi2_sf(stat, 1)}
+        return {"statistic": float(stat), "df": 1, "p_value": chi2_sf(stat, 1)}
 
     def likelihood_ratio(self, null_deviance: float) -> dict:
         chi2, df = (null_deviance - self.fit.deviance) / self.scale, len(self.names) - int(self.spec.intercept)

@@ -1,4 +1 @@
-"""The registered queries."""
-
-QUERIES = {}
-ORACLE_SQL = {}
+"""Specification of models, and the registered queries."""

@@ -253,10 +253,10 @@ class ModelSpec:
         return out
 
     def design(self, df: DataFrame, training: dict | None = None) -> DataFrame:
-        """df with the design as an array column x."""
+        """df with the design as an array column _x."""
         for t in self.terms:
             df = t.prepared(df, training)
-        return df.withColumn("x", F.array(*[c.cast("double") for _, c in self.columns()]))
+        return df.withColumn("_x", F.array(*[c.cast("double") for _, c in self.columns()]))
 
     def inputs(self) -> list[str]:
         """The columns that scoring reads."""
