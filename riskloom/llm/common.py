@@ -61,6 +61,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to differ from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def dropped(df: DataFrame) -> None:
     """Delete what staged() wrote for df, once nothing reads it any more."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import lower_az, staged
+from riskloom.llm.common import free, lower_az, staged
 
 #: What separates words, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -117,7 +117,7 @@ def _left(rows: DataFrame, more: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text") -> DataFrame:
     """The rows of docs in which no window of an item occurs, with their columns."""
     marks, _ = hits(docs, items, size, text)
-    bad = marks.filter("window is not null").select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct()
+    own = [free(docs, "_doc_id"), free(docs, "_text_key")]
+    bad = marks.filter("window is not null").select(F.col("doc_id").alias(own[0]), F.col("text_key").alias(own[1])).distinct()
     key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    on = docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (key == F.col("_text_key"))
-    return docs.join(bad, on, "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[own[0]]) & (key == bad[own[1]]), "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER_BYTES, prepare, staged
+from riskloom.llm.common import LOWER_BYTES, free, prepare, staged
 from riskloom.llm.components import connected
 
 #: Coordinates of a signature, and how many of them must be equal.
@@ -234,11 +234,12 @@ def representatives(docs: DataFrame, text: str = "text", size: int = 5, percent:
     doc_id, have no copies and all stay.
     """
     marked = deduplicated(docs, text, size, percent)
-    dropped = marked.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    own = free(docs, "_id")
+    dropped = marked.filter("doc_id is not null and not kept").select(F.col("doc_id").alias(own)).distinct()
+    rest = docs.join(dropped, docs["doc_id"] == dropped[own], "left_anti")
     again = marked.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     again = staged(again, "minhash-repeated")
     if again.isEmpty():
         return rest
-    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return rest.join(again, "doc_id", "left_anti").unionByName(one.select("_row.*"))
+    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rest.join(again, "doc_id", "left_anti").unionByName(one.select("row.*"))

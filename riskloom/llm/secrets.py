@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import prepare, staged
+from riskloom.llm.common import free, prepare, staged
 
 
 @dataclass(frozen=True)
@@ -199,11 +199,11 @@ def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
     The findings come from scan(); they are joined back by content, and texts without any stay as
     they are. Overlapping spans are replaced as one.
     """
-    address = docs.withColumn("_blob", blob_id(F.col(text)))
+    blob, spans = free(docs, "_blob"), free(docs, "_spans")
+    address = docs.withColumn(blob, blob_id(F.col(text)))
     found, _ = scan(docs, text, text, rules)
-    held = found.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    held = held.groupBy("_blob").agg(F.first("_spans").alias("_spans"))
-    joined = address.join(held, "_blob", "left")
+    held = found.filter(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(spans))
+    joined = address.join(held, blob, "left")
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
         F.struct(
@@ -212,14 +212,14 @@ def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
         ),
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     clean = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         step,
         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, 2147483647)),
     )
-    out = joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(clean))
+    out = joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(clean))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        n = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kind))
+        n = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kind))
         out = out.withColumn("n_chars", n)
     return out.select(*docs.columns)
