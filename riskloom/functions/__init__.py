@@ -1 +1 @@
-
+"""Links, families and special functions."""

@@ -1 +1 @@
-
+"""Distributed operators and fits."""

@@ -1 +1 @@
-
+"""Tables, stored models and exports."""
