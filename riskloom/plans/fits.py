@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import splines
 from riskloom.operators.model import GLM, select_alpha
-from riskloom.plans.registry import lines, orders, query
+from riskloom.plans.registry import c, lines, orders, query
 from riskloom.plans.spec import ModelSpec
 
-X = F.col("x")
 FLAG = {"f": {"type": "categorical"}}
 
 
@@ -102,8 +101,8 @@ CASE WHEN x >= k1 THEN (x - k1) / (hi - k1) ELSE 0 END AS b3 FROM o, kn) SELECT
 def ft_bs_linear(spark: SparkSession, d: str) -> DataFrame:
     """B-splines of degree 1 with one interior knot: hats."""
     t = orders(spark, d)
-    knots = splines.bs_knots(t, X, 3, 1)
-    return _sums(t, list(zip(("b1", "b2", "b3"), splines.bs_basis(X, knots, 1), strict=True)))
+    knots = splines.bs_knots(t, c.x, 3, 1)
+    return _sums(t, list(zip(("b1", "b2", "b3"), splines.bs_basis(c.x, knots, 1), strict=True)))
 
 
 @query(
@@ -114,7 +113,7 @@ FROM u, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY k""",
 )
 def ft_ispline(spark: SparkSession, d: str) -> DataFrame:
     t = orders(spark, d)
-    return _sums(t, list(zip(splines.is_names("x", 4), splines.is_basis(X, splines.bs_knots(t, X, 4)), strict=True)))
+    return _sums(t, list(zip(splines.is_names("x", 4), splines.is_basis(c.x, splines.bs_knots(t, c.x, 4)), strict=True)))
 
 
 # fits with closed forms
@@ -240,7 +239,7 @@ def fit_score_equations(spark: SparkSession, d: str) -> DataFrame:
     t = lines(spark, d)
     m = GLM("y", {"x": {"type": "linear"}, "f": {"type": "categorical"}}, t, family="poisson").fit()
     r = F.col("y") - F.col("prediction")
-    return m.predict(t).agg(F.avg(r).alias("intercept"), F.avg(r * X).alias("x"), F.avg(r * F.when(F.col("f") == "N", 1.0).otherwise(0.0)).alias("f"))
+    return m.predict(t).agg(F.avg(r).alias("intercept"), F.avg(r * c.x).alias("x"), F.avg(r * F.when(F.col("f") == "N", 1.0).otherwise(0.0)).alias("f"))
 
 
 @query(
@@ -267,7 +266,7 @@ def inf_score_cont(spark: SparkSession, d: str) -> DataFrame:
     """Score test against a model of the mean (one constant level indicator stands for no term)."""
     t = lines(spark, d)
     m = GLM("y", {}, t, family="poisson").fit()
-    s = m.score_test(t, X)
+    s = m.score_test(t, c.x)
     return spark.createDataFrame([(s["statistic"], s["df"])], "statistic double, df long")
 
 

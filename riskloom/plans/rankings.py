@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import ranking
-from riskloom.plans.registry import orders, query
+from riskloom.plans.registry import c, orders, query
 
-Y, MU, E, KEY = F.col("y"), F.col("mu"), F.col("e"), F.col("id")
 _DECILE = "least((row_number() OVER (ORDER BY {by}, id) - 1) // greatest(count(*) OVER () // 10, 1), 9)"
 
 
@@ -18,7 +17,7 @@ _DECILE = "least((row_number() OVER (ORDER BY {by}, id) - 1) // greatest(count(*
 SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, sum(e) AS exposure, sum(y) AS actual, sum(mu) AS expected, sum(y) / sum(e) AS actual_rate, sum(mu) / sum(e) AS expected_rate, sum(y) / sum(mu) AS ae FROM h GROUP BY bin""",
 )
 def win_ae_decile(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.decile_table(orders(spark, d), Y, MU, E, KEY)
+    return ranking.decile_table(orders(spark, d), c.y, c.mu, c.e, c.id)
 
 
 @query(
@@ -29,7 +28,7 @@ SELECT CAST(bin AS INTEGER) AS bin, n, (y / e) / (sum(y) OVER () / sum(e) OVER (
 100 * sum(m) OVER w / sum(m) OVER () AS cumulative_expected_pct, 100 * sum(e) OVER w / sum(e) OVER () AS cumulative_exposure_pct FROM s WINDOW w AS (ORDER BY bin)""",
 )
 def win_lift_chart(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.lift_chart(orders(spark, d), Y, MU, E, KEY)
+    return ranking.lift_chart(orders(spark, d), c.y, c.mu, c.e, c.id)
 
 
 @query(
@@ -38,7 +37,7 @@ def win_lift_chart(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, avg(r) AS mean_ratio, sum(y) / sum(e) AS actual, sum(mu) / sum(e) AS model, sum(h.base) / sum(e) AS base, sum(y) / sum(mu) AS ae_model, sum(y) / sum(h.base) AS ae_base FROM h GROUP BY bin""",
 )
 def win_base_vs_model(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ratio_deciles(orders(spark, d), Y, MU, F.col("base"), E, KEY)
+    return ranking.ratio_deciles(orders(spark, d), c.y, c.mu, F.col("base"), c.e, c.id)
 
 
 _UNIT_BINS = """r AS (SELECT *, row_number() OVER (ORDER BY mu, id) AS rn, count(*) OVER () AS c FROM o),
@@ -52,18 +51,18 @@ s AS (SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, 1e0 * count(*) AS expos
 actual / expected + 1.96 * sqrt(greatest(actual, 1)) / expected AS ae_high FROM s""",
 )
 def win_calibration(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.calibration_bins(orders(spark, d), Y, MU, F.col("one"), KEY)
+    return ranking.calibration_bins(orders(spark, d), c.y, c.mu, F.col("one"), c.id)
 
 
 @query("bin n* exposure.2 actual.2 ae.5")
 def win_calibration_exposure(spark: SparkSession, d: str) -> DataFrame:
     """Greedy bins by exposure; the tests hold them against a sequential scan."""
-    return ranking.calibration_bins(orders(spark, d), Y, MU, E, KEY)
+    return ranking.calibration_bins(orders(spark, d), c.y, c.mu, c.e, c.id)
 
 
 @query("chi2.3 df*", "WITH {orders}, " + _UNIT_BINS + " SELECT sum((actual - expected) * (actual - expected) / expected) AS chi2, count(*) - 2 AS df FROM s")
 def win_hosmer_lemeshow(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.hosmer_lemeshow(ranking.calibration_bins(orders(spark, d), Y, MU, F.col("one"), KEY))
+    return ranking.hosmer_lemeshow(ranking.calibration_bins(orders(spark, d), c.y, c.mu, F.col("one"), c.id))
 
 
 @query(
@@ -74,7 +73,7 @@ s AS (SELECT sum(e / te * (2 * fy - y / ty) / 2) AS a, max(abs(fy - fe)) AS ks,
 SELECT 2 * a - 1 AS gini, a AS auc, ks, l1 AS lift_10, l2 AS lift_20 FROM s""",
 )
 def win_discrimination(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.discrimination(orders(spark, d), Y, MU, E, KEY)
+    return ranking.discrimination(orders(spark, d), c.y, c.mu, c.e, c.id)
 
 
 @query(
@@ -85,4 +84,4 @@ f AS (SELECT k, min(rn) AS rn FROM k JOIN r ON fe * 20 + 1e-9 >= k GROUP BY k)
 SELECT CAST(k AS INTEGER) AS step, fe AS exposure_share, fy AS actual_share, fm AS expected_share FROM f JOIN r USING (rn)""",
 )
 def win_lorenz(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.lorenz(orders(spark, d), Y, MU, E, KEY)
+    return ranking.lorenz(orders(spark, d), c.y, c.mu, c.e, c.id)

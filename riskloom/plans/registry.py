@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,16 @@ LINES = """l AS (
   FROM lineitem)"""
 
 
+class _Columns:
+    """c.name is the column of that name; made when used, as that needs a session."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+c = _Columns()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,10 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view o."""
     t = table(spark, sf_dir, "orders")
-    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    cust, k = F.col("o_custkey"), F.col("o_orderkey")
     return t.select(
-        k.alias("id"), (F.col("o_totalprice") / 1e3).alias("y"), (1e2 + 3e1 * (c % 7)).alias("mu"), (1e0 + (k % 4)).alias("e"), F.col("o_orderpriority").alias("f"),
-        F.col("o_orderstatus").alias("g"), (1e0 * (c % 97)).alias("x"), (9e1 + 5e1 * (c % 5)).alias("base"), F.lit(1.0).alias("one"),
+        k.alias("id"), (F.col("o_totalprice") / 1e3).alias("y"), (1e2 + 3e1 * (cust % 7)).alias("mu"), (1e0 + (k % 4)).alias("e"), F.col("o_orderpriority").alias("f"),
+        F.col("o_orderstatus").alias("g"), (1e0 * (cust % 97)).alias("x"), (9e1 + 5e1 * (cust % 5)).alias("base"), F.lit(1.0).alias("one"),
     )
 
 
@@ -68,15 +78,15 @@ def query(columns: str, sql: str | None = None) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
             return df.select(*[
-                (F.round(F.col(c).cast("double"), d) + 0.0).alias(c) if k == "double" else F.col(c).cast("long").alias(c) if k == "long" else F.col(c)
-                for c, k, d in kinds
+                (F.round(F.col(n).cast("double"), d) + 0.0).alias(n) if k == "double" else F.col(n).cast("long").alias(n) if k == "long" else F.col(n)
+                for n, k, d in kinds
             ])
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if sql:
             outer = ", ".join(
-                f"round(CAST({c} AS DOUBLE), {d}) + 0e0 AS {c}" if k == "double" else f"CAST({c} AS BIGINT) AS {c}" if k == "long" else c for c, k, d in kinds
+                f"round(CAST({n} AS DOUBLE), {d}) + 0e0 AS {n}" if k == "double" else f"CAST({n} AS BIGINT) AS {n}" if k == "long" else n for n, k, d in kinds
             )
             text = sql.replace("{orders}", ORDERS).replace("{lines}", LINES)
             ORACLE_SQL[f.__name__] = f"SELECT {outer} FROM ({text})"

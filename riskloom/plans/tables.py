@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from riskloom.functions.families import get_family, residual
 from riskloom.functions.links import LINKS
 from riskloom.operators import encoding, explore, factors, metrics, quantiles
-from riskloom.plans.registry import lines, orders, query, table
+from riskloom.plans.registry import c, lines, orders, query, table
 from riskloom.plans.spec import expression
 
-Y, MU, E, X, KEY = F.col("y"), F.col("mu"), F.col("e"), F.col("x"), F.col("id")
 _AE = "level n* exposure.2 actual.2 expected.2 loss.4 actual_mean.4 expected_mean.4 ae.5 ae_low.5 ae_high.5"
 _POISSON = "CASE WHEN y > 0 THEN 2 * (y * ln(y / mu) - (y - mu)) ELSE 2 * mu END"
 
@@ -28,7 +27,7 @@ SELECT *, actual / exposure AS actual_mean, expected / exposure AS expected_mean
   actual / expected + 1.96 * sqrt(greatest(actual, 1)) / expected AS ae_high FROM q""",
 )
 def agg_ae_level(spark: SparkSession, d: str) -> DataFrame:
-    return factors.ae_by_level(orders(spark, d), F.col("f"), Y, MU, E)
+    return factors.ae_by_level(orders(spark, d), F.col("f"), c.y, c.mu, c.e)
 
 
 @query(
@@ -53,7 +52,7 @@ SELECT CAST(h.bin AS INTEGER) AS bin, count(*) AS n, min(lower) AS lower, min(up
 FROM h JOIN iv ON iv.bin = h.bin GROUP BY h.bin""",
 )
 def agg_ae_bin(spark: SparkSession, d: str) -> DataFrame:
-    return factors.ae_by_bin(orders(spark, d), X, Y, MU, E)
+    return factors.ae_by_bin(orders(spark, d), c.x, c.y, c.mu, c.e)
 
 
 @query(
@@ -63,7 +62,7 @@ t AS (SELECT *, 100 * deviance / sum(deviance) OVER () AS pct, deviance / n AS m
 SELECT level, n, deviance, pct, mean_deviance, ae, mean_deviance > 1.5 * m OR abs(ae - 1) > 0.15 OR pct > 2 * sh AS is_problem FROM t""",
 )
 def agg_factor_deviance(spark: SparkSession, d: str) -> DataFrame:
-    return factors.factor_deviance(orders(spark, d), F.col("f"), get_family("poisson"), Y, MU)
+    return factors.factor_deviance(orders(spark, d), F.col("f"), get_family("poisson"), c.y, c.mu)
 
 
 @query(
@@ -72,7 +71,7 @@ def agg_factor_deviance(spark: SparkSession, d: str) -> DataFrame:
 avg(CASE WHEN y > mu THEN 1 ELSE -1 END * sqrt(greatest({_POISSON}, 0))) AS mean_residual FROM o GROUP BY f""",
 )
 def agg_level_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return factors.level_metrics(orders(spark, d), F.col("f"), get_family("poisson"), Y, MU, E)
+    return factors.level_metrics(orders(spark, d), F.col("f"), get_family("poisson"), c.y, c.mu, c.e)
 
 
 @query(
@@ -83,7 +82,7 @@ SELECT CAST(band AS INTEGER) AS band, count(*) AS n, min((ed[band + 1] + ed[band
 sum(y) / sum(mu) AS ae, avg(mu) AS partial_dependence FROM h GROUP BY band""",
 )
 def agg_band_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return factors.band_metrics(orders(spark, d), X, get_family("poisson"), Y, MU, E)
+    return factors.band_metrics(orders(spark, d), c.x, get_family("poisson"), c.y, c.mu, c.e)
 
 
 @query(
@@ -95,7 +94,7 @@ max(CASE WHEN rn = CAST(floor(0.5 * (c - 1) + 0.5) AS BIGINT) + 1 THEN y END) AS
 max(CASE WHEN rn = CAST(floor(0.99 * (c - 1) + 0.5) AS BIGINT) + 1 THEN y END) AS p99 FROM r""",
 )
 def agg_cont_stats(spark: SparkSession, d: str) -> DataFrame:
-    return factors.continuous_stats(orders(spark, d), Y)
+    return factors.continuous_stats(orders(spark, d), c.y)
 
 
 @query("level n* pct.4 is_rare", "SELECT p_brand AS level, count(*) AS n, 1e2 * count(*) / sum(count(*)) OVER () AS pct, 1e2 * count(*) / sum(count(*)) OVER () < 4 AS is_rare FROM part GROUP BY 1")
@@ -109,12 +108,12 @@ def agg_cat_dist(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(rn // size AS INTEGER) AS bin, count(*) AS n, avg(x) AS mean_x, avg(r) AS mean_residual FROM r GROUP BY 1""",
 )
 def agg_resid_pattern_cont(spark: SparkSession, d: str) -> DataFrame:
-    return factors.residual_pattern_continuous(orders(spark, d), X, Y - MU, KEY)[1]
+    return factors.residual_pattern_continuous(orders(spark, d), c.x, c.y - c.mu, c.id)[1]
 
 
 @query("correlation.6 r2.6 slope.6", "WITH {orders} SELECT corr(x, y - mu) AS correlation, corr(x, y - mu) * corr(x, y - mu) AS r2, regr_slope(y - mu, x) AS slope FROM o")
 def agg_resid_trend(spark: SparkSession, d: str) -> DataFrame:
-    return factors.residual_pattern_continuous(orders(spark, d), X, Y - MU, KEY)[0]
+    return factors.residual_pattern_continuous(orders(spark, d), c.x, c.y - c.mu, c.id)[0]
 
 
 @query(
@@ -124,7 +123,7 @@ t AS (SELECT sum(n) AS n, count(*) AS k, (sum(s * s / n) - sum(s) * sum(s) / sum
 SELECT eta AS eta_squared, (eta / (k - 1)) / ((1 - eta) / (n - k)) AS f_statistic, k, n, m AS mean_abs_level FROM t""",
 )
 def agg_resid_pattern_cat(spark: SparkSession, d: str) -> DataFrame:
-    return factors.eta_squared(orders(spark, d), F.col("f"), Y - MU)
+    return factors.eta_squared(orders(spark, d), F.col("f"), c.y - c.mu)
 
 
 @query(
@@ -134,7 +133,7 @@ t AS (SELECT sum(n) AS n, count(*) AS k, (sum(s * s / w) - sum(s) * sum(s) / sum
 SELECT eta AS eta_squared, (eta / (k - 1)) / ((1 - eta) / (n - k)) AS f_statistic, k, n FROM t""",
 )
 def agg_uni_anova_f(spark: SparkSession, d: str) -> DataFrame:
-    return factors.eta_squared(orders(spark, d), F.col("f"), Y / E, E)
+    return factors.eta_squared(orders(spark, d), F.col("f"), c.y / c.e, c.e)
 
 
 @query(
@@ -146,7 +145,7 @@ SELECT k AS cells, n, b / w AS r2, (b / (k - 1)) / ((w - b) / (n - k)) AS f_stat
 )
 def agg_interaction_strength(spark: SparkSession, d: str) -> DataFrame:
     t = orders(spark, d)
-    return factors.interaction_strength(t, quantiles.discretized(t, X), F.col("f"), Y - MU)
+    return factors.interaction_strength(t, quantiles.discretized(t, c.x), F.col("f"), c.y - c.mu)
 
 
 @query(
@@ -156,12 +155,12 @@ t AS (SELECT count(*) AS k, sum(n) AS n, sum(s * s / w) - sum(s) * sum(s) / sum(
 SELECT k AS cells, n, b / v AS r2, (b / (k - 1)) / ((v - b) / (n - k)) AS f_statistic FROM t""",
 )
 def agg_interaction_response(spark: SparkSession, d: str) -> DataFrame:
-    return factors.interaction_strength(orders(spark, d), F.col("f"), F.col("g"), Y / E, E)
+    return factors.interaction_strength(orders(spark, d), F.col("f"), F.col("g"), c.y / c.e, c.e)
 
 
 @query("level n* prediction.4 relativity.5", "WITH {orders}, s AS (SELECT f AS level, count(*) AS n, avg(mu) AS prediction FROM o GROUP BY f) SELECT *, prediction / first_value(prediction) OVER (ORDER BY level) AS relativity FROM s")
 def agg_pd_cat(spark: SparkSession, d: str) -> DataFrame:
-    return factors.partial_dependence_levels(orders(spark, d), F.col("f"), MU)
+    return factors.partial_dependence_levels(orders(spark, d), F.col("f"), c.mu)
 
 
 @query(
@@ -172,7 +171,7 @@ SELECT level, n_train, ae_train, n_test, ae_test, coalesce(abs(ae_train - ae_tes
 )
 def jn_level_union(spark: SparkSession, d: str) -> DataFrame:
     t = orders(spark, d)
-    return factors.level_union(t.filter(KEY % 3 > 0), t.filter(KEY % 3 == 0), F.col("f"), Y, MU)
+    return factors.level_union(t.filter(c.id % 3 > 0), t.filter(c.id % 3 == 0), F.col("f"), c.y, c.mu)
 
 
 # exploration
@@ -184,7 +183,7 @@ def jn_level_union(spark: SparkSession, d: str) -> DataFrame:
 count(*) FILTER (y = 0) AS zeros, 1e2 * count(*) FILTER (y = 0) / count(*) AS zero_pct, quantile_cont(y / e, 0.01) AS p1, quantile_cont(y / e, 0.25) AS p25, quantile_cont(y / e, 0.5) AS p50, quantile_cont(y / e, 0.99) AS p99 FROM o""",
 )
 def agg_response_stats(spark: SparkSession, d: str) -> DataFrame:
-    return explore.response_stats(orders(spark, d), Y, E)
+    return explore.response_stats(orders(spark, d), c.y, c.e)
 
 
 @query(
@@ -195,7 +194,7 @@ SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, min(x) AS x_min, max(x) AS x_
 100 * sum(e) / sum(sum(e)) OVER () < 1 AS is_thin FROM h GROUP BY bin""",
 )
 def agg_factor_stats_cont(spark: SparkSession, d: str) -> DataFrame:
-    return explore.continuous_table(orders(spark, d), X, Y, E)
+    return explore.continuous_table(orders(spark, d), c.x, c.y, c.e)
 
 
 @query(
@@ -205,7 +204,7 @@ c AS (SELECT n, (xy / w - x / w * (y / w)) / sqrt((xx / w - x / w * (x / w)) * (
 SELECT n, c AS correlation, c * c AS r2, c * c / ((1 - c * c) / (n - 2)) AS f_statistic FROM c""",
 )
 def agg_uni_corr_f(spark: SparkSession, d: str) -> DataFrame:
-    return explore.weighted_correlation(orders(spark, d), X, Y, E)
+    return explore.weighted_correlation(orders(spark, d), c.x, c.y, c.e)
 
 
 @query(
@@ -279,7 +278,7 @@ def agg_cramers_v(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT 'y', 0, 0, w, 'none' FROM s UNION ALL SELECT 'c', 0, 0, 0, 'constant' FROM s""",
 )
 def agg_design_check(spark: SparkSession, d: str) -> DataFrame:
-    return explore.design_check(lines(spark, d), {"x": X, "y": Y, "c": F.lit(1.0)})
+    return explore.design_check(lines(spark, d), {"x": c.x, "y": c.y, "c": F.lit(1.0)})
 
 
 # projections
@@ -327,10 +326,10 @@ UNION ALL SELECT 'inverse', sum(1 / (x + 0.1)), sum(1 / (x + 0.2)), sum(-1 / ((x
 )
 def prj_links(spark: SparkSession, d: str) -> DataFrame:
     """Sums of each link, its inverse and its slope."""
-    m = X + 0.1
+    m = c.x + 0.1
     aggregates = []
     for k, link in LINKS.items():
-        aggregates += [F.sum(link.link(m)).alias(f"{k}_v"), F.sum(link.inverse(X + 0.2 if k == "inverse" else X)).alias(f"{k}_i"), F.sum(link.slope(m)).alias(f"{k}_s")]
+        aggregates += [F.sum(link.link(m)).alias(f"{k}_v"), F.sum(link.inverse(c.x + 0.2 if k == "inverse" else c.x)).alias(f"{k}_i"), F.sum(link.slope(m)).alias(f"{k}_s")]
     rows = [F.struct(F.lit(k).alias("name"), F.col(f"{k}_v").alias("value"), F.col(f"{k}_i").alias("inverse"), F.col(f"{k}_s").cast("double").alias("slope")) for k in LINKS]
     return lines(spark, d).agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -346,7 +345,7 @@ def prj_expression(spark: SparkSession, d: str) -> DataFrame:
 @query("bin n* total.2", "WITH {orders}, q AS (SELECT quantile_cont(x, [.2, .4, .6, .8]) AS ed FROM o) SELECT CAST(len(list_filter(ed, lambda v: x >= v)) AS INTEGER) AS bin, count(*) AS n, sum(y) AS total FROM o, q GROUP BY 1")
 def prj_discretize(spark: SparkSession, d: str) -> DataFrame:
     t = orders(spark, d)
-    return t.groupBy(quantiles.discretized(t, X).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(Y).alias("total"))
+    return t.groupBy(quantiles.discretized(t, c.x).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(c.y).alias("total"))
 
 
 # losses
@@ -359,8 +358,8 @@ def prj_discretize(spark: SparkSession, d: str) -> DataFrame:
     + ", sum(e * -(b * ln(t + 0.01) + (1 - b) * ln(1 - (t + 0.01)))) / sum(e) AS logloss FROM l",
 )
 def agg_losses(spark: SparkSession, d: str) -> DataFrame:
-    own = [metrics.loss(k, Y, MU, E, **({"theta": 2.0} if k == "negbinomial" else {})).alias(k) for k in ("mse", "rmse", "mae", "poisson", "gamma", "tweedie", "negbinomial")]
-    return lines(spark, d).agg(*own, metrics.loss("logloss", F.col("b"), F.col("t") + 0.01, E).alias("logloss"))
+    own = [metrics.loss(k, c.y, c.mu, c.e, **({"theta": 2.0} if k == "negbinomial" else {})).alias(k) for k in ("mse", "rmse", "mae", "poisson", "gamma", "tweedie", "negbinomial")]
+    return lines(spark, d).agg(*own, metrics.loss("logloss", F.col("b"), F.col("t") + 0.01, c.e).alias("logloss"))
 
 
 @query(
@@ -369,12 +368,12 @@ def agg_losses(spark: SparkSession, d: str) -> DataFrame:
 SELECT n, d AS deviance, d / n AS mean_deviance, c AS pearson_chi2, c / (n - 3) AS dispersion, ll AS log_likelihood, -2 * ll + 6 AS aic, -2 * ll + 3 * ln(n) AS bic FROM s""",
 )
 def agg_metrics_poisson(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.dataset_metrics(lines(spark, d), get_family("poisson"), Y, MU, 3)
+    return metrics.dataset_metrics(lines(spark, d), get_family("poisson"), c.y, c.mu, 3)
 
 
 @query("n* deviance.2 log_likelihood.2", "WITH {lines}, s AS (SELECT count(*) AS n, sum((y - mu) * (y - mu)) AS d FROM l) SELECT n, d AS deviance, -0.5 * (n * ln(2 * pi() * (d / (n - 3))) + (n - 3)) AS log_likelihood FROM s")
 def agg_metrics_gaussian(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.dataset_metrics(lines(spark, d), get_family("gaussian"), Y, MU, 3)
+    return metrics.dataset_metrics(lines(spark, d), get_family("gaussian"), c.y, c.mu, 3)
 
 
 @query(
@@ -383,22 +382,22 @@ def agg_metrics_gaussian(spark: SparkSession, d: str) -> DataFrame:
 SELECT min(n) AS n, sum((a - 1) * ln(y) - y * a / mu - a * ln(mu / a) - lgamma(a)) AS log_likelihood FROM l, s""",
 )
 def agg_metrics_gamma(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.dataset_metrics(lines(spark, d), get_family("gamma"), Y, MU, 3)
+    return metrics.dataset_metrics(lines(spark, d), get_family("gamma"), c.y, c.mu, 3)
 
 
 @query("log_likelihood.2", "WITH {lines} SELECT sum(lgamma(y + 2) - lgamma(2) - lgamma(y + 1) + 2 * ln(2 / (mu + 2)) + y * ln(mu / (mu + 2))) AS log_likelihood FROM l")
 def agg_loglik_negbinomial(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.dataset_metrics(lines(spark, d), get_family("negbinomial", 2.0), Y, MU, 3)
+    return metrics.dataset_metrics(lines(spark, d), get_family("negbinomial", 2.0), c.y, c.mu, 3)
 
 
 @query("null_deviance.3", f"WITH {{lines}}, r AS (SELECT sum(y) / sum(e) AS r FROM l), o AS (SELECT y, r * e AS mu FROM l, r) SELECT sum({_POISSON}) AS null_deviance FROM o")
 def agg_null_deviance(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.null_deviance(lines(spark, d), get_family("poisson"), Y, None, F.log(E))
+    return metrics.null_deviance(lines(spark, d), get_family("poisson"), c.y, None, F.log(c.e))
 
 
 @query("actual.2 expected.2 ae.6 exposure.2", "WITH {orders} SELECT sum(y) AS actual, sum(mu) AS expected, sum(y) / sum(mu) AS ae, sum(e) AS exposure FROM o")
 def agg_calib_total(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.calibration_total(orders(spark, d), Y, MU, E)
+    return metrics.calibration_total(orders(spark, d), c.y, c.mu, c.e)
 
 
 @query(
@@ -407,7 +406,7 @@ def agg_calib_total(spark: SparkSession, d: str) -> DataFrame:
 SELECT mean, sqrt(a) AS std, mn AS min, mx AS max, b / pow(a, 1.5) AS skewness, c / (a * a) - 3 AS kurtosis FROM s""",
 )
 def agg_resid_summary(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.moments(orders(spark, d), Y - MU)
+    return metrics.moments(orders(spark, d), c.y - c.mu)
 
 
 # quantiles
@@ -423,7 +422,7 @@ UNION ALL SELECT 'linear', p, (SELECT quantile_cont(y, 0.5) FROM o) FROM p WHERE
 )
 def q_conventions(spark: SparkSession, d: str) -> DataFrame:
     t, ps = orders(spark, d), [0.05, 0.25, 0.5, 0.9]
-    rows = [(k, p, v) for k, f in (("floor", quantiles.floor_rank), ("round", quantiles.round_rank), ("linear", quantiles.linear)) for p, v in zip(ps, f(t, Y, ps), strict=True)]
+    rows = [(k, p, v) for k, f in (("floor", quantiles.floor_rank), ("round", quantiles.round_rank), ("linear", quantiles.linear)) for p, v in zip(ps, f(t, c.y, ps), strict=True)]
     return spark.createDataFrame(rows, "kind string, p double, value double")
 
 
@@ -437,15 +436,15 @@ FROM o, p WINDOW b AS (PARTITION BY f ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDI
 @query("id encoded.5", _ORDERED.replace("SUM_Y", "sum(y)").replace("SUM_E", "count(*)").replace("SIZE", "count(*)"))
 def win_te_ordered(spark: SparkSession, d: str) -> DataFrame:
     t = orders(spark, d)
-    _, prior = encoding.target_stats(t, F.col("f"), Y)
-    return encoding.target_ordered(t, F.col("f"), Y, [[KEY]], prior)
+    _, prior = encoding.target_stats(t, F.col("f"), c.y)
+    return encoding.target_ordered(t, F.col("f"), c.y, [[c.id]], prior)
 
 
 @query("id encoded.5", _ORDERED.replace("SUM_Y", "sum(y)").replace("SUM_E", "sum(e)").replace("SIZE", "sum(e)"))
 def win_te_ordered_exposure(spark: SparkSession, d: str) -> DataFrame:
     t = orders(spark, d)
-    _, prior = encoding.target_stats(t, F.col("f"), Y, E)
-    return encoding.target_ordered(t, F.col("f"), Y, [[KEY]], prior, 1.0, E)
+    _, prior = encoding.target_stats(t, F.col("f"), c.y, c.e)
+    return encoding.target_ordered(t, F.col("f"), c.y, [[c.id]], prior, 1.0, c.e)
 
 
 @query(
@@ -456,8 +455,8 @@ SELECT id, coalesce((s + 2 * p) / (n + 2), p) AS encoded FROM o LEFT JOIN s ON k
 def ft_te_interaction(spark: SparkSession, d: str) -> DataFrame:
     """Target encoding of two factors, learnt on four fifths without one level and applied to the rest."""
     t, key = orders(spark, d), encoding.interaction_key(F.col("f"), F.col("g"))
-    stats, prior = encoding.target_stats(t.filter((KEY % 5 > 0) & (F.col("f") != "1-URGENT")), key, Y)
-    return encoding.target_apply(t.filter(KEY % 5 == 0), key, stats, prior, 2.0)
+    stats, prior = encoding.target_stats(t.filter((c.id % 5 > 0) & (F.col("f") != "1-URGENT")), key, c.y)
+    return encoding.target_apply(t.filter(c.id % 5 == 0), key, stats, prior, 2.0)
 
 
 @query("p_partkey encoded.6", "WITH s AS (SELECT p_brand AS b, count(*) AS n FROM part WHERE p_partkey % 2 = 0 AND p_brand <> 'Brand#11' GROUP BY 1) SELECT p_partkey, coalesce(1e0 * n / (SELECT max(n) FROM s), 0) AS encoded FROM part LEFT JOIN s ON b = p_brand")
