@@ -161,8 +161,9 @@ def irls(
                 penalty[s, s] += v * m
         fit_penalty = penalty
         beta = _step(gram, xz, penalty, alpha, l1_ratio, free, signs, smooth, beta)
-    f, size = _pass(family, link, beta, frame.mean, p)
-    out = frame.sums(f, size)
+    if not converged:  # else the last pass was at these coefficients
+        f, size = _pass(family, link, beta, frame.mean, p)
+        out = frame.sums(f, size)
     gram = out[: p * p].reshape(p, p)
     try:
         cov = np.linalg.inv(gram + (fit_penalty if smooth or (alpha and not l1_ratio) else 0))

@@ -96,10 +96,7 @@ class Term:
     def fit(self, df: DataFrame, y: str, exposure: Column | None) -> None:
         """Learn levels, knots or encodings from df."""
         x = self.variables[0] if self.variables else None
-        if self.kind == "categorical" and not self.options.get("levels"):
-            found = sorted(r[0] for r in df.select(level(F.col(x)).alias("l")).distinct().collect())
-            self.state["levels"] = found
-        elif self.kind == "bs":
+        if self.kind == "bs":
             n = self.options.get("k") or self.options.get("df") or 5
             self.state["knots"] = sp.bs_knots(df, F.col(x), n, self.options.get("degree", 3), self.options.get("boundary_knots"), self.options.get("knots"))
             self.state["n"] = len(self.state["knots"]) - self.options.get("degree", 3) - 1
@@ -229,7 +226,17 @@ class ModelSpec:
         order["categorical"] = order["linear"]  # main effects stay in the order they are given
         return cls(response, sorted(found, key=lambda t: order[t.group]), intercept)
 
+    def _fit_levels(self, df: DataFrame) -> None:
+        """The sorted levels of all factors, in one pass; each level is a column of the design."""
+        parts = [p for t in self.terms for p in (t, *t.parts) if p.kind == "categorical" and not p.options.get("levels")]
+        names = sorted({p.variables[0] for p in parts})
+        if names:
+            found = dict(zip(names, df.agg(*[F.collect_set(level(F.col(x))) for x in names]).first(), strict=True))
+            for p in parts:
+                p.state["levels"] = sorted(found[p.variables[0]])
+
     def fit(self, df: DataFrame, exposure: Column | None = None) -> ModelSpec:
+        self._fit_levels(df)
         for t in self.terms:
             t.fit(df, self.response, exposure)
         return self
