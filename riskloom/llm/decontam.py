@@ -65,7 +65,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text")
     )
     prefix = found.filter("least > 0").select(F.col("rarest.part").alias("part"), F.col("rarest.offset").alias("offset"), "window")
     # the empty word stands behind each document's last and gives its row
-    end = docs.sparkSession.createDataFrame([("", 0, None)], "part string, offset int, window array<string>")
+    end = docs.sparkSession.range(1).select(F.lit("").alias("part"), F.lit(0).alias("offset"), F.lit(None).cast("array<string>").alias("window"))
     prefix = staged(prefix.unionByName(end), "decontam-prefix")
     prefix = _bounded(prefix, F.coalesce(F.octet_length(F.array_join("window", " ")), F.lit(0)) + 16 * F.greatest(F.size("window"), F.lit(0)))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), words(F.col(text)).alias("w"))
