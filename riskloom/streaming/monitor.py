@@ -15,6 +15,7 @@ def score_stream(model, stream: DataFrame, name: str = "prediction") -> DataFram
 
 def monitor(stream: DataFrame, time: str, factor: Column, y: Column, mu: Column, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """A/E by event-time window and level; rows later than `late` are dropped by the watermark."""
-    rows = stream.withWatermark(time, late).groupBy(F.window(time, window), level(factor).alias("level"))
+    stamped = stream.withColumn(time, F.col(time).cast("timestamp"))
+    rows = stamped.withWatermark(time, late).groupBy(F.window(time, window), level(factor).alias("level"))
     out = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("actual"), F.sum(mu).alias("expected"))
     return out.select(F.col("window.start").alias("start"), "level", "n", "actual", "expected", (F.col("actual") / F.col("expected")).alias("ae"))
