@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 DIRECT_PARTIALS = 64
 
 
-def row_sums(design: DataFrame, f: Callable[..., np.ndarray], size: int, partitions: int = 1) -> np.ndarray:
-    """Sum over batches of f(x, y, w, o), a vector of `size`; design has x (array), y, w, o.
+def row_sums(design: DataFrame, f: Callable[..., np.ndarray], size: int, partitions: int = 1, more: tuple[str, ...] = ()) -> np.ndarray:
+    """Sum over batches of f(x, y, w, o, *more), a vector of `size`; design has x (array), y, w, o and what more names.
 
     Each task adds up its batches in numpy and hands on one vector. Vectors of many tasks are summed
     in groups of about their square root before the driver adds the rest, in order of partition.
@@ -25,16 +25,16 @@ def row_sums(design: DataFrame, f: Callable[..., np.ndarray], size: int, partiti
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                y, w, o = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+                rest = [b.column(k).to_numpy(zero_copy_only=False) for k in range(1, b.num_columns)]
                 x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                total += f(x, y, w, o)
+                total += f(x, *rest)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
     def grouped(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(v, np.float64) for v in sorted(table.column("v").to_pylist()))
         return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
 
-    parts = design.select("x", "y", "w", "o").mapInArrow(partial, "v binary")
+    parts = design.select("x", "y", "w", "o", *more).mapInArrow(partial, "v binary")
     if partitions > DIRECT_PARTIALS:
         groups = math.ceil(math.sqrt(partitions))
         parts = parts.groupBy((F.spark_partition_id() % groups).alias("g")).applyInArrow(grouped, "v binary")

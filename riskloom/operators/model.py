@@ -79,6 +79,12 @@ class Frame:
     def sums(self, f, size: int) -> np.ndarray:
         return row_sums(self.df, f, size, self.parts)
 
+    def part(self, df: DataFrame) -> Frame:
+        """Some of the rows, as a frame of their own."""
+        out = object.__new__(Frame)
+        out.__dict__.update(self.__dict__, df=df)
+        return out
+
     def close(self) -> None:
         self.df.unpersist()
 
@@ -295,23 +301,28 @@ def alpha_path(largest: float, n: int = 20, ratio: float = 1e-4) -> np.ndarray:
     return np.exp(np.linspace(math.log(largest), math.log(largest * ratio), n))
 
 
+def fold_of(folds: int) -> Column:
+    """The fold of a row of a frame: a hash of what it holds, so that equal rows share one."""
+    return F.pmod(F.xxhash64("x", "y", "w", "o"), F.lit(folds)).cast("int")
+
+
 def cv_path(frame: Frame, glm: GLM, names: list[str], signs: np.ndarray, l1_ratio: float, folds: int, n_alphas: int) -> list[dict]:
     """Mean and standard error of the validation deviance for each alpha, folds by a hash of the row.
 
-    For the Gaussian identity model one pass gives every fold's statistics and no more is read;
+    One pass gives every fold's X'WX and X'Wz. For the Gaussian identity model nothing more is read;
     otherwise each fold is fitted along the path with warm starts.
     """
     p, family, link = len(names), glm.family, glm.link
-    folded = frame.df.withColumn("fold", F.pmod(F.xxhash64("x", "y", "w", "o"), F.lit(folds)).cast("int"))
-    parts = []
-    for k in range(folds):
-        part = object.__new__(Frame)
-        part.df, part.parts = folded.filter(F.col("fold") == k), frame.parts
-        part.n, part.sum_w, part.mean = frame.n, frame.sum_w, frame.mean
-        parts.append(part)
+    folded = frame.df.withColumn("fold", fold_of(folds))
     f, size = _pass(get_family("gaussian"), get_link("identity"), np.zeros(p), frame.mean, p)
-    each = [q.sums(f, size) for q in parts]
-    whole = np.sum(each, axis=0)
+
+    def by_fold(x, y, w, o, fold):
+        parts = [(x[own], y[own], w[own], o[own]) for own in (fold == k for k in range(folds))]
+        return np.concatenate([np.append(f(*part), part[2].sum()) for part in parts])
+
+    stats = row_sums(folded, by_fold, folds * (size + 1), frame.parts, ("fold",)).reshape(folds, size + 1)
+    each, sizes = stats[:, :-1], np.maximum(stats[:, -1], 1e-300)
+    whole = each.sum(axis=0)
     gram, xz = whole[: p * p].reshape(p, p), whole[p * p : p * p + p]
     first = int(glm.spec.intercept)
     centred = np.abs(xz - gram[:, 0] * frame.mean)[first:] if first else np.abs(xz)
@@ -333,15 +344,12 @@ def cv_path(frame: Frame, glm: GLM, names: list[str], signs: np.ndarray, l1_rati
             gk, bk, zk = each[k][: p * p].reshape(p, p), each[k][p * p : p * p + p], each[k][-3]
             scores[k] = [(zk - 2 * b @ bk + b @ gk @ b) for b in betas]
         else:
-            train = object.__new__(Frame)
-            train.df, train.parts = folded.filter(F.col("fold") != k), frame.parts
-            train.n, train.sum_w, train.mean = frame.n, frame.sum_w, frame.mean
+            train = frame.part(folded.filter(F.col("fold") != k))
             beta = None
             for a in alphas:
                 beta = irls(train, family, link, names, a, l1_ratio, glm.spec.intercept, signs, None, beta, 10, 1e-5).beta
                 betas.append(beta)
-            scores[k] = parts[k].sums(_deviance_pass(family, link, betas), n_alphas)
-    sizes = np.array([q.df.agg(F.sum("w")).first()[0] or 1.0 for q in parts])
+            scores[k] = frame.part(folded.filter(F.col("fold") == k)).sums(_deviance_pass(family, link, betas), n_alphas)
     means = scores / sizes[:, None]
     return [
         {"alpha": float(a), "deviance": float(m), "se": float(s)}

@@ -116,6 +116,24 @@ def test_cross_validation(data):
     assert len(p.path) == 3 and all(math.isfinite(r["deviance"]) for r in p.path)
 
 
+def test_path_of_ridge_is_that_of_numpy(data):
+    from riskloom.operators.model import Frame, fold_of
+
+    _, df = data
+    m = GLM("u", {"x": LINEAR, "z": LINEAR}, df).fit(cv=3, n_alphas=5)
+    frame: Frame = m.frame
+    rows = frame.df.withColumn("fold", fold_of(3)).toPandas()
+    x, y, fold = np.array(rows["x"].tolist()), rows["y"].to_numpy(), rows["fold"].to_numpy()
+    for r in m.path:
+        s = np.diag([0.0, r["alpha"], r["alpha"]])
+        each = []
+        for k in range(3):
+            a, b = x[fold != k], y[fold != k]
+            beta = np.linalg.solve(a.T @ a + s, a.T @ b)
+            each.append(((y[fold == k] - x[fold == k] @ beta) ** 2).mean())
+        assert r["deviance"] == pytest.approx(np.mean(each)) and r["se"] == pytest.approx(np.std(each, ddof=1) / 3**0.5)
+
+
 def test_smooth_terms(data):
     frame, df = data
     m = GLM("u", {"x": {"type": "bs", "k": 9}}, df).fit()
