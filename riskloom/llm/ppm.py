@@ -1,27 +1,27 @@
 """Scoring texts by prediction by partial matching over a byte-context trie.
 
-A text is its tokens (words, A-Z lower-cased) and one end. The trie's longest context is the start
-of the token: a token that the training texts have is predicted whole from its count. Otherwise the
-model escapes, with the probability that the share of tokens seen once gives, and spells the token's
-bytes and a closing space with contexts of up to ORDER bytes within the token, trained on the
-distinct words. There a symbol with count c among n in a context with d kinds has the probability
-c/(n+d), an escape d/(n+d); symbols that the longer context has are excluded after an escape, and
-behind the empty context stands a uniform choice among the bytes left.
-
-Counts of whole training texts are gathered in Spark and stay distributed; each word is looked up in
-a join, for which the words of a chunk of documents are first brought to one row each, with the
-documents and counts it has there, so that a word of every document adds one row per chunk. Only
-tables whose size bytes bound (two bytes' counts) reach the driver.
+A text is its tokens (words, A-Z lower-cased) and one end; as a byte stream, the words with a space
+between them, and a closing END. The trie is trained on the streams of all training texts, with how
+often each symbol follows each context of up to ORDER bytes; contexts run across the borders of
+words, and a text begins behind ORDER ends. Every byte of every text is coded with it: a symbol with
+count c among n in a context with d kinds has the probability c/(n+d), an escape d/(n+d); symbols
+that the longer context has are excluded after an escape, and behind the empty context stands a
+uniform choice among the bytes left. The base score is of single tokens: log10((c+0.1)/(n+0.1(v+1))).
+
+Texts are put into chunks. A chunk sends each distinct gram (ORDER+1 bytes) and word once; counts
+are summed in Spark and stay distributed; code lengths are computed in shards of two context bytes;
+and the chunk gets back the lengths of its grams and the counts of its words, so that a word or gram
+of every document adds one row per chunk. Only tables whose size bytes bound (two bytes' counts)
+reach the driver.
 
 Defined results: null and empty texts have one token, the end; a null id counts as held out (crc32
 of the empty text is 0); repeated rows count, and are scored, each; without training texts every
-token is unknown and is spelled with equal probabilities; an empty table gives an empty result.
+byte has the same probability; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,23 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER_BYTES, prepare, ragged, remainder, staged
+from riskloom.llm.common import LOWER_BYTES, prepare, remainder, remainder_col, staged
 
-#: Bytes of context within a token.
+#: Bytes of context.
 ORDER = 5
-#: Distinct words that a task counts before it hands them on.
-FLUSH_WORDS = 300_000
-#: Documents and bytes of text in a chunk.
-CHUNK_DOCS, CHUNK_BYTES = 8192, 12 << 20
+#: Bytes of streams in a chunk, in a piece of it whose grams are counted at once, and in one that is coded at once.
+CHUNK_BYTES, PIECE_BYTES, CODED_BYTES = 24 << 20, 2 << 20, 1 << 19
+#: Texts in a chunk.
+CHUNK_DOCS = 65_536
 END = b"\n"  # no word has white space
-_SPACE = 32
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, which word) of the ORDER+1 bytes that end at each byte of each word and its closing space."""
+def grams(words: list[bytes], closing: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
+    """(codes, which word) of the ORDER+1 bytes that end at each byte of each word and its closing byte, which also stands before it."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = np.frombuffer(b"".join(b" " * ORDER + w + b" " for w in words), np.uint8).astype(np.int64)
+    raw = np.frombuffer(b"".join(closing * ORDER + w + closing for w in words), np.uint8).astype(np.int64)
     code = np.zeros(len(raw) - ORDER, np.int64)
     for k in range(ORDER + 1):
         code = code << 8 | raw[k : len(raw) - ORDER + k]
@@ -107,176 +106,165 @@ def code_lengths(codes: np.ndarray, counts: np.ndarray, asked: np.ndarray, pairs
     return total
 
 
-def count_words(docs: DataFrame, text: str, modulus: int) -> DataFrame:
-    """(word, c): every distinct token of docs with its count in training texts."""
+def chunked(docs: DataFrame, text: str, modulus: int) -> DataFrame:
+    """chunk, doc_id, training, stream of each row of docs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return out
+        import uuid
 
+        chunk, n, held = uuid.uuid4().int >> 65, 0, 0
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = (raw or b"").translate(LOWER_BYTES).split()
-                if remainder(doc_id, modulus):
-                    counts.update(words)
-                    counts[END] += 1
-                else:
-                    for w in {*words, END}:
-                        counts.setdefault(w, 0)
-                if len(counts) > FLUSH_WORDS:
-                    yield rows()
-        if counts:
-            yield rows()
-
-    partial = docs.select("doc_id", text).mapInArrow(run, "word binary, c long")
-    return partial.groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def spelled(words: DataFrame) -> DataFrame:
-    """(word, spelling): log10 probability of the bytes of each word of c = 0, from those of the others."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = [(w, c > 0) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w != END]
-            code, of = grams([w for w, _ in some])
-            known = np.fromiter((k for _, k in some), bool, len(some))[of] if some else np.zeros(0, bool)
-            gram, inverse = np.unique(code, return_inverse=True)
-            n = np.bincount(inverse, known, len(gram)).astype(np.int64)
-            unknown = np.bincount(inverse, ~known, len(gram)) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), pa.array(unknown)], names=["code", "n", "asked"])
-
-    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [w for w in batch.column(0).to_pylist() if w != END]
-            code, of = grams(own)
-            yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in of], pa.binary()), pa.array(code)], names=["word", "code"])
+            ids = batch.column(0).to_pylist()
+            chunks, streams = [], []
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                stream = b" ".join((raw or b"").translate(LOWER_BYTES).split())
+                if n >= CHUNK_DOCS or held >= CHUNK_BYTES:
+                    chunk, n, held = uuid.uuid4().int >> 65, 0, 0
+                n, held = n + 1, held + len(stream)
+                chunks.append(chunk)
+                streams.append(stream)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int64()), batch.column(0), pa.array([remainder(x, modulus) > 0 for x in ids], pa.bool_()), pa.array(streams, pa.binary())],
+                names=["chunk", "doc_id", "training", "stream"],
+            )
 
-    spark = words.sparkSession
-    table = words.mapInArrow(counted, "code long, n long, asked boolean").groupBy("code").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
-    table = staged(table, "ppm-grams")
+    return docs.select("doc_id", text).mapInArrow(run, f"chunk long, doc_id {kind}, training boolean, stream binary")
+
+
+def _pieces(streams: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Neighbours of about CODED_BYTES."""
+    first, held = 0, 0
+    for k, x in enumerate(streams):
+        held += len(x)
+        if held >= CODED_BYTES:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(streams):
+        yield first, len(streams)
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bool]]]:
+    """(chunk, streams, training) of neighbouring rows of one chunk, of about PIECE_BYTES."""
+    own, streams, training, held = None, [], [], 0
+    for batch in batches:
+        for chunk, t, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if streams and (chunk != own or held >= PIECE_BYTES):
+                yield own, streams, training
+                streams, training, held = [], [], 0
+            own, held = chunk, held + len(x)
+            streams.append(x)
+            training.append(t)
+    if streams:
+        yield own, streams, training
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct gram of a chunk once, with its count in training texts."""
+    own, codes, counts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(codes), 100_000):
+            c = codes[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), own)), pa.array(c), pa.array(counts[a : a + 100_000])], names=["chunk", "code", "n"])
+
+    for chunk, streams, training in _by_chunk(batches):
+        if chunk != own:
+            yield from rows()
+            own, codes, counts = chunk, codes[:0], counts[:0]
+        for of_training in (True, False):
+            code, _ = grams([x for x, t in zip(streams, training, strict=True) if t == of_training], END)
+            gram, n = np.unique(code, return_counts=True)
+            codes, inverse = np.unique(np.concatenate([codes, gram]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, n * of_training]), len(codes)).astype(np.int64)
+    yield from rows()
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct word of a chunk once, with its count in training texts."""
+    own, counts = None, Counter()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        words = list(counts)
+        for a in range(0, len(words), 100_000):
+            w = words[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([own] * len(w), pa.int64()), pa.array(w, pa.binary()), pa.array([counts[x] for x in w], pa.int64())], names=["chunk", "word", "n"])
+
+    for chunk, streams, training in _by_chunk(batches):
+        if chunk != own:
+            yield from rows()
+            own, counts = chunk, Counter()
+        for x, t in zip(streams, training, strict=True):
+            if t:
+                counts.update(x.split())
+            else:
+                counts.update(dict.fromkeys(x.split(), 0))
+    yield from rows()
+
+
+def coded(table: DataFrame) -> DataFrame:
+    """(code, length): log10 of the probability of each gram's last byte, from (code, n)."""
     low = table.filter("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
     pairs = np.zeros((256, 256))
     for row in low:
         pairs[divmod(row["pair"], 256)] = row["n"]
-    shared = spark.sparkContext.broadcast(pairs)
+    shared = table.sparkSession.sparkContext.broadcast(pairs)
 
     def modelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if parts:
-            code, n, asked = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if asked.any():
-                yield pa.RecordBatch.from_arrays([pa.array(code[asked]), pa.array(code_lengths(code, n, code[asked], shared.value))], names=["code", "length"])
+            code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(code_lengths(code, n, code, shared.value))], names=["code", "length"])
 
     # all contexts of two bytes and more that end in the same two bytes are in one partition
-    lengths = table.repartition(F.shiftright("code", 8).bitwiseAND(0xFFFF)).mapInArrow(modelled, "code long, length double")
-    places = words.filter("c = 0").mapInArrow(looked, "word binary, code long")
-    return places.join(lengths, "code").groupBy("word").agg(F.sum("length").alias("spelling"))
-
-
-def postings(docs: DataFrame, text: str) -> DataFrame:
-    """Rows of words and of documents.
-
-    A word's row has chunk, word, and the places and counts it has in the chunk's documents. A
-    document's row has chunk, its one place, doc_id and n_tokens.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        ids: list = []
-        numbers: dict[bytes, int] = {}
-        parts: list[np.ndarray] = []
-        sizes: list[int] = []
-        held = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            chunk = uuid.uuid4().int >> 65
-            n = len(ids)
-            none = lambda k, size: pa.nulls(size, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * n, pa.int64()), none(pa.binary(), n), ragged([np.array([k]) for k in range(n)], pa.int32()), none(pa.list_(pa.int32()), n), pa.array(ids, batch_kind[0]), pa.array(sizes, pa.int64())],
-                names=names,
-            )
-            where = np.repeat(np.arange(n), [len(p) for p in parts])
-            pair, count = np.unique(np.concatenate(parts) * n + where, return_counts=True)
-            if len(pair) == 0:
-                return
-            word, place = pair // n, (pair % n).astype(np.int32)
-            ends = np.searchsorted(word, np.arange(len(numbers) + 1)).astype(np.int32)
-            for a in range(0, len(numbers), 50_000):
-                b = min(a + 50_000, len(numbers))
-                cut, first, last = ends[a : b + 1] - ends[a], ends[a], ends[b]
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x[first:last].astype(np.int32))) for x in (place, count)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * (b - a), pa.int64()), pa.array(spelled_out[a:b], pa.binary()), *lists, none(batch_kind[0], b - a), none(pa.int64(), b - a)],
-                    names=names,
-                )
-
-        names = ["chunk", "word", "places", "counts", "doc_id", "n_tokens"]
-        batch_kind: list[pa.DataType] = []
-        for batch in batches:
-            batch_kind[:] = [batch.schema.field(0).type]
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = (raw or b"").translate(LOWER_BYTES).split()
-                ids.append(doc_id)
-                sizes.append(len(words) + 1)
-                parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
-                held += len(raw or b"")
-                if len(ids) >= CHUNK_DOCS or held >= CHUNK_BYTES:
-                    spelled_out = list(numbers)
-                    yield from rows()
-                    held = 0
-                    for x in (ids, numbers, parts, sizes):
-                        x.clear()
-        if ids:
-            spelled_out = list(numbers)
-            yield from rows()
-
-    schema = f"chunk long, word binary, places array<int>, counts array<int>, doc_id {kind}, n_tokens long"
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return table.select("code", "n").repartition(F.shiftright("code", 8).bitwiseAND(0xFFFF)).mapInArrow(modelled, "code long, length double")
 
 
 def scored(docs: DataFrame, text: str = "text", modulus: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     prepare(docs.sparkSession)
-    words = staged(count_words(docs, text, modulus), "ppm-words")
-    n, v, once, ends = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))
-    ).first()
-    escape = min(max(once, 0.5) / n, 0.5) if n else 1.0
+    rows = staged(chunked(docs, text, modulus), "ppm-streams")
+    streams = rows.select("chunk", "training", "stream")
+    ends = rows.filter("training").count()
+    every = F.collect_list("chunk").alias("chunks")
+    words = streams.mapInArrow(_word_counts, "chunk long, word binary, n long").groupBy("word").agg(F.sum("n").alias("n"), every)
+    words = staged(words, "ppm-words")
+    tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    n, v = tokens + ends, kinds + (ends > 0)
     below = n + 0.1 * (v + 1)
-    c = F.col("c")
-    base = F.log10((c + 0.1) / F.lit(below))
-    told = words.join(spelled(words), "word", "left").select(
-        "word",
-        (c > 0).alias("known"),
-        base.alias("base"),
-        F.when(c > 0, F.log10(c / F.lit(float(n or 1))) + math.log10(1 - escape or 1.0))
-        .otherwise(F.coalesce("spelling", F.lit(0.0)) + math.log10(escape))
-        .alias("own"),
-    )
-    posted = staged(postings(docs, text), "ppm-postings")
-    each = posted.filter("word is not null").join(told, "word").select("chunk", "known", "base", "own", F.explode(F.arrays_zip("places", "counts")).alias("p"))
-    k = F.col("p.counts")
-    sums = each.groupBy("chunk", F.col("p.places").alias("place")).agg(
-        F.sum(F.when(F.col("known"), k).otherwise(0)).alias("known"), F.sum(k * F.col("base")).alias("base"), F.sum(k * F.col("own")).alias("own")
-    )
-    rows = posted.filter("word is null").select("chunk", F.col("places")[0].alias("place"), "doc_id", "n_tokens")
-    out = rows.join(sums, ["chunk", "place"], "left")
-    end_base = math.log10((ends + 0.1) / below)
-    end_own = math.log10(ends / n) + math.log10(1 - escape or 1.0) if ends else math.log10(escape)
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+    table = streams.mapInArrow(_gram_counts, "chunk long, code long, n long").groupBy("code").agg(F.sum("n").alias("n"), every)
+    table = staged(table, "ppm-grams")
+    none = lambda kind: F.lit(None).cast(kind)
+    told = table.select("code", "chunks").join(coded(table), "code").select(F.explode("chunks").alias("chunk"), "code", none("binary").alias("word"), F.col("length").alias("value"))
+    told = told.unionByName(words.select(F.explode("chunks").alias("chunk"), none("long").alias("code"), "word", F.col("n").cast("double").alias("value")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        value = right.column("value").to_numpy()
+        gram = right.column("code").is_valid().to_numpy()
+        codes, at = np.unique(right.column("code").drop_null().to_numpy(), return_index=True)
+        lengths = value[gram][at]
+        numbers = {w: k for k, w in enumerate(right.column("word").drop_null().to_pylist())}
+        count = value[~gram]
+        base = np.log10((count + 0.1) / below)
+        del gram, value
+        texts = left.column("stream").to_pylist()
+        score, known, plain, sizes = np.zeros(len(texts)), np.full(len(texts), int(ends > 0)), np.full(len(texts), math.log10((ends + 0.1) / below)), np.ones(len(texts), np.int64)
+        for k, x in enumerate(texts):
+            own = np.fromiter(map(numbers.__getitem__, x.split()), np.int64)
+            sizes[k] += len(own)
+            known[k] += np.count_nonzero(count[own])
+            plain[k] += base[own].sum()
+        for a, b in _pieces(texts):
+            code, of = grams(texts[a:b], END)
+            own, inverse = np.unique(code, return_inverse=True)
+            score[a:b] = np.bincount(of, lengths[np.searchsorted(codes, own)][inverse], b - a)
+        pa.default_memory_pool().release_unused()  # the next chunk's tables come beside this one's
+        columns = [left.column("doc_id"), pa.array(sizes), pa.array(known, pa.int64()), pa.array(plain), pa.array(score)]
+        return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = rows.select("chunk", "doc_id", "stream").groupBy("chunk").cogroup(told.groupBy("chunk"))
+    out = out.applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(
-        "doc_id",
-        (fold == 0).alias("held_out"),
-        "n_tokens",
-        (F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce("base", F.lit(0.0)) + end_base).alias("base_score"),
-        (F.coalesce("own", F.lit(0.0)) + end_own).alias("score"),
-    )
+        "doc_id", (remainder_col(F.col("doc_id"), modulus) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
+    )

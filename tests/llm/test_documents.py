@@ -188,6 +188,55 @@ def test_scores(docs, rows, empty):
     assert scored(empty).count() == 0
 
 
+def ppm_plain(rows, order=5):
+    """Total log10 probability of each text, byte by byte, from dictionaries of contexts."""
+    import math
+    import zlib
+
+    streams = [(d, b" ".join(x.encode() for x in brute.WORD.findall(brute.low(t))) + b"\n") for d, t in rows]
+    follow = {}
+    for d, s in streams:
+        if zlib.crc32(b"" if d is None else str(d).encode()) % 10:
+            s = b"\n" * order + s
+            for i in range(order, len(s)):
+                for k in range(order + 1):
+                    own = follow.setdefault(s[i - k : i], {})
+                    own[s[i]] = own.get(s[i], 0) + 1
+
+    def coded(context, symbol):
+        total, gone = 0.0, set()
+        for k in range(order, -1, -1):
+            left = {x: c for x, c in follow.get(context[order - k :], {}).items() if x not in gone}
+            n, d = sum(left.values()), len(left)
+            if symbol in left:
+                return total + math.log10(left[symbol] / (n + d))
+            if left:
+                total += math.log10(d / (n + d))
+            gone |= set(left)
+        return total - math.log10(256 - len(gone))
+
+    out = []
+    for d, s in streams:
+        s = b"\n" * order + s
+        out.append((d, sum(coded(s[i - order : i], s[i]) for i in range(order, len(s)))))
+    return out
+
+
+def test_scores_follow_bytes_and_order(spark, monkeypatch):
+    """Against a plain model over the whole streams; texts of one bag of words differ by their order."""
+    from riskloom.llm import ppm
+
+    rows = [(d, t) for d, t in texts(3, 25) if not t or len(t) < 3000] + [(4000, "stone river amber night"), (4001, "night amber river stone"), (4002, "ünseen wörds")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ppm, "CHUNK_DOCS", 7)  # several chunks
+    out = ppm.scored(df).select("doc_id", "score").collect()
+    key = lambda r: (str(r[0]), r[1])
+    for a, b in zip(sorted(map(tuple, out), key=key), sorted(ppm_plain(rows), key=key), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-6)
+    score = dict(map(tuple, out))
+    assert abs(score[4000] - score[4001]) > 0.01
+
+
 def test_byte_model_sums_to_one():
     """All continuations of a context have probabilities that sum to 1."""
     import numpy as np
