@@ -3,7 +3,9 @@
 A page is a stream of block tags and text. Streams of one host are aligned one after the other:
 equal tags are matched (longest common subsequence of siblings, level by level), neighbours with one
 tag become a repeated group, runs of tags that come again become a repeated group of several, what
-only one side has becomes optional, and text becomes a slot. The result is the host's wrapper. Its
+only one side has becomes optional, and text becomes a slot. Texts that a slot has on all pages with
+that slot, two different pages at least, are the template's and no main text; pages of one text count
+as one. Slots and template texts are the host's wrapper. Its
 slots below an article or main element, and not below what menus, headers, footers, sidebars,
 notices, adverts, forms and comments are marked with, hold the main text; where a wrapper has no such
 element, or a page none of it, all slots that are not marked so do. Each page is then read along its
@@ -25,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,23 +154,48 @@ def events(page: str) -> Iterator[tuple[str, str]]:
 # A node of a wrapper is [label, optional, repeated, children]; a group of several has the label "(" and a slot "#".
 
 
-def page_tree(page: str) -> list:
-    """The wrapper of one page: its children, with repeats found."""
+def page_tree(page: str, texts: dict[str, set[int]] | None = None) -> list:
+    """The wrapper of one page: its children, with repeats found; texts gets the hashes of each unmarked slot's texts."""
     top: list = []
     open_ = [top]
+    path = [""]
     for kind, value in events(page):
         if kind == "<":
             node = [value, False, False, []]
             open_[-1].append(node)
             open_.append(node[3])
+            path.append(f"{path[-1]}>{value}")
         elif kind == ">":
+            path.pop()
             children = open_.pop()
             children[:] = folded(children)
         else:
             open_[-1].append(["#", False, False, []])
+            if texts is not None and ">!" not in path[-1]:
+                texts.setdefault(path[-1], set()).add(xxhash.xxh3_64_intdigest(value))
     return folded(top)
 
 
+# A template is {path: (page, texts)}: the texts that all pages with this slot have, and the one page (its texts' hash) or None for several.
+
+
+def page_template(texts: dict[str, set[int]]) -> dict[str, tuple[int | None, set[int]]]:
+    """The template of one page, from page_tree()'s texts."""
+    page = xxhash.xxh3_64_intdigest(repr(sorted((p, sorted(t)) for p, t in texts.items())))
+    return {p: (page, t) for p, t in texts.items()}
+
+
+def joined(a: dict[str, tuple[int | None, set[int]]], b: dict[str, tuple[int | None, set[int]]]) -> dict[str, tuple[int | None, set[int]]]:
+    """The template of two templates' pages; adds b to a."""
+    for path, (page, texts) in b.items():
+        if path in a:
+            own, common = a[path]
+            a[path] = (own if own == page else None, common & texts)
+        else:
+            a[path] = (page, texts)
+    return a
+
+
 def _name(node: list) -> object:
     return (node[0], *map(_name, node[3])) if node[0] == "(" else node[0]
 
@@ -268,8 +296,8 @@ def _in_article(path: str) -> bool:
     return any(x.partition(".")[0] in ("article", "main") or x.partition(".")[0].endswith("*") for x in path.split(">"))
 
 
-def main_text(page: str, article: set[str] | frozenset[str], plain: set[str] | frozenset[str]) -> str:
-    """The text of a page's slots in article, or in plain if none of it is there; one line per block."""
+def main_text(page: str, article: set[str] | frozenset[str], plain: set[str] | frozenset[str], template: dict[str, list[int]] | None = None) -> str:
+    """The text of a page's slots in article, or in plain if none of it is there, but for the template's; one line per block."""
     path = [""]
     first, second = [], []
     for kind, value in events(page):
@@ -277,6 +305,8 @@ def main_text(page: str, article: set[str] | frozenset[str], plain: set[str] | f
             path.append(f"{path[-1]}>{value}")
         elif kind == ">":
             path.pop()
+        elif template and path[-1] in template and xxhash.xxh3_64_intdigest(value) in template[path[-1]]:
+            continue
         elif path[-1] in article:
             first.append(value)
         elif path[-1] in plain:
@@ -285,38 +315,48 @@ def main_text(page: str, article: set[str] | frozenset[str], plain: set[str] | f
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) of url, html."""
+    """(host, wrapper as JSON: its tree, and the template's texts by path) of url, html."""
     prepare(pages.sparkSession)
     rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, list] = {}
+        said: dict[str, dict] = {}
         seen: set[tuple[str, str]] = set()
         for batch in batches:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tree = page_tree(page)
+                texts: dict[str, set[int]] = {}
+                tree = page_tree(page, texts)
+                said[name] = joined(said.get(name, {}), page_template(texts))
                 key = (name, json.dumps(tree))
-                if key in seen:
-                    continue
-                seen.add(key)
-                own[name] = aligned(own[name], tree) if name in own else tree
+                if key not in seen:
+                    seen.add(key)
+                    own[name] = aligned(own[name], tree) if name in own else tree
                 if len(own) > 5000 or len(seen) > 50_000:
-                    yield _batch(own)
+                    yield _batch(own, said)
                     own.clear()
+                    said.clear()
                     seen.clear()
         if own:
-            yield _batch(own)
+            yield _batch(own, said)
 
-    def _batch(own: dict[str, list]) -> pa.RecordBatch:
-        made = [json.dumps(x) for x in own.values()]
+    def _batch(own: dict[str, list], said: dict[str, dict]) -> pa.RecordBatch:
+        made = [json.dumps([tree, {p: (page, sorted(t)) for p, (page, t) in sorted(said[name].items())}]) for name, tree in own.items()]
         return pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(made, pa.string())], names=["host", "wrapper"])
 
     def whole(table: pa.Table) -> pa.Table:
+        trees: set[str] = set()
+        said: dict = {}
+        for text in table.column("wrapper").to_pylist():
+            tree, more = json.loads(text)
+            trees.add(json.dumps(tree))
+            said = joined(said, {p: (page, set(t)) for p, (page, t) in more.items()})
         out: list | None = None
-        for text in sorted(set(table.column("wrapper").to_pylist())):
+        for text in sorted(trees):
             tree = json.loads(text)
             out = tree if out is None else aligned(out, tree)
-        return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps(out)]})
+        template = {p: sorted(t) for p, (page, t) in sorted(said.items()) if page is None and t}
+        return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps([out, template])]})
 
     return rows.mapInArrow(partial, "host string, wrapper string").groupBy("host").applyInArrow(whole, "host string, wrapper string")
 
@@ -330,14 +370,15 @@ def extracted(pages: DataFrame) -> DataFrame:
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
+        known: dict[str, tuple[frozenset[str], frozenset[str], dict[str, list[int]]]] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[wrapper] = tuple(map(frozenset, main_slots(json.loads(wrapper or "[]"))))
+                    tree, template = json.loads(wrapper or "[[], {}]")
+                    known[wrapper] = (*map(frozenset, main_slots(tree)), template)
                 texts.append(main_text(page or "", *known[wrapper]))
             new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["page_id", "url", "text", "n_chars"])

@@ -115,6 +115,22 @@ def test_main_text(spark):
     assert extracted(df.filter("page_id = -1")).count() == 0
 
 
+def test_template_texts(spark):
+    """A text that all of a host's pages have in a slot is no main text; it is where no other page tells."""
+    from riskloom.llm.wrapper import extracted
+
+    page = "<body><div><div>Brand of the day</div><div class=text><p>{}</p><p>Read on</p></div></div></body>"
+    words = ["amber", "river", "stone"]
+    rows = [(k, f"http://many/{k}", page.format(w)) for k, w in enumerate(words)]
+    rows += [(10, "http://one/", page.format("amber")), (11, "http://copies/1", page.format("amber")), (12, "http://copies/2", page.format("amber"))]
+    rows += [(20, "http://odd/1", page.format("amber")), (21, "http://odd/2", page.format("river")), (22, "http://odd/3", "<body><p>lost</p></body>"), (23, "http://odd/4", None)]
+    whole = "Brand of the day\namber\nRead on"
+    want = {0: "amber", 1: "river", 2: "stone", 10: whole, 11: whole, 12: whole, 20: "amber", 21: "river", 22: "lost", 23: ""}
+    for parts in (1, 4):
+        out = extracted(spark.createDataFrame(rows, PAGE_FIELDS).repartition(parts))
+        assert {r["page_id"]: r["text"] for r in out.collect()} == want
+
+
 def test_wrapper_inference():
     from riskloom.llm.wrapper import aligned, as_regex, page_tree
 
