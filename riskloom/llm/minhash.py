@@ -2,16 +2,17 @@
 
 Each distinct set of word shingles has a signature of COORDINATES minima. A coordinate and its value
 are a token; the documents that have a token are its posting list. Two sets are compared if at least
-MATCHES of their tokens are the same. Tokens are ordered by rarity, and a set is posted only under
+matches(percent) of their tokens are the same. Tokens are ordered by rarity, and a set is posted only under
 its prefix, as many of its rarest tokens as any partner must hit one of (those that no other set has
 count towards the prefix and post nothing). Sets that share a posting list, directly or over others,
 form a group; groups are cut into tiles of bounded size, and within a tile the lists of a set's
 prefix are merged, skipping sets that already are in its component, collisions are counted over all
-coordinates, and what reaches MATCHES is confirmed on the full sets. A tile gives a spanning forest
+coordinates, and what reaches them is confirmed on the full sets. A tile gives a spanning forest
 of its links, never the pairs within a group; components follow from the forests of all tiles.
 
 A pair at the threshold of 0.85 has 54.4 equal coordinates of 64 on average; that fewer than 40 are
-equal has a probability of about 2e-6, and less above the threshold.
+equal has a probability of about 2e-6, and less above the threshold. Other thresholds have as many
+matches as keep that probability at MISSED at most: 35 at 0.8.
 
 Defined results: a text without words (null, empty, white space) has an empty set and no links;
 one of fewer than five words is one shingle; equal sets (copies, repeated rows) are one node; rows
@@ -22,6 +23,7 @@ not kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import LOWER_BYTES, free, prepare, staged
 from riskloom.llm.components import connected
 
-#: Coordinates of a signature, and how many of them must be equal.
-COORDINATES, MATCHES = 64, 40
+#: Coordinates of a signature, and the share of pairs at the threshold that may have too few equal ones.
+COORDINATES, MISSED = 64, 2.5e-6
 #: Sets in a block; a tile has two blocks at most.
 BLOCK = 768
 #: Ids of sets in groups that are broadcast at most to pick their texts; beyond, texts are shuffled to them.
@@ -46,6 +48,16 @@ _B = _random.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _MIX = _random.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches(percent: int) -> int:
+    """How many coordinates must be equal, so that at most MISSED of the pairs at the threshold have fewer."""
+    p, below = percent / 100, 0.0
+    for k in range(COORDINATES):
+        below += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if below > MISSED:
+            return max(k, 1)
+    return COORDINATES
+
+
 class _WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
@@ -109,6 +121,7 @@ def sketches(docs: DataFrame, text: str = "text", size: int = 5) -> DataFrame:
 
 def linked(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(sketches, components): the second has node and root for each set that is linked to another text's."""
+    least = matches(percent)
     sketch = staged(sketches(docs, text, size), "minhash-sketches")
     sets = sketch.filter("signature is not null and doc_id is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.first("signature").alias("signature")
@@ -119,8 +132,8 @@ def linked(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = tokens.join(shared, "token").groupBy("node", "set_key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
-    own = own.filter(F.size("own") >= MATCHES)
-    prefix = own.select("node", "set_key", F.slice(F.col("own.token"), F.lit(1), F.size("own") - (MATCHES - 1)).alias("prefix"))
+    own = own.filter(F.size("own") >= least)
+    prefix = own.select("node", "set_key", F.slice(F.col("own.token"), F.lit(1), F.size("own") - (least - 1)).alias("prefix"))
     prefix = staged(prefix, "minhash-prefixes")
     # nodes of equal id (a repeated doc_id with other text) are one document
     posted = prefix.select("node", F.explode("prefix").alias("token"))
@@ -176,6 +189,8 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _tile_links(percent: int):
+    least = matches(percent)
+
     def run(table: pa.Table) -> pa.Table:
         names = {c: table.column(c).combine_chunks() for c in ("block", "node", "signature", "prefix", "shingles")}
         first, last = table.column("t1")[0].as_py(), table.column("t2")[0].as_py()
@@ -202,7 +217,7 @@ def _tile_links(percent: int):
             near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
             equal = (signature[near] == signature[i]).sum(axis=1)
             order = np.argsort(-equal, kind="stable")
-            for j in near[order[: int((equal >= MATCHES).sum())]]:
+            for j in near[order[: int((equal >= least).sum())]]:
                 if root[j] == root[i]:
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))

@@ -96,7 +96,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.minhash import deduplicated
 
-    return deduplicated(table(spark, sf_dir, "documents"))
+    return deduplicated(table(spark, sf_dir, "documents"), percent=85)
 
 
 ORACLE_SQL["op1_minhash"] = r"""

@@ -66,6 +66,17 @@ def test_near_copies_in_tiles(docs, rows, monkeypatch):
     assert got(minhash.deduplicated(docs), "doc_id", "n_shingles", "component_id", "kept") == brute.near_copies(rows)
 
 
+def test_near_copies_at_another_threshold(spark):
+    """Pairs at exactly 0.8 whose signatures have 37 to 39 equal coordinates of 64."""
+    from riskloom.llm.minhash import deduplicated, matches
+
+    rows = [(2 * k + j, " ".join(f"w{k}x{i}" for i in range(12)) + end) for k in (4168, 7715, 11277, 20812) for j, end in enumerate((" one", " two"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in got(deduplicated(df, percent=80).filter("kept"), "doc_id")} == {d for d, _ in rows if d % 2 == 0}
+    assert deduplicated(df, percent=85).filter("kept").count() == len(rows)
+    assert matches(85) == 40
+
+
 def test_representatives(docs, rows):
     from riskloom.llm.minhash import representatives
 
