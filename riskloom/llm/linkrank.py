@@ -6,7 +6,9 @@ starts at hosts with blocked pages and follows the links backwards, to who point
 whose share of distrust in the sum of both exceeds the threshold is blocked. Links are absolute
 references to another host in a page's html, summed per pair of hosts before they are shuffled on,
 so that a host with many pages is one row per partner. Ranks are sums over joins; their lineage is
-cut by a written table every few rounds.
+cut by a written table every few rounds, until between two such tables the ranks of both kinds change
+by less than the tolerance in sum and no host is reached for the first time. What is then missing of
+each host's rank is less than the tolerance; a host has a rank however far from the seeds it is.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule and the verdict
 allow; hosts that no seed reaches are allowed; repeated rows each get their verdict; null html has
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import lower_az, staged
+from riskloom.llm.common import dropped, lower_az, staged
 
 #: (verdict, host and path)
 RULES = (
@@ -34,9 +36,9 @@ RULES = (
 
 @dataclass(frozen=True)
 class Walk:
-    """rounds of following links; damping: the share of a host's rank that it hands on each round."""
+    """tolerance: the change at which following links ends; damping: the share of a host's rank that it hands on each round."""
 
-    rounds: int = 10
+    tolerance: float = 1e-9
     damping: float = 0.85
     threshold: float = 0.5
     cut_every: int = 5
@@ -84,12 +86,20 @@ def ranks(seeds: DataFrame, links: DataFrame, walk: Walk) -> DataFrame:
     whole = start.groupBy("kind").agg(F.sum("r").alias("whole"))
     start = staged(start.join(F.broadcast(whole), "kind").select("kind", "a", (F.col("r") / F.col("whole")).alias("r")), "linkrank-seeds")
     rank = start
-    if not steps.isEmpty():
-        for k in range(walk.rounds):
+    reached = rank.count()
+    follow = not steps.isEmpty()
+    while follow:
+        before = rank
+        for _ in range(walk.cut_every):
             moved = rank.join(steps, ["kind", "a"]).groupBy("kind", F.col("b").alias("a")).agg((F.sum(F.col("r") * F.col("share")) * walk.damping).alias("r"))
             rank = moved.unionByName(start.withColumn("r", F.col("r") * (1 - walk.damping))).groupBy("kind", "a").agg(F.sum("r").alias("r"))
-            if (k + 1) % walk.cut_every == 0:
-                rank = staged(rank, "linkrank-ranks")
+        rank = staged(rank, "linkrank-ranks")
+        moves = rank.unionByName(before.withColumn("r", -F.col("r"))).groupBy("kind", "a").agg(F.sum("r").alias("r"))
+        change = moves.agg(F.coalesce(F.sum(F.abs("r")), F.lit(0.0))).first()[0]
+        if before is not start:
+            dropped(before)
+        reached, last = rank.count(), reached
+        follow = change >= walk.tolerance or reached > last
     value = lambda k: F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)).alias(k)
     return rank.groupBy(F.col("a").alias("host")).agg(value("trust"), value("distrust"))
 

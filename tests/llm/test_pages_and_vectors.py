@@ -219,6 +219,21 @@ def judged_plain(rows, rules, damping=0.85, rounds=10):
     return sorted(((p, h, q, t, v or ("block" if h in bad else "allow")) for (p, _, _), (h, q), (t, v) in zip(rows, hosts, said, strict=True)), key=repr)
 
 
+def test_long_chains_of_links(spark):
+    """A host many links away from a blocked one is blocked; and ranks have settled."""
+    from riskloom.llm.linkrank import Walk, judged, ranks
+
+    rows = [(k, f"http://c{k}.info/", f"<a href=http://c{k + 1}.info/>x</a>" if k < 14 else "<a href=http://o.org/>x</a>") for k in range(15)]
+    rows += [(100, "http://o.org/es/", None), (101, "http://example.com/en/7", None)]
+    df = spark.createDataFrame(rows, PAGE_FIELDS).repartition(2)
+    out = {r["page_id"]: r["verdict"] for r in judged(df, walk=Walk(tolerance=0.5)).collect()}
+    assert {v for k, v in out.items() if k < 101} == {"block"} and out[101] == "allow"
+    seeds = spark.createDataFrame([("a", 1, 0)], "host string, trust long, distrust long")
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "a string, b string, w long")
+    rank = {r["host"]: r["trust"] for r in ranks(seeds, links, Walk(tolerance=1e-6, cut_every=15)).collect()}
+    assert rank == {"a": pytest.approx(0.15 / (1 - 0.85**2), abs=1e-6), "b": pytest.approx(0.15 * 0.85 / (1 - 0.85**2), abs=1e-6)}
+
+
 def test_url_verdicts(spark):
     from riskloom.llm.linkrank import RULES, judged
 
