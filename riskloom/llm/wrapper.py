@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +37,8 @@ from riskloom.llm.linkrank import host
 
 #: Bytes of wrappers' slots that are broadcast at most; beyond, pages are shuffled to them.
 BROADCAST_BYTES = 16 << 20
-#: Blocks within blocks beyond which a start tag only ends a line; its text stays in the slot around it.
+#: Blocks within blocks beyond which a block only ends a line and its text stays in the slot around it, but for
+#: the outermost that is marked as other than main text, or as an article; all are tracked, whatever their depth.
 DEEPEST = 150
 #: Pairs of siblings that are aligned one by one; longer lists are grouped by tag.
 ALIGN_PAIRS = 40_000
@@ -96,7 +98,9 @@ def _label(tag: str, attributes: str) -> str:
 
 def events(page: str) -> Iterator[tuple[str, str]]:
     """("<", label), (">", ""), ("#", text): starts and ends of blocks, balanced, and the text of each run between them."""
-    stack: list[str] = []
+    stack: list[tuple[str, str | None]] = []  # tags and the labels of those that are told
+    places: dict[str, list[int]] = {}  # of each tag in the stack
+    told = marked = articles = 0
     text: list[str] = []
     labels: dict[tuple[str, str], str] = {}
 
@@ -108,9 +112,13 @@ def events(page: str) -> Iterator[tuple[str, str]]:
                 yield "#", whole
 
     def close(depth: int) -> Iterator[tuple[str, str]]:
+        nonlocal told, marked, articles
         while len(stack) > depth:
-            stack.pop()
-            yield ">", ""
+            tag, label = stack.pop()
+            places[tag].pop()
+            if label is not None:
+                told, marked, articles = told - 1, marked - label.startswith("!"), articles - _in_article(label)
+                yield ">", ""
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -124,27 +132,31 @@ def events(page: str) -> Iterator[tuple[str, str]]:
             continue
         yield from run()
         if m[2]:
-            if tag in stack:
-                yield from close(len(stack) - 1 - stack[::-1].index(tag))
-            continue
-        if tag not in IN_PARAGRAPH and "p" in stack:
-            yield from close(len(stack) - 1 - stack[::-1].index("p"))
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] in ENDS.get(tag, ()):
-                yield from close(k)
-            elif tag not in ENDS or stack[k] in SCOPES.get(tag, ("table",)):
-                break
-        if len(stack) >= DEEPEST:
+            if places.get(tag):
+                yield from close(places[tag][-1])
             continue
+        if tag not in IN_PARAGRAPH and places.get("p"):
+            yield from close(places["p"][-1])
+        if tag in ENDS:
+            scope = max((places[x][-1] for x in SCOPES.get(tag, ("table",)) if places.get(x)), default=-1)
+            ended = [places[x][k] for x in ENDS[tag] if places.get(x) and (k := bisect_right(places[x], scope)) < len(places[x])]
+            if ended:
+                yield from close(min(ended))
         key = (tag, m[4] or "")
         label = labels.get(key)
         if label is None:
             label = labels[key] = _label(*key)
-        yield "<", label
+        shown = told < DEEPEST or not marked and (label.startswith("!") or not articles and _in_article(label))
+        if shown:
+            yield "<", label
         if tag in VOID or m[0].endswith("/>") and tag in ("hr", "svg", "iframe"):
-            yield ">", ""
-        else:
-            stack.append(tag)
+            if shown:
+                yield ">", ""
+            continue
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, label if shown else None))
+        if shown:
+            told, marked, articles = told + 1, marked + label.startswith("!"), articles + _in_article(label)
     rest = page[at:]
     text.append(rest[: cut.start()] if (cut := re.search(r"<[a-zA-Z/!][^<>]*\Z", rest)) else rest)
     yield from run()

@@ -115,6 +115,23 @@ def test_main_text(spark):
     assert extracted(df.filter("page_id = -1")).count() == 0
 
 
+def test_blocks_below_many_others():
+    """Marks and end tags count at any depth."""
+    import time
+
+    from riskloom.llm.wrapper import main_slots, main_text, page_tree
+
+    read = lambda x: main_text(x, *map(set, main_slots(page_tree(x))))
+    down, up = "<div>" * 200, "</div>" * 200
+    assert read(f"<div id=page><article>{down}text{up}<p>rest</p></article>after</div>") == "text\nrest"
+    assert read(f"{down}a<nav>menu<div>more</div></nav>b<form>f</form><div class=sidebar>s<article>no</article></div>c{up}d") == "a\nb\nc\nd"
+    assert read(f"{down}a<article>b<aside>no</aside><main>c</main></article>{up}d") == "b\nc"
+    assert read(f"<nav>{down}menu{up}</nav>{down}<ul><li>x<li>y</ul>{up}z") == "x\ny\nz"
+    start = time.perf_counter()
+    read("<div>" * 50_000 + "<ul>" + "<li>x" * 20_000 + "</div>" * 50_000)
+    assert time.perf_counter() - start < 20
+
+
 def test_template_texts(spark):
     """A text that all of a host's pages have in a slot is no main text; it is where no other page tells."""
     from riskloom.llm.wrapper import extracted
