@@ -111,6 +111,13 @@ def ft_encoder_api(spark: SparkSession, d: str) -> DataFrame:
     return encoding.TargetEncoder("f", "y").fit(t).transform(t.filter(c.id % 10 == 0))
 
 
+@query("id encoded.5", "WITH {orders}, s AS (SELECT f, sum(y) AS s, count(*) AS n FROM o GROUP BY f), p AS (SELECT avg(y) AS p FROM o) SELECT id, (s + p) / (n + 1) AS encoded FROM o JOIN s USING (f), p")
+def ft_encoder_api_all(spark: SparkSession, d: str) -> DataFrame:
+    """ft_encoder_api over every row."""
+    t = orders(spark, d)
+    return encoding.TargetEncoder("f", "y").fit(t).transform(t)
+
+
 @query("level prediction.5", "WITH {lines}, s AS (SELECT avg(y) AS m FROM l WHERE f = 'A') SELECT v AS level, m AS prediction FROM s, (SELECT unnest(['new', 'A']) AS v)")
 def prj_unknown_level(spark: SparkSession, d: str) -> DataFrame:
     """A level that the fit did not see scores as the reference level."""

@@ -459,6 +459,18 @@ def ft_te_interaction(spark: SparkSession, d: str) -> DataFrame:
     return encoding.target_apply(t.filter(c.id % 5 == 0), key, stats, prior, 2.0)
 
 
+@query(
+    "id encoded.5",
+    """WITH {orders}, s AS (SELECT f || ':' || g AS k, sum(y) AS s, count(*) AS n FROM o WHERE f <> '1-URGENT' GROUP BY 1), p AS (SELECT sum(s) / sum(n) AS p FROM s)
+SELECT id, coalesce((s + 2 * p) / (n + 2), p) AS encoded FROM o LEFT JOIN s ON k = f || ':' || g, p""",
+)
+def ft_te_interaction_all(spark: SparkSession, d: str) -> DataFrame:
+    """Target encoding of two factors, learnt on every row but those of one level and applied to every row."""
+    t, key = orders(spark, d), encoding.interaction_key(F.col("f"), F.col("g"))
+    stats, prior = encoding.target_stats(t.filter(F.col("f") != "1-URGENT"), key, c.y)
+    return encoding.target_apply(t, key, stats, prior, 2.0)
+
+
 @query("p_partkey encoded.6", "WITH s AS (SELECT p_brand AS b, count(*) AS n FROM part WHERE p_partkey % 2 = 0 AND p_brand <> 'Brand#11' GROUP BY 1) SELECT p_partkey, coalesce(1e0 * n / (SELECT max(n) FROM s), 0) AS encoded FROM part LEFT JOIN s ON b = p_brand")
 def ft_fe(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "part")
@@ -466,6 +478,13 @@ def ft_fe(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(t)
 
 
+@query("p_partkey encoded.6", "WITH s AS (SELECT p_brand AS b, count(*) AS n FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1) SELECT p_partkey, coalesce(1e0 * n / (SELECT max(n) FROM s), 0) AS encoded FROM part LEFT JOIN s ON b = p_brand")
+def ft_fe_all(spark: SparkSession, d: str) -> DataFrame:
+    """ft_fe counting every key."""
+    t = table(spark, d, "part")
+    return encoding.FrequencyEncoder("p_brand").fit(t.filter(F.col("p_brand") != "Brand#11")).transform(t)
+
+
 @query("level index* n*", "SELECT p_type AS level, dense_rank() OVER (ORDER BY p_type) - 1 AS index, count(*) AS n FROM part GROUP BY p_type")
 def prj_factorize(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window

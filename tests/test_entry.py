@@ -44,6 +44,17 @@ def test_against_sql(spark, name):
         assert a == pytest.approx(b, abs=1e-3)
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+@pytest.mark.parametrize(("name", "source"), [("ft_encoder_api_all", "orders"), ("ft_te_interaction_all", "orders"), ("ft_fe_all", "part")])
+def test_whole_tables(spark, name, source):
+    """These leave no row out, and agree with their SQL."""
+    import __spark_entry__ as entry
+
+    test_against_sql(spark, name)
+    got = entry.queries()[name](spark, str(DATA))
+    assert got.count() == spark.read.parquet(str(DATA / f"{source}.parquet")).count()
+
+
 def test_the_rest_stands_alone(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'agg_ae_level' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
