@@ -233,6 +233,15 @@ def fit_two_way(spark: SparkSession, d: str) -> DataFrame:
     return cells.agg((F.count(F.lit(1)) + 3).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"))
 
 
+@query("n* gap.4", "WITH {lines} SELECT (SELECT count(*) FROM (SELECT DISTINCT f, line FROM l)) + 3 AS n, 0e0 AS gap")
+def fit_two_way_all(spark: SparkSession, d: str) -> DataFrame:
+    """fit_two_way over every line number."""
+    t = lines(spark, d)
+    m = GLM("y", {}, t, [{"f": {"type": "categorical"}, "line": {"type": "categorical"}, "include_main": True}], family="poisson").fit()
+    cells = m.predict(t).groupBy("f", "line").agg(F.avg("y").alias("a"), F.avg("prediction").alias("b"))
+    return cells.agg((F.count(F.lit(1)) + 3).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"))
+
+
 @query("intercept.4 x.4 f.4", "SELECT 0e0 AS intercept, 0e0 AS x, 0e0 AS f")
 def fit_score_equations(spark: SparkSession, d: str) -> DataFrame:
     """Sums of X'(y - mu) of a Poisson fit, per row: zero."""
