@@ -41,7 +41,7 @@ RULES = (
     Rule("assign", 1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, True),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 16),
     Rule("hex", 1, r"[0-9a-f]+", 32),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27, base=False),
+    Rule("pem", 2, r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(?s:.*?)(?:-----END \1-----|\Z)", 27, base=False),  # a cut key runs to the end
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]+", 40, base=False),
 )
 #: Patterns that match the same after a test for fewer, longer places: a run that is too short fails either way.

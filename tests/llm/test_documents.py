@@ -137,6 +137,15 @@ def test_secrets(docs, rows, empty):
     assert scan(empty)[0].count() == 0
 
 
+def test_private_keys_go_whole(spark):
+    from riskloom.llm.secrets import redacted
+
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEbody+/=\nmore\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"a {key} b {key.replace('RSA ', '')}\nc"), (2, "x " + key[:50]), (3, "-----BEGIN PUBLIC KEY----- y")]
+    out = redacted(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert dict(map(tuple, out.collect())) == {1: "a [pem] b [pem]\nc", 2: "x [pem]", 3: rows[2][1]}
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     from dataclasses import replace
 
