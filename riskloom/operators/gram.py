@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.workers import ship
+
 #: Partials that go straight to the driver; more are first summed in groups on the executors.
 DIRECT_PARTIALS = 64
 
@@ -34,6 +36,7 @@ def row_sums(design: DataFrame, f: Callable[..., np.ndarray], size: int, partiti
         total = sum(np.frombuffer(v, np.float64) for v in sorted(table.column("v").to_pylist()))
         return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
 
+    ship(design.sparkSession)
     parts = design.select("x", "y", "w", "o", *more).mapInArrow(partial, "v binary")
     if partitions > DIRECT_PARTIALS:
         groups = math.ceil(math.sqrt(partitions))
