@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,31 +16,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO_ROOT = str(Path(__file__).resolve().parents[2])
+from riskloom.workers import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Rows per Arrow batch: keeps a batch of long texts far below a worker's memory.
-ARROW_ROWS = 512
+#: Rows and bytes per Arrow batch: keep a batch of long texts far below a worker's memory.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+#: A key is hot if it has more than one in so many of all rows, so that there are fewer hot keys than that.
+HOT_SHARE = 1000
+#: Places that the rows of a hot key are dealt out to.
+SALTS = 64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches and let Python workers import this package from its own folder."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if REPO_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *paths])
-    return spark
+    """Bound Arrow batches (a smaller setting of the session stays) and ship this package to the workers."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = re.match(r"-?\d+", spark.conf.get(name))
+        if not held or not 0 < int(held[0]) <= most:
+            spark.conf.set(name, str(most))
+    return ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a temporary folder is set instead.
+    Only where that is unset on a single machine (a local master, as in tests) a temporary folder is
+    set instead; on a cluster each executor would write to a disk of its own, so there it is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         top = getattr(spark, "_riskloom_dir", None)
         if top is None:
             made = tempfile.mkdtemp(prefix="riskloom-")
@@ -69,6 +79,26 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined (left outer) with right, in which a key stands once at most.
+
+    Rows of left under a null key, or under a hot one (there are fewer than HOT_SHARE of these, which
+    bounds what is broadcast), are dealt out by their other columns, and right's rows of hot keys are
+    repeated for each place.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNotNull())
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    salt, place = free(left, "_salt"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    if not total or most * HOT_SHARE <= total:
+        left = left.withColumn(salt, F.when(F.col(key).isNull(), place).otherwise(0))
+        return left.join(right.withColumn(salt, F.lit(0)), [key, salt], "left").drop(salt)
+    hot = F.broadcast(counts.filter(F.col("n") * HOT_SHARE > total).select(F.col(key), F.lit(True).alias("_hot")))
+    left = left.join(hot, key, "left").withColumn(salt, F.when(F.col("_hot") | F.col(key).isNull(), place).otherwise(0)).drop("_hot")
+    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(hot, key, "left").withColumn(salt, F.explode(places)).drop("_hot")
+    return left.join(right, [key, salt], "left").drop(salt)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete what staged() wrote for df, once nothing reads it any more."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:

@@ -11,33 +11,42 @@ from riskloom.llm.common import dropped, staged
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the component's smallest node.
 
-    Alternates the large-star and small-star steps until nothing changes, which takes a number of
-    rounds that grows with the logarithm of the number of nodes; each round's edges are written to
-    the shared folder. Sums and minima are aggregated before they are shuffled, so that a node with
-    many edges adds one row per task.
+    Each round every node picks its smallest neighbour; of two that pick each other the smaller is a
+    root (longer circles can't be), pointers are followed up to the roots by doubling, and the edges
+    are drawn anew between the roots. A round at least halves the nodes that have edges, and the
+    smallest node of a component stays the root of its tree. Minima are aggregated before they are
+    shuffled; all joins are of a table with one row per node, and none is followed by an aggregate on
+    its own key, so that the rows of a node with many edges can be split. Each step's table is written
+    to the shared folder and deleted after its last reader.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    e = staged(e, "components")
-    before = _state(e)
-    while True:
+    e = staged(e, "components-edges")
+    labels = None
+    while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        new = staged(small.distinct(), "components")
+        pick = staged(both.groupBy("u").agg(F.min("v").alias("p")), "components-picks")
+        back = pick.select(F.col("u").alias("p"), F.col("p").alias("theirs"))
+        root = F.when((F.col("theirs") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p"))
+        up = staged(pick.join(back, "p").select("u", root.alias("r")), "components-up")
+        dropped(pick)
+        while True:
+            above = up.select(F.col("u").alias("r"), F.col("r").alias("rr"))
+            higher = staged(up.join(above, "r").select("u", F.col("rr").alias("r"), (F.col("r") != F.col("rr")).alias("moved")), "components-up")
+            dropped(up)
+            up = higher.select("u", "r")
+            if higher.filter("moved").isEmpty():
+                break
+        if labels is None:
+            new = staged(up.select(F.col("u").alias("node"), F.col("r").alias("root")), "components")
+        else:
+            to = up.select(F.col("u").alias("root"), "r")
+            new = staged(labels.join(to, "root", "left").select("node", F.coalesce("r", "root").alias("root")), "components")
+            dropped(labels)
+        labels = new
+        drawn = e.join(up.withColumnRenamed("r", "ru"), "u").join(up.select(F.col("u").alias("v"), F.col("r").alias("rv")), "v")
+        drawn = drawn.select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).filter("u > v").distinct()
+        rest = staged(drawn, "components-edges")
+        dropped(up)
         dropped(e)
-        e, after = new, _state(new)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
-
-
-def _state(e: DataFrame) -> tuple:
-    """Number of edges and a sum over their hashes: equal if the edges are."""
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        e = rest
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")) if labels is None else labels

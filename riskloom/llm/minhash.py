@@ -1,14 +1,22 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
 Each distinct set of word shingles has a signature of COORDINATES minima. A coordinate and its value
-are a token; the documents that have a token are its posting list. Two sets are compared if at least
-matches(percent) of their tokens are the same. Tokens are ordered by rarity, and a set is posted only under
-its prefix, as many of its rarest tokens as any partner must hit one of (those that no other set has
-count towards the prefix and post nothing). Sets that share a posting list, directly or over others,
-form a group; groups are cut into tiles of bounded size, and within a tile the lists of a set's
-prefix are merged, skipping sets that already are in its component, collisions are counted over all
-coordinates, and what reaches them is confirmed on the full sets. A tile gives a spanning forest
-of its links, never the pairs within a group; components follow from the forests of all tiles.
+are a token; the sets that have a token are its posting list. Two sets are a candidate pair if at
+least matches(percent) of their tokens are the same. Tokens are ordered by rarity, and a set is posted
+only under its prefix, as many of its rarest tokens as any partner must hit one of (those that no
+other set has count towards the prefix and post nothing).
+
+A pair's collisions are counted in the list of its first common prefix token and in no other: of each
+member the rest of the list is merged, coordinates are counted in steps, and members that can't reach
+the match threshold with the coordinates left are skipped. Lists of more than BLOCK members are cut into
+blocks, each two of which are a tile of their own. Pairs that reach the threshold are confirmed on
+the full sets, which are fetched for these pairs alone.
+
+Only components are asked for, so that sets which are connected already need not be compared. While
+lists hold many more pairs than members, every list therefore first compares its members with one of
+them, another one each round, and what that links is one root; lists whose members have one root
+are done, and in the others only members of different roots are merged. All such pairs are compared
+in the end, whatever the rounds found.
 
 A pair at the threshold of 0.85 has 54.4 equal coordinates of 64 on average; that fewer than 40 are
 equal has a probability of about 2e-6, and less above the threshold. Other thresholds have as many
@@ -17,7 +25,8 @@ matches as keep that probability at MISSED at most: 35 at 0.8.
 Defined results: a text without words (null, empty, white space) has an empty set and no links;
 one of fewer than five words is one shingle; equal sets (copies, repeated rows) are one node; rows
 of one doc_id are one document for linking; rows with a null doc_id have a null component and are
-not kept; an empty table gives an empty result.
+not kept; an empty table gives an empty result. Texts of any length are taken whole; columns of docs
+besides doc_id and the text play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -28,18 +37,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER_BYTES, free, prepare, staged
+from riskloom.llm.common import LOWER_BYTES, dropped, free, prepare, spread_join, staged
 from riskloom.llm.components import connected
 
 #: Coordinates of a signature, and the share of pairs at the threshold that may have too few equal ones.
 COORDINATES, MISSED = 64, 2.5e-6
-#: Sets in a block; a tile has two blocks at most.
-BLOCK = 768
-#: Ids of sets in groups that are broadcast at most to pick their texts; beyond, texts are shuffled to them.
+#: Members of a list in a block; a tile has two blocks at most.
+BLOCK = 1024
+#: Pairs in open lists, as a multiple of their members, up to which all are compared at once; and rounds before that.
+DENSE, ROUNDS = 16, 8
+#: Coordinates that are counted in a step.
+STEP = 16
+#: Documents whose sets are compared that are broadcast at most to pick their texts; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 200_000
 
 _random = np.random.default_rng(20_240_611)
@@ -62,7 +76,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -103,8 +117,7 @@ def sketches(docs: DataFrame, text: str = "text", size: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
+            for part in _pieces(batch, 1):
                 sets = [shingle_set(x or b"", size) for x in part.column(1).cast(pa.binary()).to_pylist()]
                 full = [s for s in sets if len(s)]
                 found = iter(signatures(full).tolist() if full else [])
@@ -119,52 +132,203 @@ def sketches(docs: DataFrame, text: str = "text", size: int = 5) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, signature array<int>")
 
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most 128 rows and, but for single rows, 1 MB of a column's values."""
+    ends = np.cumsum([0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()])
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + 128, int(np.searchsorted(ends, before + (1 << 20), side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def linked(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(sketches, components): the second has node and root for each set that is linked to another text's."""
     least = matches(percent)
     sketch = staged(sketches(docs, text, size), "minhash-sketches")
+    active = staged(_prefixes(sketch, least), "minhash-prefixes")
+    posted = active.select("set_key", "node", F.explode("prefix").alias("token"))
+    met = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    posted = staged(posted.join(met, "token"), "minhash-postings")
+    rows = docs.select(F.col("doc_id").alias("node"), F.col(text).alias("_text"))
+    ids = posted.select("node").distinct()
+    rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "node", "left_semi")
+    full = staged(_with_sets(rows, size).join(active.select("node", "set_key"), ["node", "set_key"]), "minhash-sets")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    roots, found, k, last = None, None, 0, False
+    while not last:
+        lists = staged(_open_lists(posted, roots), "minhash-lists")
+        size_of = lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
+        size_of = size_of.agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+        pairs, members = size_of.agg(F.sum("pairs"), F.sum("n")).first()
+        if not pairs:
+            break
+        last = k >= ROUNDS or pairs <= DENSE * members
+        pairs = staged(_merged(lists, active, least) if last else _hub_pairs(lists, active, least, k), "minhash-pairs")
+        new = staged(_confirmed(pairs, full, percent, kind), "minhash-links")
+        dropped(pairs)
+        dropped(lists)
+        if new.isEmpty():  # more rounds would find few links, if any
+            k = ROUNDS
+        else:
+            k += 1
+            found = new if found is None else found.unionByName(new)
+            roots = connected(found)
+    for df in (posted, full, active):
+        dropped(df)
+    if roots is None:
+        roots = sketch.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).filter(F.lit(False))
+    return sketch, roots
+
+
+def _prefixes(sketch: DataFrame, least: int) -> DataFrame:
+    """set_key, node, signature, prefix (tokens), mask (the prefix's coordinates) of sets with enough tokens that others have."""
     sets = sketch.filter("signature is not null and doc_id is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.first("signature").alias("signature")
     )
-    sets = staged(sets, "minhash-sets")
-    tokens = sets.select("node", "set_key", F.posexplode("signature").alias("k", "value")).select(
-        "node", "set_key", (F.col("value").cast("long") * COORDINATES + F.col("k")).alias("token")
+    sets = staged(sets, "minhash-distinct")
+    tokens = sets.select("set_key", F.posexplode("signature").alias("k", "value")).select(
+        "set_key", (F.col("value").cast("long") * COORDINATES + F.col("k")).alias("token")
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    own = tokens.join(shared, "token").groupBy("node", "set_key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
+    own = tokens.join(shared, "token").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
     own = own.filter(F.size("own") >= least)
-    prefix = own.select("node", "set_key", F.slice(F.col("own.token"), F.lit(1), F.size("own") - (least - 1)).alias("prefix"))
-    prefix = staged(prefix, "minhash-prefixes")
-    # nodes of equal id (a repeated doc_id with other text) are one document
-    posted = prefix.select("node", F.explode("prefix").alias("token"))
-    hubs = posted.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "hub")
-    met = posted.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = connected(met)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    bins = F.lit(max(1, groups.count() // BLOCK))
-    blocks = F.ceil(F.col("size") / BLOCK)
-    member = groups.join(sizes, "root").withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.select(
-        "node",
-        F.when(F.col("blocks") == 1, F.lit(None)).otherwise(F.col("root")).alias("root"),  # small groups share tiles
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), bins)).otherwise(F.col("block")).cast("int").alias("block"),
-        F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.col("blocks")).alias("blocks"),
-    )
-    member = staged(member.join(prefix, "node").join(sets.select("set_key", "signature"), "set_key"), "minhash-members")
-    rows = docs.select(F.col("doc_id").alias("node"), F.col(text).alias("_text"))
-    few = member.count() <= BROADCAST_ROWS
-    ids = member.select("node").distinct()
-    rows = rows.join(F.broadcast(ids) if few else ids, "node", "left_semi")
-    full = _with_sets(rows, size).join(member, ["node", "set_key"])
-    other = F.when(F.col("blocks") == 0, F.array(F.col("block"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = full.withColumn("other", F.explode(other)).select(
-        F.coalesce(F.col("root").cast("string"), F.lit("")).alias("t0"),
-        F.least("block", "other").alias("t1"),
-        F.greatest("block", "other").alias("t2"),
-        "block", "node", "signature", "prefix", "shingles",
-    )
-    edges = tiles.groupBy("t0", "t1", "t2").applyInArrow(_tile_links(percent), "a long, b long")
-    return sketch, connected(edges)
+    own = own.select("set_key", F.slice(F.col("own.token"), F.lit(1), F.size("own") - (least - 1)).alias("prefix"))
+    mask = F.expr(f"aggregate(prefix, 0L, (m, t) -> m | shiftleft(1L, cast(pmod(t, {COORDINATES}) as int)))")
+    return sets.join(own, "set_key").select("set_key", "node", "signature", "prefix", mask.alias("mask"))
+
+
+def _open_lists(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """token, set_key, node, root of the lists whose members have several roots."""
+    if roots is None:
+        return posted.withColumn("root", F.col("node"))
+    lists = posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lists = staged(lists, "minhash-rooted")
+    several = lists.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("token")
+    return lists.join(several, "token")
+
+
+def _hub_pairs(lists: DataFrame, active: DataFrame, least: int, k: int) -> DataFrame:
+    """(a, b): each member of a list with one of the list, if they have different roots and collide often enough."""
+    order = F.xxhash64("set_key", "token", F.lit(k))
+    hubs = lists.groupBy("token").agg(F.min_by(F.struct("set_key", "root"), order).alias("hub"))
+    pairs = lists.join(hubs, "token").filter(F.col("hub.root") != F.col("root"))
+    pairs = pairs.select(F.col("set_key").alias("a"), F.col("hub.set_key").alias("b")).distinct()
+    one = active.select(F.col("set_key").alias("a"), F.col("signature").alias("sa"))
+    two = active.select(F.col("set_key").alias("b"), F.col("signature").alias("sb"))
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    return pairs.join(two, "b").join(one, "a").filter(same >= least).select("a", "b")
+
+
+def _merged(lists: DataFrame, active: DataFrame, least: int) -> DataFrame:
+    """(a, b): all pairs of open lists that have different roots and collide often enough."""
+    counts = staged(lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")), "minhash-list-sizes")
+    long = counts.groupBy("token").agg(F.sum("c").alias("n")).filter(F.col("n") > BLOCK).select("token")
+    # a root of more than BLOCK members has blocks of its own, which need not meet each other
+    kind = F.when(F.col("c") > BLOCK, F.col("root").cast("string")).otherwise("")
+    kinds = counts.join(long, "token").select("token", "root", kind.alias("kind"), "c")
+    blocks = kinds.groupBy("token", "kind").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
+    every = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = every.groupBy("token").agg(F.collect_list(F.struct("kind", F.concat_ws("#", "kind", "i").alias("name"))).alias("every"))
+    member = lists.join(kinds.drop("c"), ["token", "root"]).join(blocks, ["token", "kind"])
+    member = member.withColumn("name", F.concat_ws("#", "kind", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("string")))
+    member = member.join(every, "token").withColumn("other", F.explode(F.filter("every", lambda b: (b["kind"] == "") | (b["kind"] != F.col("kind")))))
+    tiles = member.select("token", F.least("name", "other.name").alias("x"), F.greatest("name", "other.name").alias("y"), "name", "set_key", "root")
+    none = F.lit("")
+    short = lists.join(long, "token", "left_anti").select("token", none.alias("x"), none.alias("y"), none.alias("name"), "set_key", "root")
+    tiles = short.unionByName(tiles).join(active.select("set_key", "signature", "mask"), "set_key")
+    tiles = tiles.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return tiles.select("token", "x", "y", "name", "root", "set_key", "signature", "mask").mapInArrow(_collisions(least), "a binary, b binary")
+
+
+def _collisions(least: int):
+    """Counts the collisions of each two members of a tile; tiles are neighbouring rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            token, x, y = (batch.column(k) for k in range(3))
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for c in (token, x, y):
+                v = c.to_numpy(zero_copy_only=False)
+                new[1:] |= v[1:] != v[:-1]
+            if held and all(held[-1].column(k)[-1] == batch.column(k)[0] for k in range(3)):
+                new[0] = False
+            starts = np.nonzero(new)[0]
+            if len(starts) == 0:
+                held.append(batch)
+                continue
+            if starts[0] > 0 or held:
+                yield from whole([*held, batch.slice(0, starts[0])], [0])
+            yield from whole([batch.slice(starts[0], starts[-1] - starts[0])], starts[:-1] - starts[0])
+            held = [batch.slice(starts[-1])]
+        yield from whole(held, [0])
+
+    def whole(parts: list[pa.RecordBatch], starts) -> Iterator[pa.RecordBatch]:
+        parts = [p for p in parts if p.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        token = table.column("token").to_numpy()
+        signature = table.column("signature").chunk(0).flatten().to_numpy().reshape(-1, COORDINATES)
+        mask = table.column("mask").to_numpy().astype(np.uint64)
+        root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        name = table.column("name").combine_chunks().dictionary_encode().indices.to_numpy()
+        apart = pc.not_equal(table.column("x"), table.column("y")).to_numpy()
+        first, second = [], []
+        for s, e in zip(starts, [*starts[1:], len(token)], strict=True):
+            k = int(token[s]) % COORDINATES
+            for i in range(s, e - 1):
+                near = np.arange(i + 1, e)
+                other = root[near] != root[i]
+                if apart[s]:
+                    other &= name[near] != name[i]
+                near = near[other]
+                if len(near) == 0:
+                    continue
+                # a pair belongs to the list of its first common prefix token
+                both = mask[near] & mask[i] & np.uint64((1 << k) - 1)
+                count = np.zeros(len(near), np.int64)
+                for step in range(0, COORDINATES, STEP):
+                    equal = signature[near, step : step + STEP] == signature[i, step : step + STEP]
+                    count += equal.sum(axis=1)
+                    bits = (equal.astype(np.uint64) << np.arange(step, step + STEP, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+                    stay = (count + (COORDINATES - step - STEP) >= least) & ((both & bits) == 0)
+                    if not stay.all():
+                        near, count, both = near[stay], count[stay], both[stay]
+                        if len(near) == 0:
+                            break
+                first.extend([i] * len(near))
+                second.extend(near.tolist())
+        key = table.column("set_key")
+        for at in range(0, len(first), 10_000):
+            pair = [key.take(pa.array(v[at : at + 10_000], pa.int64())).combine_chunks() for v in (first, second)]
+            yield pa.RecordBatch.from_arrays(pair, names=["a", "b"])
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, kind: str) -> DataFrame:
+    """(a, b) as nodes, of the pairs of sets that are as similar as percent."""
+    one = full.select(F.col("set_key").alias("a"), F.col("node").alias("na"), F.col("shingles").alias("sa"))
+    two = full.select(F.col("set_key").alias("b"), F.col("node").alias("nb"), F.col("shingles").alias("sb"))
+    n, m = F.octet_length("sa"), F.octet_length("sb")
+    both = pairs.join(two, "b").join(one, "a").filter(100 * F.least(n, m).cast("long") >= percent * F.greatest(n, m).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(F.col("na").alias("a"), F.col("nb").alias("b"), "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _with_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -188,54 +352,12 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"node {kind}, set_key binary, shingles binary")
 
 
-def _tile_links(percent: int):
-    least = matches(percent)
-
-    def run(table: pa.Table) -> pa.Table:
-        names = {c: table.column(c).combine_chunks() for c in ("block", "node", "signature", "prefix", "shingles")}
-        first, last = table.column("t1")[0].as_py(), table.column("t2")[0].as_py()
-        node, block = names["node"].to_numpy(), names["block"].to_numpy()
-        signature = names["signature"].flatten().to_numpy().reshape(-1, COORDINATES)
-        prefix = names["prefix"].to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in names["shingles"].to_pylist()]
-        size = np.array([len(s) for s in sets])
-        root = np.arange(len(node))
-        lists: dict[int, list[int]] = {}
-        a, b = [], []
-        for i in range(len(node)):
-            merged: set[int] = set()
-            for token in prefix[i]:
-                own = lists.setdefault(token, [])
-                merged.update(own)
-                own.append(i)
-            if not merged:
-                continue
-            near = np.fromiter(merged, np.int64, len(merged))
-            near = near[root[near] != root[i]]
-            if first != last:  # pairs within a block belong to that block's own tile
-                near = near[block[near] != block[i]]
-            near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
-            equal = (signature[near] == signature[i]).sum(axis=1)
-            order = np.argsort(-equal, kind="stable")
-            for j in near[order[: int((equal >= least).sum())]]:
-                if root[j] == root[i]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (size[i] + size[j] - both):
-                    a.append(node[i])
-                    b.append(node[j])
-                    root[root == root[i]] = root[j]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
 def deduplicated(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     sketch, parts = linked(docs, text, size, percent)
     nodes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
     roots = nodes.join(parts, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
-    out = sketch.join(roots, "set_key", "left")
+    out = spread_join(sketch.select("doc_id", "n_shingles", "set_key"), roots, "set_key")
     # a doc_id of several sets belongs to the smallest of their components
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = out.select("doc_id", "n_shingles", whole.alias("component_id"))

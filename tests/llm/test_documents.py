@@ -57,15 +57,57 @@ def test_near_copies(docs, rows, empty):
     assert deduplicated(empty).count() == 0
 
 
-def test_near_copies_in_tiles(docs, rows, monkeypatch):
-    """Groups of several blocks, and the paths without a broadcast."""
+@pytest.fixture
+def no_broadcast(spark):
+    """Spark broadcasts nothing by itself."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("dense", [16, 0])
+def test_near_copies_in_tiles(docs, rows, monkeypatch, no_broadcast, dense):
+    """Lists of several blocks, the paths without a broadcast, and rounds of comparisons with one member."""
     from riskloom.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "DENSE", dense)
     monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     assert got(minhash.deduplicated(docs), "doc_id", "n_shingles", "component_id", "kept") == brute.near_copies(rows)
 
 
+def test_weak_chains_and_a_shared_passage(spark, monkeypatch):
+    """Links along a chain whose ends share little; sets that share tokens with many and link with none; ids of strings."""
+    from riskloom.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "DENSE", 0)
+    chain = [f"w{i}" for i in range(400)]
+    rows = [(f"c{k:02}", " ".join(chain[k * 8 : k * 8 + 150])) for k in range(24)]
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows += [(f"d{k:02}", passage + " " + " ".join(f"x{k}y{i}" for i in range(60))) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    out = got(minhash.deduplicated(df), "doc_id", "n_shingles", "component_id", "kept")
+    assert out == brute.near_copies(rows)
+    assert {r[2] for r in out if r[0] < "d"} == {"c00"} and sum(r[3] for r in out) == 25
+
+
+def test_components(spark):
+    from riskloom.llm.components import connected
+
+    r = random.Random(8)
+    edges = [(0, k) for k in range(1, 60)] + [(200 + k, 201 + k) for k in range(40)] + [(300, 300), (None, 4)]
+    edges += [(400 + r.randrange(60), 400 + r.randrange(60)) for _ in range(45)]
+    known = [(a, b) for a, b in edges if a is not None and a != b]
+    want = brute.components({x for e in known for x in e}, known)
+    out = connected(spark.createDataFrame(edges, "a long, b long").repartition(4))
+    assert sorted(map(tuple, out.select("node", "root").collect())) == sorted(want.items())
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_copies_at_another_threshold(spark):
     """Pairs at exactly 0.8 whose signatures have 37 to 39 equal coordinates of 64."""
     from riskloom.llm.minhash import deduplicated, matches
