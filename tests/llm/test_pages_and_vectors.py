@@ -166,6 +166,7 @@ def test_links_between_vectors(spark, monkeypatch):
     from riskloom.llm import embedding
 
     monkeypatch.setattr(embedding, "BLOCK", 16)
+    monkeypatch.setattr(embedding, "ROWS", 5)
     r = random.Random(4)
     centre = [[r.gauss(0, 1) for _ in range(24)] for _ in range(6)]
     rows = [(k, [x + r.gauss(0, 0.28) for x in centre[k % 6]], k % 2) for k in range(120)]
@@ -180,17 +181,33 @@ def test_links_between_vectors(spark, monkeypatch):
 
 
 def test_bounds_miss_no_pair():
-    """Quantised bounds keep every pair at the threshold, whatever the vectors' scale."""
+    """Pairs that the bounds decide are decided rightly, whatever the vectors' scale; few stay doubtful."""
     import numpy as np
 
-    from riskloom.llm.embedding import close_pairs
+    from riskloom.llm.embedding import cosines, decided, quantised
 
     g = np.random.default_rng(0)
     x = g.normal(size=(300, 16)) * 10.0 ** g.integers(-8, 8, (300, 1))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[::7] *= 1e200
+    x[1::9] = x[::9][: len(x[1::9])] + x[1::9] * 1e-3
+    cos = np.array([cosines(np.repeat(r[None], len(x), 0), x) for r in x])
+    z = quantised(x)
+    assert z["q1"].dtype == z["q2"].dtype == np.int8
     for t in (0.2, 0.5, 0.9):
-        want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= t), strict=True) if i < j}
-        assert set(zip(*close_pairs(x, x, t, True), strict=True)) == want
+        i, j, k, l = decided(z, z, t)
+        sure, maybe = set(zip(i, j, strict=True)), set(zip(k, l, strict=True))
+        want = set(zip(*np.nonzero(cos >= t), strict=True))
+        assert sure <= want <= sure | maybe and not sure & maybe and len(maybe) < 0.01 * cos.size
+
+
+def test_pairs_at_the_threshold(spark):
+    """Pairs that no bound can decide are computed from the vectors; ids of strings; one vec_id with two vectors."""
+    from riskloom.llm import embedding
+
+    at = [0.93, (1 - 0.93**2) ** 0.5]
+    rows = [("a", [1.0, 0.0], 1), ("b", at, 1), ("c", [0.93 - 1e-9, (1 - (0.93 - 1e-9) ** 2) ** 0.5], 1), ("d", [0.0, 1.0], 1), ("d", [0.0, -1.0], 1), ("d", [1.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")
+    assert got(embedding.links(df, 0.93), "vec_id", "n_links", "component_id", "kept") == brute.cosine_links(rows, 0.93)
 
 
 # urls
