@@ -6,13 +6,19 @@ joined on that word at its position: the window must then begin at the first wor
 at the last word or sooner (position and length bounds), and the words at its place are compared
 one by one (exact containment). A window with a word that no document has cannot occur.
 
+Where the windows are few enough to be broadcast, a document's words meet them in the task that reads
+it. Beyond that, only the places of prefix words travel, and not the texts: (document, place, word) is
+shuffled by word to the windows that begin with it, places out of bounds are dropped, and the windows
+that are left go to their documents, each once, to be compared.
+
 Words are joined in lower case of all scripts, which finds at least what lower-casing A-Z finds;
 the comparison at the end lower-cases A-Z alone.
 
 Defined results: null or empty texts have no words; items without words have no window; rows of one
 doc_id and one text share their hits and each give a row; a null doc_id is kept; empty tables give
 no hits. Of an item_id that is repeated, each row's windows count for that id; a null item_id is
-listed as an empty name.
+listed as an empty name. Texts of any length are taken whole; columns of docs besides doc_id and the
+text play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from riskloom.llm.common import free, lower_az, staged
 
 #: What separates words, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bytes of words or windows that are broadcast at most; beyond, documents' words are shuffled to them.
+#: Bytes of words or windows that are broadcast at most; beyond, places of words are shuffled to them.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -33,10 +39,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
-def _bounded(df: DataFrame, size: Column) -> DataFrame:
-    """df to be broadcast, if its measured size allows."""
-    total = df.agg(F.sum(size + F.lit(64))).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+def _fits(df: DataFrame, size: Column) -> bool:
+    """Whether df may be broadcast, by its measured size."""
+    return (df.agg(F.sum(size + F.lit(64))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
@@ -48,49 +53,45 @@ def windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(marks, window items).
-
-    marks has a row per row of docs with doc_id, text_key, n_words and a null window, and a row per
-    occurrence with at, n (its first word and its length) and window.
-    """
+    """(marks, window items): marks has doc_id, text_key, at, n (first word and length) and window of each occurrence."""
     owned = staged(windows(items, size), "decontam-windows")
     sets = owned.select("window").distinct()
     parts = sets.select("window", F.posexplode("window").alias("offset", "part")).withColumn("part", F.lower("part"))
     vocabulary = parts.select("part").distinct()
     tokens = docs.select(F.explode(words(F.col(text))).alias("part")).select(F.lower("part").alias("part"))
-    counted = tokens.join(_bounded(vocabulary, F.octet_length("part")), "part").groupBy("part").count()
+    if _fits(vocabulary, F.octet_length("part")):
+        counted = tokens.join(F.broadcast(vocabulary), "part").groupBy("part").count()
+    else:
+        counted = tokens.groupBy("part").count().join(vocabulary, "part")
     rarity = staged(counted, "decontam-rarity")
     found = parts.join(rarity, "part", "left").groupBy("window").agg(
         F.min(F.struct("count", "part", "offset")).alias("rarest"), F.min(F.coalesce("count", F.lit(0))).alias("least")
     )
     prefix = found.filter("least > 0").select(F.col("rarest.part").alias("part"), F.col("rarest.offset").alias("offset"), "window")
-    # the empty word stands behind each document's last and gives its row
-    end = docs.sparkSession.range(1).select(F.lit("").alias("part"), F.lit(0).alias("offset"), F.lit(None).cast("array<string>").alias("window"))
-    prefix = staged(prefix.unionByName(end), "decontam-prefix")
-    prefix = _bounded(prefix, F.coalesce(F.octet_length(F.array_join("window", " ")), F.lit(0)) + 16 * F.greatest(F.size("window"), F.lit(0)))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), words(F.col(text)).alias("w"))
-    places = rows.select("doc_id", "text_key", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
-    places = places.withColumn("part", F.lower("word")).join(prefix, "part")
-    at = F.col("pos") - F.col("offset")
-    n = F.size("window")
-    inside = (at >= 0) & (at + n <= F.size("w"))
-    same = lower_az(F.array_join(F.slice("w", F.greatest(at, F.lit(0)) + 1, F.greatest(n, F.lit(0))), " ")) == F.array_join("window", " ")
-    marks = places.filter(F.col("window").isNull() | (inside & same)).select(
-        "doc_id",
-        "text_key",
-        F.when(F.col("window").isNull(), F.col("pos")).cast("long").alias("n_words"),
-        F.when(F.col("window").isNotNull(), at).alias("at"),
-        F.when(F.col("window").isNotNull(), n).alias("n"),
-        "window",
-    )
+    prefix = staged(prefix, "decontam-prefix")
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")
+    rows = docs.select("doc_id", key, words(F.col(text)).alias("w"))
+    places = rows.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word")).withColumn("part", F.lower("word"))
+    at, n = F.col("pos") - F.col("offset"), F.size("window")
+    inside = (at >= 0) & (at + n <= F.col("n_words"))
+    same = lower_az(F.array_join(F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest("n", F.lit(0))), " ")) == F.array_join("window", " ")
+    if _fits(prefix, F.octet_length(F.array_join("window", " ")) + 16 * F.size("window")):
+        marks = places.withColumn("n_words", F.size("w")).join(F.broadcast(prefix), "part").filter(inside)
+        marks = marks.select("doc_id", "text_key", at.alias("at"), n.alias("n"), "window", "w").filter(same).drop("w")
+    else:
+        places = places.select("doc_id", "text_key", F.size("w").alias("n_words"), "pos", "part")
+        asked = places.join(prefix, "part").filter(inside).select("doc_id", "text_key", at.cast("int").alias("at"), n.alias("n"), "window")
+        asked = staged(asked, "decontam-asked").withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
+        on = rows["doc_id"].eqNullSafe(asked["_doc_id"]) & (rows["text_key"] == asked["_text_key"])
+        marks = rows.join(asked, on).filter(same).select("doc_id", "text_key", "at", "n", "window")
     return staged(marks, "decontam-marks"), owned
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
-    marks, owned = hits(docs, items, size, text)
-    rows = marks.filter("window is null").select("doc_id", "text_key", "n_words")
-    found = marks.filter("window is not null")
+    found, owned = hits(docs, items, size, text)
+    whole = F.col(text)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce(whole, F.lit(""))).alias("text_key"), F.size(words(whole)).cast("long").alias("n_words"))
     key = ["doc_id", "text_key"]
     places = found.select(*key, "at", "n").distinct().select(*key, F.explode(F.expr("sequence(at, at + n - 1)")).alias("pos")).distinct()
     n_hit = places.groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
@@ -118,6 +119,6 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text")
     """The rows of docs in which no window of an item occurs, with their columns."""
     marks, _ = hits(docs, items, size, text)
     own = [free(docs, "_doc_id"), free(docs, "_text_key")]
-    bad = marks.filter("window is not null").select(F.col("doc_id").alias(own[0]), F.col("text_key").alias(own[1])).distinct()
+    bad = marks.select(F.col("doc_id").alias(own[0]), F.col("text_key").alias(own[1])).distinct()
     key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad[own[0]]) & (key == bad[own[1]]), "left_anti")

@@ -1,5 +1,6 @@
 """Operators over documents against plain versions, with nulls, ties, repeats, long texts and clashing columns."""
 
+import os
 import random
 
 import brute
@@ -149,7 +150,7 @@ def test_decontamination(spark, docs, rows, empty):
     assert not any(r[5] for r in got(decontaminated(docs, bench.filter("item_id = 77")), *names))
 
 
-def test_decontamination_without_broadcast(spark, docs, rows, monkeypatch):
+def test_decontamination_without_broadcast(spark, docs, rows, monkeypatch, no_broadcast):
     from riskloom.llm import decontam
 
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
@@ -158,6 +159,37 @@ def test_decontamination_without_broadcast(spark, docs, rows, monkeypatch):
     assert got(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.contaminated(rows, ITEMS)
 
 
+def shuffled_bytes(spark, job):
+    """Bytes that a job's stages write to shuffles."""
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    seen = lambda: sum(x.shuffleWriteBytes() for x in _listed(spark, tracker))
+    before = seen()
+    out = job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return seen() - before, out
+
+
+def _listed(spark, tracker):
+    empty = spark._jvm.java.util.ArrayList()
+    stages = tracker.stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), empty)
+    return [stages.apply(k) for k in range(stages.size())]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no driver tables")
+def test_decontamination_without_broadcast_moves_no_texts(spark, monkeypatch, no_broadcast):
+    """What is shuffled stays within a small factor of the texts, whose hottest words would multiply them."""
+    from riskloom.llm import decontam
+
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    docs = table("documents")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = got(decontam.decontaminated(docs, table("benchmark")), *names)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    moved, out = shuffled_bytes(spark, lambda: got(decontam.decontaminated(docs, table("benchmark")), *names))
+    assert out == want and moved < 8 * size, (moved, size)
+
+
 def test_secrets(docs, rows, empty):
     import hashlib
 
