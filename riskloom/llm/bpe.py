@@ -7,7 +7,8 @@ left standing, tries shorter ones if not, and steps back where none fits. A posi
 never entered again, so the walk is linear in the piece's length for tokens of bounded length.
 
 Defined results: null and empty texts have no ids; repeated rows give repeated results; a null id is
-kept. Every text is processed whole. Texts of any length stream through piece by piece.
+kept; an empty table gives an empty result. Every text is processed whole. Texts of any length stream
+through piece by piece. Columns of docs that have an added column's name are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +33,9 @@ MEMO_PIECES, MEMO_CHARS = 300_000, 40
 
 #: Pieces of over so many bytes are matched in one pass over all their tokens.
 LONG_PIECE = 64
-#: White space, as the pattern takes it.
+#: Patterns of which a match begins at every space behind other than white space; texts are cut there first.
+SPACED_PATTERNS = frozenset({public_tokenizers.PATTERN})
+#: White space, as these patterns take it.
 SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
 
@@ -174,12 +178,14 @@ class Memo(dict):
 class Encoder:
     """Encodes texts to ids, written in decimal and joined by one space, and decodes them.
 
-    spaced: the pattern starts a new match at every space that follows other than white space, so
-    that what stands between such spaces can be encoded, and remembered, on its own.
+    spaced: the pattern starts a new match at every space that follows other than white space, and
+    takes that space and the ASCII letters behind it as one, so that what stands between such spaces can be
+    encoded, and remembered, on its own; by default only of patterns that are known to do so.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, spaced: bool = True):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, spaced: bool | None = None):
         self.vocabulary = vocabulary
+        spaced = pattern in SPACED_PATTERNS if spaced is None else spaced
         self.findall = regex.compile(pattern).findall
         self.digits = {i: str(i) for i in vocabulary.tokens}
         self.bytes_of = {str(i): b for i, b in vocabulary.tokens.items()}
@@ -245,8 +251,14 @@ def tokenized(
             own = _encoders[key, pattern]
         else:
             lines = map(bytes.split, shared.value.splitlines())
-            gc.disable()  # the memos hold millions of small tuples and no cycles
-            own = encoder({base64.b64decode(a): int(b) for a, b in lines}, pattern, key)
+            was = gc.isenabled()
+            gc.disable()
+            try:
+                own = encoder({base64.b64decode(a): int(b) for a, b in lines}, pattern, key)
+                gc.freeze()  # the vocabulary's millions of small objects, without circles, need not be looked through
+            finally:
+                if was:
+                    gc.enable()
         for batch in batches:
             counts, hashes, back, lists = [], [], [], []
             for t in batch.column(where).to_pylist():

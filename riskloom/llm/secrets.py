@@ -3,10 +3,12 @@
 Every historical version of a text is a blob named by its SHA-256. A blob is scanned once for each
 version of the rules; the ledger remembers which pairs have been done and what they held, and a join
 gives the findings back to every path that ever had the blob. Copies are dropped within each task
-before texts are shuffled, so that a group of copies adds one text per task at most.
+before texts are shuffled, so that a group of copies adds one text per task at most; where findings
+go back to paths, the paths of a blob that very many have are dealt out over several tasks.
 
 Defined results: a null text is the empty blob; repeated rows each get the blob's findings; a null
-path is kept; an empty table gives an empty result.
+path is kept; an empty table gives an empty result. Texts of any length are scanned whole; columns
+besides path and text play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import free, prepare, staged
+from riskloom.llm.common import free, prepare, spread_join, staged
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def scan(
     version and spans; give it to the next call, which then scans the pairs it lacks and no others.
     """
     prepare(versions.sparkSession)
-    paths = versions.select(F.col(path), blob_id(F.col(text)).alias("blob"))
+    paths = staged(versions.select(F.col(path), blob_id(F.col(text)).alias("blob")), "secret-paths")
     texts = versions.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
         _once_per_task, "blob string, text string"
     )
@@ -104,10 +106,7 @@ def scan(
         )
     else:
         texts = texts.withColumn("done", F.array().cast("array<string>"))
-    fresh = texts.repartition("blob").mapInArrow(
-        _scanner(rules), f"blob string, scanned array<string>, spans {FINDINGS}"
-    )
-    fresh = staged(fresh, "secret-scan")
+    fresh = _scanned(texts, rules)
     kinds = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
     entries = fresh.select("blob", F.explode("scanned").alias("kind"), "spans").select(
         "blob",
@@ -129,12 +128,25 @@ def scan(
             .agg(F.sort_array(F.collect_set(F.struct("s.start", "nth", "s.end", "s.kind"))).alias("x"))
             .select("blob", F.transform("x", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
         )
-    found = paths.join(held, "blob", "left").select(
+    found = spread_join(paths, held, "blob").select(
         path, "blob", F.coalesce("spans", F.array().cast(FINDINGS)).alias("spans")
     )
     return found, book
 
 
+def blobs_with_secrets(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of the blobs that hold any."""
+    prepare(versions.sparkSession)
+    texts = versions.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_once_per_task, "blob string, text string")
+    return _scanned(texts.withColumn("done", F.array().cast("array<string>")), rules).filter(F.size("spans") > 0).select("blob", "spans")
+
+
+def _scanned(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, scanned, spans) of (blob, text, done): each blob once, for the rules whose kinds are not in done."""
+    fresh = texts.repartition("blob").mapInArrow(_scanner(rules), f"blob string, scanned array<string>, spans {FINDINGS}")
+    return staged(fresh, "secret-scan")
+
+
 def _once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each distinct text of the task once, with its address."""
     seen: set[bytes] = set()
@@ -201,9 +213,8 @@ def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
     """
     blob, spans = free(docs, "_blob"), free(docs, "_spans")
     address = docs.withColumn(blob, blob_id(F.col(text)))
-    found, _ = scan(docs, text, text, rules)
-    held = found.filter(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(spans))
-    joined = address.join(held, blob, "left")
+    held = blobs_with_secrets(docs, text, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = spread_join(address, held, blob)
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
         F.struct(

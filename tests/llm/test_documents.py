@@ -196,6 +196,7 @@ def test_secrets(docs, rows, empty):
     from riskloom.llm.secrets import digests, redacted, scan
 
     found, ledger = scan(docs)
+    assert ledger.count() == 5 * len({t or "" for _, t in rows})
     out = got(digests(found), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     want = []
     for d, t in rows:
@@ -220,6 +221,48 @@ def test_private_keys_go_whole(spark):
     assert dict(map(tuple, out.collect())) == {1: "a [pem] b [pem]\nc", 2: "x [pem]", 3: rows[2][1]}
 
 
+def test_added_kinds(spark):
+    from riskloom.llm.secrets import digests, scan
+
+    key = "-----BEGIN EC PRIVATE KEY-----\nabc\n-----END EC PRIVATE KEY-----"
+    token = "ghp_" + "aB3" * 12
+    rows = [(1, f"é {key} {token}"), (2, token[:-1]), (3, "xghs_" + "0" * 40 + "é")]
+    out = {r["doc_id"]: (r["spans"], r["n_hex"]) for r in digests(scan(spark.createDataFrame(rows, "doc_id long, text string"))[0]).collect()}
+    assert out[1] == (f"pem:2:{2 + len(key)},github:{3 + len(key)}:{3 + len(key) + 40}", 0) and out[2] == ("", 0)
+    assert out[3] == ("github:1:45,hex:5:45", 1)
+
+
+@pytest.mark.parametrize("share", [1000, 3])
+def test_spread_join(spark, monkeypatch, share):
+    """Hot and null keys are dealt out, and no row is lost or doubled."""
+    from riskloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    monkeypatch.setattr(common, "SALTS", 4)
+    rows = [(k, ["hot", "warm", None, f"k{k}"][k % 4]) for k in range(400)]
+    left = spark.createDataFrame(rows, "id long, key string").withColumn("_salt", F.lit(7)).repartition(3)
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("other", 3)], "key string, v int")
+    out = common.spread_join(left, right, "key")
+    want = {"hot": 1, "k3": 2}
+    assert got(out, "id", "key", "v", "_salt") == sorted(((k, x, want.get(x), 7) for k, x in rows), key=repr)
+
+
+def test_shared_folder_of_a_cluster():
+    """Where executors have disks of their own there is no folder of one machine to fall back on."""
+    from types import SimpleNamespace
+
+    from riskloom.llm.common import shared_dir
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get("top", d)), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, top="hdfs://n/c/")) == "hdfs://n/c/riskloom-app-1"
+    assert shared_dir(session("local[4]")).startswith("file:")
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     from dataclasses import replace
 
@@ -266,10 +309,15 @@ def test_bpe_pieces():
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(3)
     cases = ["".join(r.choice("abcdethion  \n\t!!..é日本😀0123  'sre") for _ in range(r.randint(0, 90))) for _ in range(1500)]
-    for x in [*cases, " ", "  a", "a \n b", "a" * 3000, " " * 3000, "ab" * 1500, "=-" * 900]:
+    cases += [" ", "  a", "a \n b", "a" * 3000, " " * 3000, "ab" * 1500, "=-" * 900]
+    for x in cases:
         ids = own.encode(x)
         assert ids == " ".join(map(str, ref.encode_ordinary(x))), x
         assert own.decode(ids) == x.encode()
+    for pattern in (r"\S+|\s+", r"(?s:.)", r"(?s).+"):  # other patterns
+        own = Encoder(own.vocabulary, pattern)
+        ref = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        assert all(own.encode(x) == " ".join(map(str, ref.encode_ordinary(x))) for x in cases[::5])
 
 
 def test_scores(docs, rows, empty):
