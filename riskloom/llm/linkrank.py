@@ -12,7 +12,8 @@ each host's rank is less than the tolerance; a host has a rank however far from
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule and the verdict
 allow; hosts that no seed reaches are allowed; repeated rows each get their verdict; null html has
-no links; an empty table gives an empty result.
+no links, html of any length is read whole; an empty table gives an empty result; columns besides page_id,
+url and html play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def ranks(seeds: DataFrame, links: DataFrame, walk: Walk) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust) and links (a, b, w); each sums to at most 1."""
+    """(host, trust, distrust) from seeds (host, trust, distrust) and links (a, b, w); each sums to 1."""
     kinds = F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("a").alias("a"), F.col("b").alias("b")),
         F.struct(F.lit("distrust").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b")),
@@ -100,6 +101,8 @@ def ranks(seeds: DataFrame, links: DataFrame, walk: Walk) -> DataFrame:
             dropped(before)
         reached, last = rank.count(), reached
         follow = change >= walk.tolerance or reached > last
+    total = rank.groupBy("kind").agg(F.sum("r").alias("total"))  # two rows
+    rank = rank.join(F.broadcast(total), "kind").withColumn("r", F.col("r") / F.col("total"))
     value = lambda k: F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)).alias(k)
     return rank.groupBy(F.col("a").alias("host")).agg(value("trust"), value("distrust"))
 

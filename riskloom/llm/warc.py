@@ -2,14 +2,17 @@
 
 Each task buffers the first records of an archive, builds a dictionary from them, writes it in a
 leading skippable frame, and then each record as one frame compressed with it, so that any record
-can be read on its own. Payloads seen before become revisit records that name the first page.
+can be read on its own. Where the records are too few or too short to train a dictionary, the last of
+them themselves are one (a raw content dictionary), an eighth of their size at most. Payloads seen before become revisit records that name the first page.
 Archives are written under a temporary name in the shared folder and renamed when whole; the
 manifest names those of the tasks that counted, so a task that is run again leaves no double.
 
 Defined results: null html is an empty payload; of rows with equal long payloads those with the
 smallest page_id are responses (all of them, if that page's row is repeated) and the others revisits;
 a null page_id is never the first, and with no other id its rows are all responses; an empty table
-gives no archive and no rows.
+gives no archive and no rows; payloads of any length are written whole; columns besides page_id, url and
+html play no part and may have any name. Archives in a folder that is given stay there; without one
+they are kept in the application's part of the shared folder, which goes when the driver ends.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import prepare, shared_dir, staged
+from riskloom.llm.common import prepare, shared_dir, spread_join, staged
 
 #: Payloads of fewer bytes are always written out.
 REVISIT_BYTES = 100
@@ -57,6 +60,17 @@ def record(page_id: str, url: str | None, payload: bytes, refers_to: str | None,
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def dictionary(records: list[bytes]) -> bytes:
+    """A dictionary of at most DICTIONARY_BYTES and an eighth of the records' size, 256 bytes at least."""
+    size = max(256, min(DICTIONARY_BYTES, sum(map(len, records)) // 8))
+    if size >= 4096:
+        try:
+            return zstandard.train_dictionary(size, [x[:16384] for x in records], k=256, d=8).as_bytes()
+        except zstandard.ZstdError:  # too few records to train one
+            pass
+    return b"".join(x[: size // min(len(records), 4)] for x in records[-4:])
+
+
 class ArchiveWriter:
     """Writes records to a stream; the dictionary comes from the first of them."""
 
@@ -78,14 +92,9 @@ class ArchiveWriter:
 
     def _begin(self) -> None:
         first, self.first = self.first, None
-        try:
-            samples = [x[:16384] for x in first]
-            made = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8)
-            data = made.as_bytes()
-            self._write(struct.pack("<II", SKIPPABLE_MAGIC, len(data)) + data)
-            self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=made)
-        except zstandard.ZstdError:  # too few or too short records: an archive without a dictionary
-            self.compressor = zstandard.ZstdCompressor(level=self.level)
+        data = dictionary(first)
+        self._write(struct.pack("<II", SKIPPABLE_MAGIC, len(data)) + data)
+        self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(data))
         for raw in first:
             self._write(self.compressor.compress(raw))
 
@@ -141,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("page_id").alias("nth"), "url", payload.alias("payload"))
     meta = rows.filter(F.octet_length("payload") >= REVISIT_BYTES).select("nth", F.sha2("payload", 256).alias("digest"))
     firsts = meta.groupBy("digest").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    again = meta.join(firsts, "digest").filter(~F.col("nth").eqNullSafe(F.col("first")))
+    again = spread_join(meta, firsts, "digest").filter(F.col("first").isNotNull() & ~F.col("nth").eqNullSafe(F.col("first")))
     again = again.select(F.col("nth").alias("again"), "digest", F.col("first").cast("string").alias("refers_to")).distinct()
     again = staged(again, "warc-revisits")
     few = again.count() <= BROADCAST_ROWS
@@ -223,9 +232,9 @@ def _row(fields: dict[str, str], block: bytes) -> tuple:
     return page, size, digest, fields["WARC-Type"], refers
 
 
-def archived(pages: DataFrame) -> DataFrame:
-    """Write pages to archives in the shared folder and read them back, one row per page."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex[:12]}"
+def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write pages to archives in folder (a URI; else in the shared folder) and read them back, one row per page."""
+    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex[:12]}"
     kind = pages.schema["page_id"].dataType
     back = read_archives(write_archives(pages, folder), folder)
     return back.select(

@@ -52,10 +52,24 @@ def test_archives(spark, monkeypatch, broadcast):
     from riskloom.llm import warc
 
     monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    if broadcast < 0:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(name, "-1")
     pages = spark.createDataFrame(PAGES, PAGE_FIELDS).withColumns({"again": F.lit(1), "nth": F.lit(2), "payload": F.lit(3)}).repartition(3)
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert got(warc.archived(pages), *names) == archived_plain(PAGES)
     assert warc.archived(pages.filter("page_id = -1")).count() == 0
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.unset(name)
+
+
+def test_archives_in_a_folder_of_ones_own(spark, tmp_path):
+    """They stay where they were asked for."""
+    from riskloom.llm.warc import archived
+
+    out = archived(spark.createDataFrame(PAGES, PAGE_FIELDS).repartition(2), folder=(tmp_path / "archives").as_uri())
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert got(out, *names) == archived_plain(PAGES) and list((tmp_path / "archives").glob("*.warc.zst"))
 
 
 def test_dictionary_leads_the_archive(tmp_path):
@@ -83,6 +97,26 @@ def test_dictionary_leads_the_archive(tmp_path):
         assert [fields["WARC-Record-ID"] for fields, _ in read_records(f)] == [f"<urn:page:{k}>" for k in range(400)]
 
 
+@pytest.mark.parametrize("n", [1, 4, 20])
+def test_archives_of_few_records(tmp_path, n):
+    """They have a dictionary too, and it pays or is short."""
+    import struct
+
+    from riskloom.llm.warc import ArchiveWriter, read_records, record
+
+    raw = [record(str(k), "http://h/", ("<p>the same words again</p>" * 30 + str(k)).encode(), None, "2000-01-01T00:00:00Z") for k in range(n)]
+    path = tmp_path / "a.warc.zst"
+    writer = ArchiveWriter(path.open("wb"))
+    for x in raw:
+        writer.add(x)
+    writer.close()
+    data = path.read_bytes()
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == 0x184D2A5D and 0 < size <= sum(map(len, raw)) / 8 + 256 and len(data) == writer.size
+    with path.open("rb") as f:
+        assert [fields["WARC-Record-ID"] for fields, _ in read_records(f)] == [f"<urn:page:{k}>" for k in range(n)]
+
+
 # main text
 
 SHELL = (
@@ -213,7 +247,7 @@ def test_pairs_at_the_threshold(spark):
 # urls
 
 
-def judged_plain(rows, rules, damping=0.85, rounds=10):
+def judged_plain(rows, rules, damping=0.85, rounds=200):
     parse = lambda u: (re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "") or [0, "", ""])
     low = brute.low
     hosts, said = [], []
@@ -244,7 +278,8 @@ def judged_plain(rows, rules, damping=0.85, rounds=10):
         r = dict(seed)
         if own:
             for _ in range(rounds):
-                new = {h: (1 - damping) * x for h, x in seed.items()}
+                lost = sum(x for h, x in r.items() if h not in out)  # hosts without links onward hand back to the seeds
+                new = {h: (1 - damping + damping * lost) * x for h, x in seed.items()}
                 for (a, b), w in own.items():
                     new[b] = new.get(b, 0) + damping * r.get(a, 0) * w / out[a]
                 r = new
@@ -266,6 +301,9 @@ def test_long_chains_of_links(spark):
     links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "a string, b string, w long")
     rank = {r["host"]: r["trust"] for r in ranks(seeds, links, Walk(tolerance=1e-6, cut_every=15)).collect()}
     assert rank == {"a": pytest.approx(0.15 / (1 - 0.85**2), abs=1e-6), "b": pytest.approx(0.15 * 0.85 / (1 - 0.85**2), abs=1e-6)}
+    links = spark.createDataFrame([("a", "b", 1)], "a string, b string, w long")  # b hands back to a
+    rank = {r["host"]: r["trust"] for r in ranks(seeds, links, Walk(tolerance=1e-6)).collect()}
+    assert rank == {"a": pytest.approx(1 / 1.85, abs=1e-6), "b": pytest.approx(0.85 / 1.85, abs=1e-6)}
 
 
 def test_url_verdicts(spark):
