@@ -3,20 +3,28 @@
 A page is a stream of block tags and text. Streams of one host are aligned one after the other:
 equal tags are matched (longest common subsequence of siblings, level by level), neighbours with one
 tag become a repeated group, runs of tags that come again become a repeated group of several, what
-only one side has becomes optional, and text becomes a slot. Texts that a slot has on all pages with
-that slot, two different pages at least, are the template's and no main text; pages of one text count
-as one. Slots and template texts are the host's wrapper. Its
-slots below an article or main element, and not below what menus, headers, footers, sidebars,
-notices, adverts, forms and comments are marked with, hold the main text; where a wrapper has no such
-element, or a page none of it, all slots that are not marked so do. Each page is then read along its
-host's wrapper.
+only one side has becomes optional, and text becomes a slot. A slot is known by the tags, classes, ids and
+roles it stands in, at any depth. What a host's wrapper tells of its slots decides which texts are the page's own:
 
-Wrappers are inferred within each task and the few of a host are then aligned with each other, so a
-host of any number of pages adds one small wrapper per task.
+* a text that a slot has on all pages with that slot, two different pages at least, is the template's;
+* a slot of a repeated group whose texts all are links, on two different pages at least, is a menu;
+* slots in what HTML or its marks name as menus, headers, footers, sidebars, notices, adverts, forms or
+  comments are not main text; where a page has text of its own in article or main elements, that is
+  its main text, and otherwise all other slots are.
+
+Pages of one text count as one. A class or id is a mark if its last word is one, or if all its words
+are marks or words of layout ("ad-box", "site-footer"; not "legal-analysis").
+
+Wrappers are inferred within each task, and the few of a host are then aligned with each other in two
+steps, so a host of any number of pages adds one small wrapper per task. Pages are read along their host's
+wrapper afterwards.
 
 Defined results: null and empty html give an empty text; a null url, or one without a host, belongs
 to the host "" (its pages share a wrapper); unclosed tags end where their parent ends; an unclosed
-comment, script or style runs to the end; repeated rows each give a row.
+comment, script or style runs to the end; repeated rows each give a row; an empty table gives an empty
+result; html of any length and depth is read whole (blocks below DEEPEST others are siblings in the wrapper's
+tree, as which they are grouped, while their slots still go by all they stand in); columns besides
+page_id, url and html play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -37,11 +45,10 @@ from riskloom.llm.linkrank import host
 
 #: Bytes of wrappers' slots that are broadcast at most; beyond, pages are shuffled to them.
 BROADCAST_BYTES = 16 << 20
-#: Blocks within blocks beyond which a block only ends a line and its text stays in the slot around it, but for
-#: the outermost that is marked as other than main text, or as an article; all are tracked, whatever their depth.
+#: Blocks within blocks up to which a wrapper's tree is one; what is deeper is a sibling there.
 DEEPEST = 150
-#: Pairs of siblings that are aligned one by one; longer lists are grouped by tag.
-ALIGN_PAIRS = 40_000
+#: Groups in which a host's wrappers are aligned before those are.
+GROUPS = 32
 
 # fixed values: elements of HTML and words in their marks
 BLOCKS = frozenset(
@@ -60,6 +67,11 @@ MARKS = frozenset(
     "masthead toolbar comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe "
     "signup login search widget pagination pager copyright legal disclaimer hidden".split()
 )
+#: Words of layout, which don't keep a name of marks from being one.
+LAYOUT = frozenset(
+    "area bar block bottom box button buttons col column container desktop field fixed global group holder icons inner item items left "
+    "link links list mobile outer panel posts primary reader right row secondary section site slot sticky top unit user wrap wrapper".split()
+)
 #: Marks that also count on article and main themselves.
 STRONG_MARKS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related hidden".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -81,52 +93,61 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def _marked(name: str, marks: frozenset[str]) -> bool:
+    """Whether one of the classes or ids in name is a mark."""
+    for one in name.split():
+        words = [w.lower() for w in _WORD.findall(one)]
+        if words and not marks.isdisjoint(words) and (words[-1] in marks or all(w in marks or w in LAYOUT for w in words)):
+            return True
+    return False
+
+
 def _label(tag: str, attributes: str) -> str:
     """A tag with its class, id and role; digits as 0; a leading ! if it is marked as other than main text."""
     if not attributes.strip():
         return ("!" if tag in BOILERPLATE_TAGS else "") + tag
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     name = " ".join(found.get(k, "") for k in ("class", "id"))
-    words = {w.lower() for w in _WORD.findall(name)}
     strict = STRONG_MARKS if tag in ("article", "main") else MARKS
     bad = tag in BOILERPLATE_TAGS or "hidden" in found or found.get("role", "").lower() in ROLES
-    bad = bad or tag not in ("html", "body") and not words.isdisjoint(strict)
+    bad = bad or tag not in ("html", "body") and _marked(name, strict)
     main = found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
-    mark = _DIGITS.sub("0", ".".join(sorted(name.lower().split())))[:80].replace(">", "")
+    mark = _DIGITS.sub("0", ".".join(sorted(name.lower().split())))
     return ("!" if bad else "") + tag + ("*" if main else "") + ("." + mark if mark else "")
 
 
-def events(page: str) -> Iterator[tuple[str, str]]:
-    """("<", label), (">", ""), ("#", text): starts and ends of blocks, balanced, and the text of each run between them."""
-    stack: list[tuple[str, str | None]] = []  # tags and the labels of those that are told
+def events(page: str) -> Iterator[tuple[str, str, bool]]:
+    """("<", label), (">", ""), ("#", text, whether all of it is links): starts and ends of blocks, balanced, and the text of each run."""
+    stack: list[str] = []
     places: dict[str, list[int]] = {}  # of each tag in the stack
-    told = marked = articles = 0
     text: list[str] = []
     labels: dict[tuple[str, str], str] = {}
+    in_link = plain = False
 
-    def run() -> Iterator[tuple[str, str]]:
+    def run() -> Iterator[tuple[str, str, bool]]:
+        nonlocal plain
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if whole:
-                yield "#", whole
+                yield "#", whole, not plain
+        plain = False
 
-    def close(depth: int) -> Iterator[tuple[str, str]]:
-        nonlocal told, marked, articles
+    def close(depth: int) -> Iterator[tuple[str, str, bool]]:
         while len(stack) > depth:
-            tag, label = stack.pop()
-            places[tag].pop()
-            if label is not None:
-                told, marked, articles = told - 1, marked - label.startswith("!"), articles - _in_article(label)
-                yield ">", ""
+            places[stack.pop()].pop()
+            yield ">", "", False
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text.append(page[at : m.start()])
+            plain = plain or not in_link and not text[-1].isspace()
         at = m.end()
         tag = m[3].lower() if m[3] else ""
-        if tag == "br":
+        if tag == "a":
+            in_link = not m[2]
+        elif tag == "br":
             text.append(" ")
         if tag not in BLOCKS:
             continue
@@ -146,65 +167,95 @@ def events(page: str) -> Iterator[tuple[str, str]]:
         label = labels.get(key)
         if label is None:
             label = labels[key] = _label(*key)
-        shown = told < DEEPEST or not marked and (label.startswith("!") or not articles and _in_article(label))
-        if shown:
-            yield "<", label
+        yield "<", label, False
         if tag in VOID or m[0].endswith("/>") and tag in ("hr", "svg", "iframe"):
-            if shown:
-                yield ">", ""
+            yield ">", "", False
             continue
         places.setdefault(tag, []).append(len(stack))
-        stack.append((tag, label if shown else None))
-        if shown:
-            told, marked, articles = told + 1, marked + label.startswith("!"), articles + _in_article(label)
+        stack.append(tag)
     rest = page[at:]
     text.append(rest[: cut.start()] if (cut := re.search(r"<[a-zA-Z/!][^<>]*\Z", rest)) else rest)
+    plain = plain or not in_link and not text[-1].isspace()
     yield from run()
     yield from close(0)
 
 
-# A node of a wrapper is [label, optional, repeated, children]; a group of several has the label "(" and a slot "#".
+def slots(page: str) -> Iterator[tuple[int, bool, bool, str, bool]]:
+    """(slot, whether it is marked as other than main text, whether it is in an article, text, whether all of it is links)."""
+    for kind, at, value, linked in _placed(page):
+        if kind == "#":
+            yield *at, value, linked
 
 
-def page_tree(page: str, texts: dict[str, set[int]] | None = None) -> list:
-    """The wrapper of one page: its children, with repeats found; texts gets the hashes of each unmarked slot's texts."""
-    top: list = []
-    open_ = [top]
-    path = [""]
-    for kind, value in events(page):
+def _placed(page: str) -> Iterator[tuple[str, tuple[int, bool, bool], str, bool]]:
+    """events() with the slot and what it stands in."""
+    path = [(0, False, False)]
+    for kind, value, linked in events(page):
         if kind == "<":
-            node = [value, False, False, []]
-            open_[-1].append(node)
-            open_.append(node[3])
-            path.append(f"{path[-1]}>{value}")
+            slot, marked, article = path[-1]
+            path.append((_below(slot, value), marked or value.startswith("!"), article or _is_article(value)))
         elif kind == ">":
             path.pop()
-            children = open_.pop()
-            children[:] = folded(children)
-        else:
-            open_[-1].append(["#", False, False, []])
-            if texts is not None and ">!" not in path[-1]:
-                texts.setdefault(path[-1], set()).add(xxhash.xxh3_64_intdigest(value))
-    return folded(top)
+        yield kind, path[-1], value, linked
+
 
+def _below(slot: int, label: str) -> int:
+    """The slot in a block with this label, from that around it."""
+    return xxhash.xxh3_64_intdigest(label, seed=slot)
 
-# A template is {path: (page, texts)}: the texts that all pages with this slot have, and the one page (its texts' hash) or None for several.
 
+def _is_article(label: str) -> bool:
+    name = label.partition(".")[0]
+    return name in ("article", "main") or name.endswith("*")
 
-def page_template(texts: dict[str, set[int]]) -> dict[str, tuple[int | None, set[int]]]:
-    """The template of one page, from page_tree()'s texts."""
-    page = xxhash.xxh3_64_intdigest(repr(sorted((p, sorted(t)) for p, t in texts.items())))
-    return {p: (page, t) for p, t in texts.items()}
 
+# A node of a wrapper is [label, optional, repeated, children]; a group of several has the label "("; a text has "#" and its slots as children.
+# What is known of a slot is (page, texts, linked): the one page that has it (its texts' hash) or None for several, the texts that
+# all pages with it have, and whether all its texts are links.
+Known = tuple[int | None, set[int], bool]
 
-def joined(a: dict[str, tuple[int | None, set[int]]], b: dict[str, tuple[int | None, set[int]]]) -> dict[str, tuple[int | None, set[int]]]:
-    """The template of two templates' pages; adds b to a."""
-    for path, (page, texts) in b.items():
-        if path in a:
-            own, common = a[path]
-            a[path] = (own if own == page else None, common & texts)
+
+def page_wrapper(page: str) -> tuple[list, dict[int, Known]]:
+    """The wrapper of one page: its tree, with repeats found, and what is known of its unmarked slots."""
+    top: list = []
+    open_, depth = [top], 0
+    texts: dict[int, set[int]] = {}
+    plain: set[int] = set()
+    for kind, (slot, marked, _), value, linked in _placed(page):
+        if kind == "<":
+            depth += 1
+            node = [value, False, False, []]
+            open_[-1].append(node)
+            if depth <= DEEPEST:
+                open_.append(node[3])
+        elif kind == ">":
+            if depth <= DEEPEST:
+                children = open_.pop()
+                children[:] = folded(children)
+            depth -= 1
+        else:
+            open_[-1].append(["#", False, False, [slot]])
+            if not marked:
+                texts.setdefault(slot, set()).add(xxhash.xxh3_64_intdigest(value))
+                if not linked:
+                    plain.add(slot)
+    own = xxhash.xxh3_64_intdigest(repr(sorted((p, sorted(t)) for p, t in texts.items())))
+    return folded(top), {p: (own, t, p not in plain) for p, t in texts.items()}
+
+
+def page_tree(page: str) -> list:
+    """The tree of page_wrapper()."""
+    return page_wrapper(page)[0]
+
+
+def joined(a: dict[int, Known], b: dict[int, Known]) -> dict[int, Known]:
+    """What is known of the slots of both wrappers' pages; adds b to a."""
+    for slot, (page, texts, linked) in b.items():
+        if slot in a:
+            own, common, links = a[slot]
+            a[slot] = (own if own == page else None, common & texts, links and linked)
         else:
-            a[path] = (page, texts)
+            a[slot] = (page, texts, linked)
     return a
 
 
@@ -214,7 +265,8 @@ def _name(node: list) -> object:
 
 def merged(a: list, b: list) -> list:
     """One node that both a and b, of equal name, fit."""
-    return [a[0], a[1] or b[1], a[2] or b[2], aligned(a[3], b[3])]
+    below = sorted({*a[3], *b[3]}) if a[0] == "#" else aligned(a[3], b[3])
+    return [a[0], a[1] or b[1], a[2] or b[2], below]
 
 
 def folded(nodes: list) -> list:
@@ -248,129 +300,143 @@ def aligned(a: list, b: list) -> list:
     """The union-free alignment of two lists of siblings."""
     if a == b:
         return a
-    if len(a) * len(b) > ALIGN_PAIRS:
-        return _grouped(a + b)
-    na, nb = [_name(x) for x in a], [_name(x) for x in b]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if na[i] == nb[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and na[i] == nb[j]:
-            out.append(merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, a[i][2], a[i][3]])
-            i += 1
-        else:
-            out.append([b[j][0], True, b[j][2], b[j][3]])
-            j += 1
+    for k, l in [*common([_name(x) for x in a], [_name(x) for x in b]), (len(a), len(b))]:
+        out += [[n[0], True, n[2], n[3]] for n in [*a[i:k], *b[j:l]]]
+        if k < len(a):
+            out.append(merged(a[k], b[l]))
+        i, j = k + 1, l + 1
     return folded(out)
 
 
-def _grouped(nodes: list) -> list:
-    """One optional repeated node for each name, in the order of their first."""
-    first: dict = {}
-    for node in nodes:
-        name = _name(node)
-        first[name] = merged(first[name], node) if name in first else node
-    return [[n[0], True, True, n[3]] for n in first.values()]
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence, for lists of any length: a row of its table is the bits of one integer."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    left, right = a[start : len(a) - end], b[start : len(b) - end]
+    where: dict = {}
+    for j, x in enumerate(right):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(right)) - 1
+    row, rows = full, []
+    for x in left:  # a bit is 0 where the length grows in this row
+        hit = row & where.get(x, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    found, i, j = [], len(left), len(right)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((start + i, start + j))
+    same = [(k, k) for k in range(start)] + found[::-1]
+    return same + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
 
 
 def as_regex(nodes: list) -> str:
     """A wrapper written out: <tag>, #, ( )+, ( )?."""
     parts = []
     for label, optional, repeated, children in nodes:
-        inner = as_regex(children)
+        inner = "" if label == "#" else as_regex(children)
         text = "#" if label == "#" else inner if label == "(" else f"<{label}>{inner}</>"
         sign = "*" if optional and repeated else "+" if repeated else "?" if optional else ""
         parts.append(f"({text}){sign}" if sign else text)
     return "".join(parts)
 
 
-def slots(nodes: list, path: str = "") -> Iterator[str]:
-    """The paths of a wrapper's text slots."""
-    for label, _, _, children in nodes:
-        if label == "#":
-            yield path
-        else:
-            yield from slots(children, path if label == "(" else f"{path}>{label}")
-
-
-def main_slots(nodes: list) -> tuple[list[str], list[str]]:
-    """(slots in articles, slots not marked as other than main text)."""
-    plain = sorted({p for p in slots(nodes) if ">!" not in p})
-    return [p for p in plain if _in_article(p)], plain
+def repeated_slots(nodes: list, inside: bool = False) -> Iterator[int]:
+    """The slots in repeated groups."""
+    for label, _, repeated, children in nodes:
+        if label != "#":
+            yield from repeated_slots(children, inside or repeated)
+        elif inside or repeated:
+            yield from children
 
 
-def _in_article(path: str) -> bool:
-    return any(x.partition(".")[0] in ("article", "main") or x.partition(".")[0].endswith("*") for x in path.split(">"))
+def told(tree: list, known: dict[int, Known]) -> tuple[dict[int, set[int]], set[int]]:
+    """What a host's wrapper tells of its slots: (the template's texts by slot, menus)."""
+    shared = {slot: (texts, linked) for slot, (page, texts, linked) in known.items() if page is None}
+    menus = {slot for slot in repeated_slots(tree) if slot in shared and shared[slot][1]}
+    return {slot: texts for slot, (texts, _) in shared.items() if texts}, menus
 
 
-def main_text(page: str, article: set[str] | frozenset[str], plain: set[str] | frozenset[str], template: dict[str, list[int]] | None = None) -> str:
-    """The text of a page's slots in article, or in plain if none of it is there, but for the template's; one line per block."""
-    path = [""]
+def main_text(page: str, template: dict[int, set[int]] | None = None, menus: set[int] | frozenset[int] = frozenset()) -> str:
+    """The page's own texts: those in articles, or all unmarked ones if there are none; one line per block."""
     first, second = [], []
-    for kind, value in events(page):
-        if kind == "<":
-            path.append(f"{path[-1]}>{value}")
-        elif kind == ">":
-            path.pop()
-        elif template and path[-1] in template and xxhash.xxh3_64_intdigest(value) in template[path[-1]]:
+    template = template or {}
+    for slot, marked, article, text, _ in slots(page):
+        if marked or slot in template and xxhash.xxh3_64_intdigest(text) in template[slot]:
             continue
-        elif path[-1] in article:
-            first.append(value)
-        elif path[-1] in plain:
-            second.append(value)
+        if article:
+            first.append(text)
+        elif slot not in menus:
+            second.append(text)
     return "\n".join(first or second)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON: its tree, and the template's texts by path) of url, html."""
-    prepare(pages.sparkSession)
-    rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+def _written(tree: list, known: dict[int, Known]) -> str:
+    return json.dumps([tree, [[slot, page, sorted(texts), linked] for slot, (page, texts, linked) in sorted(known.items())]])
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, list] = {}
-        said: dict[str, dict] = {}
-        seen: set[tuple[str, str]] = set()
-        for batch in batches:
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts: dict[str, set[int]] = {}
-                tree = page_tree(page, texts)
-                said[name] = joined(said.get(name, {}), page_template(texts))
-                key = (name, json.dumps(tree))
-                if key not in seen:
-                    seen.add(key)
-                    own[name] = aligned(own[name], tree) if name in own else tree
-                if len(own) > 5000 or len(seen) > 50_000:
-                    yield _batch(own, said)
-                    own.clear()
-                    said.clear()
-                    seen.clear()
-        if own:
-            yield _batch(own, said)
-
-    def _batch(own: dict[str, list], said: dict[str, dict]) -> pa.RecordBatch:
-        made = [json.dumps([tree, {p: (page, sorted(t)) for p, (page, t) in sorted(said[name].items())}]) for name, tree in own.items()]
+
+def _read(text: str) -> tuple[list, dict[int, Known]]:
+    tree, known = json.loads(text)
+    return tree, {slot: (page, set(texts), linked) for slot, page, texts, linked in known}
+
+
+def _one(table: pa.Table) -> pa.Table:
+    """The wrappers of a host as one."""
+    trees: set[str] = set()
+    known: dict[int, Known] = {}
+    for text in table.column("wrapper").to_pylist():
+        tree, more = _read(text)
+        trees.add(json.dumps(tree))
+        known = joined(known, more)
+    out: list | None = None
+    for text in sorted(trees):
+        tree = json.loads(text)
+        out = tree if out is None else aligned(out, tree)
+    return pa.table({"host": table.column("host")[:1], "wrapper": [_written(out, known)]})
+
+
+def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A wrapper of the pages of each host in the task."""
+    own: dict[str, list] = {}
+    known: dict[str, dict[int, Known]] = {}
+    seen: set[tuple[str, str]] = set()
+
+    def all_() -> pa.RecordBatch:
+        made = [_written(tree, known[name]) for name, tree in own.items()]
         return pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(made, pa.string())], names=["host", "wrapper"])
 
-    def whole(table: pa.Table) -> pa.Table:
-        trees: set[str] = set()
-        said: dict = {}
-        for text in table.column("wrapper").to_pylist():
-            tree, more = json.loads(text)
-            trees.add(json.dumps(tree))
-            said = joined(said, {p: (page, set(t)) for p, (page, t) in more.items()})
-        out: list | None = None
-        for text in sorted(trees):
-            tree = json.loads(text)
-            out = tree if out is None else aligned(out, tree)
-        template = {p: sorted(t) for p, (page, t) in sorted(said.items()) if page is None and t}
-        return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps([out, template])]})
+    for batch in batches:
+        for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tree, more = page_wrapper(page)
+            known[name] = joined(known.get(name, {}), more)
+            key = (name, json.dumps(tree))
+            if key not in seen:
+                seen.add(key)
+                own[name] = aligned(own[name], tree) if name in own else tree
+            if len(own) > 5000 or len(seen) > 50_000:
+                yield all_()
+                for x in (own, known, seen):
+                    x.clear()
+    if own:
+        yield all_()
+
 
-    return rows.mapInArrow(partial, "host string, wrapper string").groupBy("host").applyInArrow(whole, "host string, wrapper string")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper as JSON: its tree, and what is known of its slots) of url, html."""
+    prepare(pages.sparkSession)
+    rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    fields = "host string, wrapper string"
+    some = rows.mapInArrow(_inferred, fields).withColumn("g", F.pmod(F.xxhash64("wrapper"), F.lit(GROUPS)))
+    return some.groupBy("host", "g").applyInArrow(_one, fields).groupBy("host").applyInArrow(_one, fields)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -382,15 +448,14 @@ def extracted(pages: DataFrame) -> DataFrame:
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[frozenset[str], frozenset[str], dict[str, list[int]]]] = {}
+        known: dict[str, tuple[dict[int, set[int]], set[int]]] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
-                    tree, template = json.loads(wrapper or "[[], {}]")
-                    known[wrapper] = (*map(frozenset, main_slots(tree)), template)
+                    known[wrapper] = told(*_read(wrapper or "[[], []]"))
                 texts.append(main_text(page or "", *known[wrapper]))
             new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["page_id", "url", "text", "n_chars"])

@@ -153,17 +153,18 @@ def test_blocks_below_many_others():
     """Marks and end tags count at any depth."""
     import time
 
-    from riskloom.llm.wrapper import main_slots, main_text, page_tree
+    from riskloom.llm.wrapper import main_text as read
+    from riskloom.llm.wrapper import page_wrapper
 
-    read = lambda x: main_text(x, *map(set, main_slots(page_tree(x))))
     down, up = "<div>" * 200, "</div>" * 200
     assert read(f"<div id=page><article>{down}text{up}<p>rest</p></article>after</div>") == "text\nrest"
     assert read(f"{down}a<nav>menu<div>more</div></nav>b<form>f</form><div class=sidebar>s<article>no</article></div>c{up}d") == "a\nb\nc\nd"
     assert read(f"{down}a<article>b<aside>no</aside><main>c</main></article>{up}d") == "b\nc"
     assert read(f"<nav>{down}menu{up}</nav>{down}<ul><li>x<li>y</ul>{up}z") == "x\ny\nz"
     start = time.perf_counter()
-    read("<div>" * 50_000 + "<ul>" + "<li>x" * 20_000 + "</div>" * 50_000)
-    assert time.perf_counter() - start < 20
+    far = "<div>" * 50_000 + "<ul>" + "<li>x" * 20_000 + "</div>" * 50_000
+    assert read(far) == "\n".join("x" * 20_000) and len(page_wrapper(far)[1]) == 1
+    assert time.perf_counter() - start < 40
 
 
 def test_template_texts(spark):
@@ -182,6 +183,53 @@ def test_template_texts(spark):
         assert {r["page_id"]: r["text"] for r in out.collect()} == want
 
 
+def test_marks_are_whole_names():
+    from riskloom.llm.wrapper import main_text
+
+    page = '<article><h1>T</h1><div class="legal-analysis"><p>Real paragraph</p></div><section class="social-history"><p>Also real</p></section><p>end</p>{}</article>'
+    assert main_text(page.format("")) == "T\nReal paragraph\nAlso real\nend"
+    out = "".join(f'<div class="{c}">no</div>' for c in ("ad-box", "x site-footer", "related-posts", "commentsList", "cookie-notice", "share-bar", "search"))
+    assert main_text(page.format(out)) == "T\nReal paragraph\nAlso real\nend"
+    long = "x" * 90  # names that differ behind their first 80 characters are different slots
+    assert main_text(f'<div class="{long} ad">no</div><div class="{long} b">yes</div>') == "yes"
+
+
+def test_unmarked_menus(spark):
+    """The host's other pages tell a menu whose links change from a page's own text; a page alone keeps it."""
+    from riskloom.llm.wrapper import extracted
+
+    page = '<body><div id="x9"><div><a href="/{0}">Go {0}</a></div><div><a href="/{1}">{1} now</a></div></div><div class=b><p>{0} <a href="/">{1}</a></p><p><a href="/y">{2}</a></p></div></body>'
+    words = ["amber", "river", "stone", "night"]
+    rows = [(k, f"http://many/{k}", page.format(w, words[k - 1], w * 2)) for k, w in enumerate(words)] + [(9, "http://one/", page.format(*words[:3]))]
+    out = {r["page_id"]: r["text"] for r in extracted(spark.createDataFrame(rows, PAGE_FIELDS).repartition(3)).collect()}
+    assert out == {k: f"{w} {words[k - 1]}\n{w * 2}" for k, w in enumerate(words)} | {9: "Go amber\nriver now\namber river\nstone"}
+
+
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment():
+    """Against the plain table; long lists are aligned as short ones are."""
+    import time
+
+    from riskloom.llm.wrapper import aligned, common, page_tree
+
+    r = random.Random(5)
+    for _ in range(400):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 14))] for _ in range(2))
+        found = common(a, b)
+        assert all(a[i] == b[j] for i, j in found) and len(found) == longest_common(a, b)
+        assert found == sorted(found) and len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+    start = time.perf_counter()
+    one, two = ("".join(f"<div class=c{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}>t</div>" for _ in range(3000)) for _ in range(2))
+    assert len(aligned(page_tree(one), page_tree(two))) > 3000 and time.perf_counter() - start < 20
+
+
 def test_wrapper_inference():
     from riskloom.llm.wrapper import aligned, as_regex, page_tree
 
