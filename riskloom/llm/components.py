@@ -30,8 +30,9 @@ def connected(edges: DataFrame) -> DataFrame:
         up = staged(pick.join(back, "p").select("u", root.alias("r")), "components-up")
         dropped(pick)
         while True:
-            above = up.select(F.col("u").alias("r"), F.col("r").alias("rr"))
-            higher = staged(up.join(above, "r").select("u", F.col("rr").alias("r"), (F.col("r") != F.col("rr")).alias("moved")), "components-up")
+            above = up.select(F.col("u").alias("r"), F.col("r").alias("r2"))
+            twice = above.join(above.select(F.col("r").alias("r2"), F.col("r2").alias("r4")), "r2").select("r", "r4")
+            higher = staged(up.join(twice, "r").select("u", F.col("r4").alias("r"), (F.col("r") != F.col("r4")).alias("moved")), "components-up")
             dropped(up)
             up = higher.select("u", "r")
             if higher.filter("moved").isEmpty():

@@ -9,14 +9,16 @@ other set has count towards the prefix and post nothing).
 A pair's collisions are counted in the list of its first common prefix token and in no other: of each
 member the rest of the list is merged, coordinates are counted in steps, and members that can't reach
 the match threshold with the coordinates left are skipped. Lists of more than BLOCK members are cut into
-blocks, each two of which are a tile of their own. Pairs that reach the threshold are confirmed on
-the full sets, which are fetched for these pairs alone.
+blocks, each two of which are a tile of their own. What reaches the threshold must also pass a bound on
+the similarity that bit maps of the two sets prove (bits that one of two maps has are shingles that
+one of the sets has), and is confirmed on the full sets, which are fetched for these pairs alone.
 
 Only components are asked for, so that sets which are connected already need not be compared. While
-lists hold many more pairs than members, every list therefore first compares its members with one of
-them, another one each round, and what that links is one root; lists whose members have one root
-are done, and in the others only members of different roots are merged. All such pairs are compared
-in the end, whatever the rounds found.
+lists hold many more pairs than members, every list first compares its members with one of them, another
+one each round, as long as that links many. What is linked is one root; lists whose members have
+one root are done, and in the others members of different roots are merged. So that no group gives all
+its pairs, a member asks for no more than its best few partners of a tile; if any had more, the lists
+are merged again with the roots that follow and many times as many, until none had more.
 
 A pair at the threshold of 0.85 has 54.4 equal coordinates of 64 on average; that fewer than 40 are
 equal has a probability of about 2e-6, and less above the threshold. Other thresholds have as many
@@ -49,8 +51,12 @@ from riskloom.llm.components import connected
 COORDINATES, MISSED = 64, 2.5e-6
 #: Members of a list in a block; a tile has two blocks at most.
 BLOCK = 1024
-#: Pairs in open lists, as a multiple of their members, up to which all are compared at once; and rounds before that.
-DENSE, ROUNDS = 16, 8
+#: Pairs in open lists, as a multiple of their members, up to which all are compared at once.
+DENSE = 16
+#: Links of a round of comparisons with one member, as a share of the members, below which it is the last; partners at first.
+FEW, TOP = 0.1, 32
+#: The most bits in a set's map.
+MOST_BITS = 4096
 #: Coordinates that are counted in a step.
 STEP = 16
 #: Documents whose sets are compared that are broadcast at most to pick their texts; beyond, texts are shuffled to them.
@@ -155,27 +161,32 @@ def linked(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85
     ids = posted.select("node").distinct()
     rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "node", "left_semi")
     full = staged(_with_sets(rows, size).join(active.select("node", "set_key"), ["node", "set_key"]), "minhash-sets")
+    members = active.select("set_key", "signature", "mask").join(full.select("set_key", "bits").dropDuplicates(["set_key"]), "set_key")
+    members = staged(members, "minhash-members")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    roots, found, k, last = None, None, 0, False
-    while not last:
+    roots, found, more, hubs, k, top = None, None, True, True, 0, TOP
+    while more:
         lists = staged(_open_lists(posted, roots), "minhash-lists")
         size_of = lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
         size_of = size_of.agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-        pairs, members = size_of.agg(F.sum("pairs"), F.sum("n")).first()
-        if not pairs:
+        open_, posts = size_of.agg(F.sum("pairs"), F.sum("n")).first()
+        if not open_:
             break
-        last = k >= ROUNDS or pairs <= DENSE * members
-        pairs = staged(_merged(lists, active, least) if last else _hub_pairs(lists, active, least, k), "minhash-pairs")
-        new = staged(_confirmed(pairs, full, percent, kind), "minhash-links")
-        dropped(pairs)
-        dropped(lists)
-        if new.isEmpty():  # more rounds would find few links, if any
-            k = ROUNDS
-        else:
-            k += 1
+        hubs = hubs and open_ > DENSE * posts
+        pairs = _hub_pairs(lists, members, least, percent, k) if hubs else _merged(lists, members, least, percent, top)
+        pairs = staged(pairs, "minhash-pairs")
+        new = staged(_confirmed(pairs.select("a", "b"), full, percent, kind), "minhash-links")
+        links = new.count()
+        if links:
             found = new if found is None else found.unionByName(new)
             roots = connected(found)
-    for df in (posted, full, active):
+        if hubs:
+            hubs, k = links >= FEW * posts, k + 1
+        else:
+            more, top = not pairs.filter("more").isEmpty(), top * 32
+        dropped(pairs)
+        dropped(lists)
+    for df in (posted, full, active, members):
         dropped(df)
     if roots is None:
         roots = sketch.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).filter(F.lit(False))
@@ -209,20 +220,52 @@ def _open_lists(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
     return lists.join(several, "token")
 
 
-def _hub_pairs(lists: DataFrame, active: DataFrame, least: int, k: int) -> DataFrame:
-    """(a, b): each member of a list with one of the list, if they have different roots and collide often enough."""
+def _hub_pairs(lists: DataFrame, members: DataFrame, least: int, percent: int, k: int) -> DataFrame:
+    """(a, b, more): each member of a list with one of the list, if they have different roots and may be similar."""
     order = F.xxhash64("set_key", "token", F.lit(k))
     hubs = lists.groupBy("token").agg(F.min_by(F.struct("set_key", "root"), order).alias("hub"))
     pairs = lists.join(hubs, "token").filter(F.col("hub.root") != F.col("root"))
     pairs = pairs.select(F.col("set_key").alias("a"), F.col("hub.set_key").alias("b")).distinct()
-    one = active.select(F.col("set_key").alias("a"), F.col("signature").alias("sa"))
-    two = active.select(F.col("set_key").alias("b"), F.col("signature").alias("sb"))
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return pairs.join(two, "b").join(one, "a").filter(same >= least).select("a", "b")
+    own = lambda key, signature, n, bits: members.select(
+        F.col("set_key").alias(key), F.col("signature").alias(signature), F.col("bits.n").alias(n), F.col("bits.map").alias(bits)
+    )
+    pairs = pairs.join(own("b", "sb", "nb", "mb"), "b").join(own("a", "sa", "na", "ma"), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sa, sb = (batch.column(c).flatten().to_numpy().reshape(-1, COORDINATES) for c in ("sa", "sb"))
+                na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+                maps = zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True)
+                apart = np.fromiter((_apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in maps), np.int64, batch.num_rows)
+                keep = ((sa == sb).sum(axis=1) >= least) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+                out = [batch.column("a"), batch.column("b"), pa.array(np.zeros(batch.num_rows, bool))]
+                yield pa.RecordBatch.from_arrays(out, names=["a", "b", "more"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "a binary, b binary, more boolean")
+
+
+def bit_map(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by its hash; a few bits a shingle, 64 at least and MOST_BITS at most."""
+    bits = min(MOST_BITS, max(64, 1 << int(4 * len(shingles)).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(shingles >> np.uint64(20)).astype(np.int64) & (bits - 1)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
 
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A map (or several, as rows) as it would be with size words."""
+    return np.bitwise_or.reduce(words.reshape(*words.shape[:-1], -1, size), axis=-2)
 
-def _merged(lists: DataFrame, active: DataFrame, least: int) -> DataFrame:
-    """(a, b): all pairs of open lists that have different roots and collide often enough."""
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """At most the number of shingles that only one of the sets has."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+
+
+def _merged(lists: DataFrame, members: DataFrame, least: int, percent: int, top: int) -> DataFrame:
+    """(a, b, more): pairs in open lists that have different roots and may be similar, up to top of a member in a tile; more if it had more."""
     counts = staged(lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")), "minhash-list-sizes")
     long = counts.groupBy("token").agg(F.sum("c").alias("n")).filter(F.col("n") > BLOCK).select("token")
     # a root of more than BLOCK members has blocks of its own, which need not meet each other
@@ -237,12 +280,13 @@ def _merged(lists: DataFrame, active: DataFrame, least: int) -> DataFrame:
     tiles = member.select("token", F.least("name", "other.name").alias("x"), F.greatest("name", "other.name").alias("y"), "name", "set_key", "root")
     none = F.lit("")
     short = lists.join(long, "token", "left_anti").select("token", none.alias("x"), none.alias("y"), none.alias("name"), "set_key", "root")
-    tiles = short.unionByName(tiles).join(active.select("set_key", "signature", "mask"), "set_key")
+    tiles = short.unionByName(tiles).join(members.select("set_key", "signature", "mask", "bits.n", "bits.map"), "set_key")
     tiles = tiles.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return tiles.select("token", "x", "y", "name", "root", "set_key", "signature", "mask").mapInArrow(_collisions(least), "a binary, b binary")
+    tiles = tiles.select("token", "x", "y", "name", "root", "set_key", "signature", "mask", "n", "map")
+    return tiles.mapInArrow(_collisions(least, percent, top), "a binary, b binary, more boolean")
 
 
-def _collisions(least: int):
+def _collisions(least: int, percent: int, top: int):
     """Counts the collisions of each two members of a tile; tiles are neighbouring rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +323,10 @@ def _collisions(least: int):
         root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
         name = table.column("name").combine_chunks().dictionary_encode().indices.to_numpy()
         apart = pc.not_equal(table.column("x"), table.column("y")).to_numpy()
-        first, second = [], []
+        n = table.column("n").to_numpy()
+        maps = [np.frombuffer(x, np.uint64) for x in table.column("map").to_pylist()]
+        words = np.fromiter(map(len, maps), np.int64, len(maps))
+        first, second, more = [], [], []
         for s, e in zip(starts, [*starts[1:], len(token)], strict=True):
             k = int(token[s]) % COORDINATES
             for i in range(s, e - 1):
@@ -302,12 +349,23 @@ def _collisions(least: int):
                         near, count, both = near[stay], count[stay], both[stay]
                         if len(near) == 0:
                             break
-                first.extend([i] * len(near))
-                second.extend(near.tolist())
+                if len(near):
+                    stay = np.zeros(len(near), bool)
+                    for size in np.unique(words[near]):
+                        own = np.nonzero(words[near] == size)[0]
+                        less = min(size, words[i])
+                        others = folded(np.stack([maps[j] for j in near[own]]), less)
+                        differ = np.bitwise_count(others ^ folded(maps[i], less)).sum(axis=1, dtype=np.int64)
+                        stay[own] = differ * (100 + percent) <= (n[near[own]] + n[i]) * (100 - percent)
+                    near, count = near[stay], count[stay]
+                best = near[np.argsort(-count, kind="stable")[:top]]
+                first.extend([i] * len(best))
+                second.extend(best.tolist())
+                more.extend([len(near) > top] * len(best))
         key = table.column("set_key")
         for at in range(0, len(first), 10_000):
             pair = [key.take(pa.array(v[at : at + 10_000], pa.int64())).combine_chunks() for v in (first, second)]
-            yield pa.RecordBatch.from_arrays(pair, names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([*pair, pa.array(more[at : at + 10_000])], names=["a", "b", "more"])
 
     return run
 
@@ -332,24 +390,27 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, kind: str) -> Da
 
 
 def _with_sets(rows: DataFrame, size: int) -> DataFrame:
-    """node, set_key, shingles of each distinct row of node and text; copies within a task are dropped."""
+    """node, set_key, shingles and bits (their number and map) of each distinct row of node and text; copies within a task are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
+        bits = pa.struct([("n", pa.int64()), ("map", pa.binary())])
         for batch in batches:
-            rows = []
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                shingles = shingle_set(raw or b"", size).tobytes()
-                key = hashlib.blake2b(shingles, digest_size=16).digest()
-                if (node, key) not in seen:
-                    seen.add((node, key))
-                    rows.append({"node": node, "set_key": key, "shingles": shingles})
-            if rows:
-                kinds = [pa.field("node", batch.schema.field(0).type), pa.field("set_key", pa.binary()), pa.field("shingles", pa.binary())]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+            fields = [pa.field("node", batch.schema.field(0).type), pa.field("set_key", pa.binary()), pa.field("shingles", pa.binary()), pa.field("bits", bits)]
+            for part in _pieces(batch, 1):
+                rows = []
+                for node, raw in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    own = shingle_set(raw or b"", size)
+                    shingles = own.tobytes()
+                    key = hashlib.blake2b(shingles, digest_size=16).digest()
+                    if (node, key) not in seen:
+                        seen.add((node, key))
+                        rows.append({"node": node, "set_key": key, "shingles": shingles, "bits": {"n": len(own), "map": bit_map(own).tobytes()}})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
     kind = rows.schema["node"].dataType.simpleString()
-    return rows.mapInArrow(run, f"node {kind}, set_key binary, shingles binary")
+    return rows.mapInArrow(run, f"node {kind}, set_key binary, shingles binary, bits struct<n:long,map:binary>")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:

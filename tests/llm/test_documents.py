@@ -86,6 +86,7 @@ def test_weak_chains_and_a_shared_passage(spark, monkeypatch):
 
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "DENSE", 0)
+    monkeypatch.setattr(minhash, "TOP", 1)
     chain = [f"w{i}" for i in range(400)]
     rows = [(f"c{k:02}", " ".join(chain[k * 8 : k * 8 + 150])) for k in range(24)]
     passage = " ".join(f"p{i}" for i in range(100))
@@ -96,6 +97,21 @@ def test_weak_chains_and_a_shared_passage(spark, monkeypatch):
     assert {r[2] for r in out if r[0] < "d"} == {"c00"} and sum(r[3] for r in out) == 25
 
 
+def test_bit_maps_bound_the_difference():
+    import numpy as np
+
+    from riskloom.llm.minhash import MOST_BITS, _apart, bit_map
+
+    g = np.random.default_rng(1)
+    for n in (1, 5, 40, 300, 5000):
+        a = np.unique(g.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], g.integers(0, 2**63, n, dtype=np.uint64)]))
+        for x, y in ((a, b), (b, a), (a, a[: max(1, n // 9)])):
+            apart = _apart(bit_map(x), bit_map(y))
+            assert apart <= len(np.setxor1d(x, y)) and (n > 300 or apart >= 0.5 * len(np.setxor1d(x, y)))
+        assert len(bit_map(a)) * 64 <= MOST_BITS and _apart(bit_map(a), bit_map(a)) == 0
+
+
 def test_components(spark):
     from riskloom.llm.components import connected
 
