@@ -164,6 +164,13 @@ FAMILIES = {
 ALIASES = {"normal": "gaussian", "logistic": "binomial", "quasi_poisson": "quasipoisson", "quasi_binomial": "quasibinomial", "negative_binomial": "negbinomial", "nb": "negbinomial"}
 
 
+def register_family(family: Family, *aliases: str) -> Family:
+    """Make a family known by its name (in lower case) and aliases, which models may then be given."""
+    FAMILIES[family.name] = family
+    ALIASES.update(dict.fromkeys(aliases, family.name))
+    return family
+
+
 def get_family(name: str, theta: float = 1.0, var_power: float = 1.5) -> Family:
     """A family by name or alias; theta and var_power are those of the two that have a parameter."""
     name = ALIASES.get(name.lower(), name.lower())

@@ -58,6 +58,12 @@ LINKS = {
 }
 
 
+def register_link(link: Link) -> Link:
+    """Make a link known by its name, which models may then be given."""
+    LINKS[link.name] = link
+    return link
+
+
 def get_link(name: str) -> Link:
     if name not in LINKS:
         raise ValidationError(f"unknown link {name!r}; one of {', '.join(LINKS)}")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.factors import level
+from riskloom.operators.prefix import within
 
 
 def interaction_key(*factors: Column) -> Column:
@@ -32,14 +33,17 @@ def target_apply(df: DataFrame, key: Column, stats: DataFrame, prior: float, wei
 def target_ordered(
     df: DataFrame, key: Column, y: Column, orders: list[list[Column]], prior: float, weight: float = 1.0, exposure: Column | None = None, name: str = "encoded"
 ) -> DataFrame:
-    """Ordered target statistics: each row sees only rows of its level that come before it, averaged over orders."""
+    """Ordered target statistics: each row sees only rows of its level that come before it, averaged over orders.
+
+    A level with very many rows is spread over several partitions.
+    """
     e = F.lit(1.0) if exposure is None else exposure.cast("double")
     total = F.lit(0.0)
-    for order in orders:
-        before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        s, n = F.coalesce(F.sum(y.cast("double")).over(before), F.lit(0.0)), F.coalesce(F.sum(e).over(before), F.lit(0.0))
-        total = total + (s + F.lit(prior * weight)) / (n + F.lit(weight))
-    return df.withColumn(name, total / len(orders))
+    out = df
+    for k, order in enumerate(orders):
+        out = within(out, key, order, {f"_s{k}": y, f"_n{k}": e})
+        total = total + (F.col(f"_s{k}") + F.lit(prior * weight)) / (F.col(f"_n{k}") + F.lit(weight))
+    return out.withColumn(name, total / len(orders)).select(*df.columns, name)
 
 
 def permutations(row_id: Column, n: int = 4, seed: int = 42) -> list[list[Column]]:

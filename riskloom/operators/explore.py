@@ -20,9 +20,9 @@ def response_stats(df: DataFrame, y: Column, exposure: Column) -> DataFrame:
     out = df.agg(
         F.count(F.lit(1)).alias("n"), F.sum(exposure.cast("double")).alias("exposure"), F.sum(y.cast("double")).alias("total"), F.avg(rate).alias("mean_rate"),
         F.stddev_pop(rate).alias("std_rate"), F.min(rate).alias("min_rate"), F.max(rate).alias("max_rate"), F.count(F.when(y == 0, 1)).alias("zeros"),
-        F.percentile(rate, F.array(*map(F.lit, names.values()))).alias("_p"),
     )
-    out = out.withColumns({k: F.get("_p", F.lit(i)) for i, k in enumerate(names)}).drop("_p")
+    found = linear(df, rate, list(names.values())) or [None] * len(names)
+    out = out.withColumns({k: F.lit(v).cast("double") for k, v in zip(names, found, strict=True)})
     return out.withColumn("zero_pct", 100.0 * F.col("zeros") / F.col("n"))
 
 
@@ -97,12 +97,35 @@ def correlation_array(df: DataFrame, columns: list[Column]) -> np.ndarray:
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Variance inflation of each column against the others: the diagonal of the inverse correlation."""
+    """Variance inflation of each column against the others, largest first (rank 1): the diagonal of the inverse correlation."""
     corr = correlation_array(df, [F.col(c) for c in columns])
     values = np.diag(np.linalg.inv(corr + 1e-10 * np.eye(len(columns))))
     grade = lambda v: "severe" if v > 10 else "moderate" if v > 5 else "none"
-    rows = [(c, float(v), grade(v)) for c, v in zip(columns, values, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "factor string, vif double, severity string")
+    rows = sorted(((c, float(v), grade(v)) for c, v in zip(columns, values, strict=True)), key=lambda r: (-r[1], r[0]))
+    return df.sparkSession.createDataFrame([(*r, k + 1) for k, r in enumerate(rows)], "factor string, vif double, severity string, rank long")
+
+
+# fixed values: scales whose names have an order
+SCALES = {"low_medium_high": ("low", "medium", "high"), "size": ("small", "medium", "large"), "age": ("young", "middle", "old")}
+
+
+def ordinal_pattern(df: DataFrame, factors: list[str]) -> DataFrame:
+    """(factor, pattern) of factors: numeric, alphabetic, one of SCALES, prefix_numeric, or null if the levels have no order; one pass."""
+    name = level(F.col("c.v"))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("v")) for f in factors]))
+    levels = df.select(cells.alias("c")).select(F.col("c.factor").alias("factor"), name.alias("v")).distinct()
+    every = lambda c: F.every(F.coalesce(c, F.lit(False)))
+    v = F.col("v")
+    out = levels.groupBy("factor").agg(
+        every(v.try_cast("double").isNotNull()).alias("numeric"),
+        every(v.rlike(r"^\p{L}$")).alias("alphabetic"),
+        *[(F.count_distinct(F.when(F.lower(v).isin(*own), F.lower(v))) == len(own)).alias(k) for k, own in SCALES.items()],
+        every(v.rlike(r"^[A-Za-z]+[0-9]+$")).alias("prefix_numeric"),
+    )
+    pattern = F.lit(None).cast("string")
+    for k in reversed(("numeric", "alphabetic", *SCALES, "prefix_numeric")):
+        pattern = F.when(F.col(k), k).otherwise(pattern)
+    return out.select("factor", pattern.alias("pattern"))
 
 
 def missing(df: DataFrame, columns: list[str]) -> DataFrame:

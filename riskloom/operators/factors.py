@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.families import Family, residual
-from riskloom.functions.special import f_sf, t_sf2
+from riskloom.functions.special import t_sf2
 from riskloom.operators.metrics import unit_loss
 from riskloom.operators.prefix import finite, ordered
 from riskloom.operators.quantiles import band, linear, round_rank, unique_edges
@@ -118,6 +120,13 @@ def categorical_distribution(df: DataFrame, factor: Column, rare_pct: float = 1.
     return out.withColumn("is_rare", F.col("pct") < rare_pct)
 
 
+def rare_levels(df: DataFrame, factor: Column, rare_pct: float = 1.0) -> DataFrame:
+    """One row: levels, how many are rare, and the percentage of rows they have together."""
+    rare = F.col("is_rare")
+    each = categorical_distribution(df, factor, rare_pct)
+    return each.agg(F.count(F.lit(1)).alias("levels"), F.count(F.when(rare, 1)).alias("rare"), F.sum(F.when(rare, F.col("pct")).otherwise(0.0)).alias("rare_pct"))
+
+
 def residual_pattern_continuous(df: DataFrame, x: Column, r: Column, key: Column, n_bins: int = 10) -> tuple[DataFrame, DataFrame]:
     """(one row: correlation, r2, slope, p_value; mean residual of chunks of equal count by x)."""
     v = x.cast("double")
@@ -147,20 +156,42 @@ def eta_squared(df: DataFrame, factor: Column, value: Column, weight: Column | N
     return out.select("eta_squared", F.coalesce(f, F.lit(0.0)).alias("f_statistic"), "k", "n", F.col("mean_abs").alias("mean_abs_level"))
 
 
-def p_value_of_f(row) -> float:
-    return f_sf(row["f_statistic"], row["k"] - 1, row["n"] - row["k"])
-
-
 def partial_dependence_levels(df: DataFrame, factor: Column, mu: Column) -> DataFrame:
     """Mean prediction by level, relative to the first level."""
     each = df.groupBy(level(factor).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.avg(mu).alias("prediction"))
     return each.withColumn("relativity", F.col("prediction") / F.first("prediction").over(Window.orderBy("level")))
 
 
-def variation(relativities: list[float]) -> str:
-    """Class of the largest over the smallest relativity."""
-    ratio = max(relativities) / min(relativities) if relativities and min(relativities) > 0 else 1.0
-    return "high" if ratio > 2 else "medium" if ratio > 1.2 else "low"
+def variation(predictions: list[float]) -> tuple[str, str]:
+    """(class of the largest over the smallest prediction of a level, what to do)."""
+    if len(predictions) < 2:
+        return "single_level", "one level tells nothing"
+    ratio = max(predictions) / min(predictions) if min(predictions) > 0 else float("inf")
+    if ratio > 2:
+        return "high_variation", "keep as a factor"
+    return ("moderate_variation", "keep, or group similar levels") if ratio > 1.2 else ("low_variation", "its levels hardly differ: consider leaving it out")
+
+
+def effect_shape(predictions: list[float]) -> tuple[str, str]:
+    """(shape of predictions along a grid, what to do): flat, linear, monotonic, (inverted) u, steps or complex."""
+    if len(predictions) < 3:
+        return "insufficient_data", "more points are needed"
+    steps = [b - a for a, b in zip(predictions, predictions[1:], strict=False)]
+    spread, mean = max(predictions) - min(predictions), sum(predictions) / len(predictions)
+    if (spread / mean if mean > 0 else 0.0) < 0.05:
+        return "flat", "it may not be needed"
+    bends = [abs(b - a) for a, b in zip(steps, steps[1:], strict=False)]
+    straight = sum(bends) / len(bends) < 0.1 * spread
+    for way, name in ((1, "increasing"), (-1, "decreasing")):
+        if sum(s * way > 0 for s in steps) >= 0.8 * len(steps):
+            return (f"linear_{name}", "a linear term is enough") if straight else (f"monotonic_{name}", "consider a spline")
+    half = len(predictions) // 2
+    left, right = (sum(x) / len(x) if x else 0.0 for x in (steps[:half], steps[half:]))
+    if left * right < 0:
+        return ("u_shaped" if left < 0 else "inverted_u"), "use a spline of 4 or more degrees of freedom, or a polynomial"
+    if max(map(abs, steps)) > 0.4 * spread:
+        return "step_function", "consider bands"
+    return "complex", "use a spline of 5 or more degrees of freedom"
 
 
 def interaction_strength(df: DataFrame, first: Column, second: Column, value: Column, weight: Column | None = None, least: int = 30) -> DataFrame:
@@ -176,6 +207,31 @@ def interaction_strength(df: DataFrame, first: Column, second: Column, value: Co
     return total.select("cells", F.col("n").cast("long").alias("n"), F.when(sst > 0, ssb / sst).otherwise(0.0).alias("r2"), F.when(F.col("cells") > 1, f).otherwise(0.0).alias("f_statistic"))
 
 
+def interaction_strengths(df: DataFrame, coded: dict[str, Column], value: Column, weight: Column | None = None, least: int = 30) -> DataFrame:
+    """interaction_strength() of all pairs of discretised factors (a, b) in one explode and one aggregate."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    rows = df.select(value.cast("double").alias("v"), w.alias("w"), *[c.cast("string").alias(f"c{k}") for k, c in enumerate(coded.values())])
+    names = list(coded)
+    pairs = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for i, j in combinations(range(len(names)), 2)]
+    cells = rows.select("v", "w", F.explode(F.array(*pairs)).alias("p")).groupBy("p.a", "p.b", "p.x", "p.y")
+    cells = cells.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("q"))
+    total = cells.filter(F.col("n") >= least).groupBy("a", "b").agg(
+        F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"), F.sum(F.col("s") * F.col("s") / F.col("w")).alias("between")
+    )
+    sst, ssb = F.expr("q - s * s / w"), F.expr("between - s * s / w")
+    f = (ssb / (F.col("cells") - 1)) / ((sst - ssb) / (F.col("n") - F.col("cells")))
+    return total.select("a", "b", "cells", F.col("n").cast("long").alias("n"), F.when(sst > 0, ssb / sst).otherwise(0.0).alias("r2"), F.when(F.col("cells") > 1, f).otherwise(0.0).alias("f_statistic"))
+
+
+def top_factors(df: DataFrame, names: list[str], value: Column, most: int = 10, least: float = 0.0) -> DataFrame:
+    """(factor, eta_squared) of the factors that explain most of a value's variance, most first; all in one explode."""
+    each = df.select(value.cast("double").alias("r"), F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), level(F.col(n)).alias("v")) for n in names])).alias("k"))
+    s = each.groupBy("k.factor", "k.v").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    between, square = F.sum(F.col("s") * F.col("s") / F.col("n")), F.sum("s") * F.sum("s") / F.sum("n")
+    eta = s.groupBy("factor").agg(((between - square) / (F.sum("q") - square)).alias("eta_squared"))
+    return eta.filter(F.col("eta_squared") >= least).orderBy(F.col("eta_squared").desc(), "factor").limit(most)
+
+
 def level_union(train: DataFrame, test: DataFrame, factor: Column, y: Column, mu: Column) -> DataFrame:
     """A/E of each level in either frame, side by side; unstable if they differ by over 0.1."""
     table = lambda df, s: df.groupBy(level(factor).alias("level")).agg(F.count(F.lit(1)).alias(f"n_{s}"), (F.sum(y) / F.sum(mu)).alias(f"ae_{s}"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,17 +82,21 @@ def calibration_total(df: DataFrame, y: Column, mu: Column, exposure: Column) ->
 
 
 def moments(df: DataFrame, value: Column) -> DataFrame:
-    """mean, population standard deviation, min, max, skewness, excess kurtosis, from power sums about the mean."""
-    mean = df.agg(F.avg(value)).first()[0] or 0.0
-    d = value - F.lit(mean)
-    m2, m3, m4 = (F.avg(F.pow(d, F.lit(k))) for k in (2.0, 3.0, 4.0))
-    out = df.agg(F.avg(value).alias("mean"), F.sqrt(m2).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), m2.alias("m2"), m3.alias("m3"), m4.alias("m4"))
-    flat = F.col("m2") <= 0
-    return out.select(
-        "mean", "std", "min", "max",
-        F.when(flat, 0.0).otherwise(F.col("m3") / F.pow("m2", F.lit(1.5))).alias("skewness"),
-        F.when(flat, 0.0).otherwise(F.col("m4") / (F.col("m2") * F.col("m2")) - 3).alias("kurtosis"),
+    """mean, population standard deviation, min, max, skewness, excess kurtosis, in one pass; the last two are 0 without variance."""
+    out = df.agg(
+        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"),
     )
+    return out.withColumns({k: F.when(F.col("std") > 0, F.col(k)).otherwise(0.0) for k in ("skewness", "kurtosis")})
+
+
+def residual_summary(df: DataFrame, value: Column) -> DataFrame:
+    """moments() with nine percentiles by rounded rank."""
+    from riskloom.operators.quantiles import round_rank
+
+    names = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    picked = round_rank(df, value, list(names.values())) or [None] * len(names)
+    return moments(df, value).withColumns({k: F.lit(p).cast("double") for k, p in zip(names, picked, strict=True)})
 
 
 def overdispersion(ratio: float, df_resid: float | None = None) -> dict[str, object]:
@@ -113,6 +115,3 @@ def zero_inflation(df: DataFrame, y: Column) -> DataFrame:
         "excess_pct", F.col("observed_zero_pct") - F.col("expected_zero_pct")
     )
 
-
-def relative_index(value: float, base: float) -> float:
-    return value / base if base else math.nan

@@ -64,6 +64,7 @@ class Fit:
     converged: bool
     edf: float
     lambdas: list[float] = field(default_factory=list)
+    edf_each: list[float] = field(default_factory=list)  # of each coefficient, given smooth terms
 
 
 class Frame:
@@ -175,8 +176,8 @@ def irls(
         cov = np.linalg.inv(gram + (fit_penalty if smooth or (alpha and not l1_ratio) else 0))
     except np.linalg.LinAlgError:
         cov = np.full((p, p), np.nan)
-    degrees = float(solvers.edf(gram, fit_penalty).sum()) if smooth else float(p)
-    return Fit(beta, cov, float(out[-2]), float(out[-1]), frame.n, float(frame.sum_w), k, converged, degrees, lam.tolist())
+    each = solvers.edf(gram, fit_penalty) if smooth else np.ones(p)
+    return Fit(beta, cov, float(out[-2]), float(out[-1]), frame.n, float(frame.sum_w), k, converged, float(each.sum()), lam.tolist(), each.tolist())
 
 
 def _step(gram, xz, penalty, alpha, l1_ratio, free, signs, smooth, beta) -> np.ndarray:
@@ -230,8 +231,11 @@ class GLM:
         design = self.spec.design(self.data, training)
         return Frame(design, F.col(self.spec.response), self.weights, self.offset)
 
-    def fit(self, alpha: float = 0.0, l1_ratio: float = 0.0, max_iter: int = 25, tol: float = 1e-8, cv: int | None = None, selection: str = "min", n_alphas: int = 20) -> Model:
-        """Fit; with cv folds, alpha is chosen on a path first."""
+    def fit(
+        self, alpha: float = 0.0, l1_ratio: float = 0.0, max_iter: int = 25, tol: float = 1e-8, cv: int | None = None, selection: str = "min", n_alphas: int = 20,
+        include_unregularized: bool = False,
+    ) -> Model:
+        """Fit; with cv folds, alpha is chosen on a path first, which may end with alpha = 0 on the same folds."""
         self.validate()
         frame = self.frame()
         names = self.spec.names()
@@ -244,7 +248,7 @@ class GLM:
                 signs[a:b] = term.sign
         path = None
         if cv:
-            path = cv_path(frame, self, names, signs, l1_ratio, cv, n_alphas)
+            path = cv_path(frame, self, names, signs, l1_ratio, cv, n_alphas, include_unregularized)
             alpha = select_alpha(path, selection)
         theta_path = []
         family = self.family
@@ -306,7 +310,7 @@ def fold_of(folds: int) -> Column:
     return F.pmod(F.xxhash64("x", "y", "w", "o"), F.lit(folds)).cast("int")
 
 
-def cv_path(frame: Frame, glm: GLM, names: list[str], signs: np.ndarray, l1_ratio: float, folds: int, n_alphas: int) -> list[dict]:
+def cv_path(frame: Frame, glm: GLM, names: list[str], signs: np.ndarray, l1_ratio: float, folds: int, n_alphas: int, zero: bool = False) -> list[dict]:
     """Mean and standard error of the validation deviance for each alpha, folds by a hash of the row.
 
     One pass gives every fold's X'WX and X'Wz. For the Gaussian identity model nothing more is read;
@@ -327,7 +331,8 @@ def cv_path(frame: Frame, glm: GLM, names: list[str], signs: np.ndarray, l1_rati
     first = int(glm.spec.intercept)
     centred = np.abs(xz - gram[:, 0] * frame.mean)[first:] if first else np.abs(xz)
     largest = max(float(centred.max()) / max(l1_ratio, 1e-3) if l1_ratio else float(np.median(np.diag(gram)[first:])) * 10, 1e-3)
-    alphas = alpha_path(largest, n_alphas)
+    alphas = np.append(alpha_path(largest, n_alphas), [0.0] * zero)
+    n_alphas = len(alphas)
     scores = np.zeros((folds, n_alphas))
     simple = family.name == "gaussian" and link.name == "identity"
     free = np.zeros(p, bool)
@@ -339,7 +344,7 @@ def cv_path(frame: Frame, glm: GLM, names: list[str], signs: np.ndarray, l1_rati
             rest = whole - each[k]
             g, b = rest[: p * p].reshape(p, p), rest[p * p : p * p + p]
             for a in alphas:
-                beta = solvers.coordinate_descent(g, b, a, l1_ratio, beta, free, signs) if l1_ratio or signs.any() else solvers.solve(g + np.diag(np.where(free, 0.0, a)), b)
+                beta = solvers.coordinate_descent(g, b, a, l1_ratio, beta, free, signs) if a and l1_ratio or signs.any() else solvers.solve(g + np.diag(np.where(free, 0.0, a)), b)
                 betas.append(beta)
             gk, bk, zk = each[k][: p * p].reshape(p, p), each[k][p * p : p * p + p], each[k][-3]
             scores[k] = [(zk - 2 * b @ bk + b @ gk @ b) for b in betas]
@@ -383,6 +388,25 @@ class Model:
     def scale(self) -> float:
         return 1.0 if self.family.fixed_scale else self.fit.pearson / max(1, self.fit.n - len(self.names))
 
+    @property
+    def df_resid(self) -> int:
+        return self.fit.n - len(self.names)
+
+    @property
+    def bread(self) -> np.ndarray:
+        """The unscaled covariance: the inverse of X'WX (with the penalty of smooth terms and ridge)."""
+        return self.fit.cov
+
+    def fitted(self, df: DataFrame, name: str = "fitted") -> DataFrame:
+        """df with the mean on the rows of the fit, the same as predict()."""
+        return self.predict(df, name)
+
+    def close(self) -> None:
+        """Give up the design frame that the fit kept; robust covariances need it."""
+        if self.frame is not None:
+            self.frame.close()
+            self.frame = None
+
     def covariance(self) -> np.ndarray:
         return self.scale * self.fit.cov
 
@@ -463,6 +487,24 @@ class Model:
         stat = float(b @ np.linalg.pinv(c) @ b)
         return {"variable": variable, "chi2": stat, "df": len(own), "p_value": chi2_sf(stat, len(own))}
 
+    def smooth_terms(self) -> list[dict]:
+        """Each smooth term with its effective degrees of freedom, which its Wald test takes as reference, and what is odd about it."""
+        out = []
+        own = [(t, a, b) for t, a, b in self.spec.slices() if t.is_smooth]
+        for (t, a, b), lam in zip(own, self.fit.lambdas, strict=True):
+            beta, cov = self.fit.beta[a:b], self.covariance()[a:b, a:b]
+            edf = float(sum(self.fit.edf_each[a:b]))
+            chi2 = float(beta @ np.linalg.pinv(cov) @ beta)
+            p = chi2_sf(chi2, edf) if chi2 > 0 and edf > 0 else 1.0
+            name, k = t.variables[0], t.state["n"]
+            warning = None
+            if p > 0.05:
+                warning = f"the smooth term of {name} is not significant (p = {p:.3f}, edf {edf:.1f}): a linear term or none may do"
+            elif edf > k - 1.5:
+                warning = f"the smooth term of {name} uses nearly all it has (edf {edf:.1f} of {k}): a larger k may be needed"
+            out.append({"variable": name, "k": k, "edf": edf, "lambda": lam, "ref_df": edf, "chi2": chi2, "p_value": p, "warning": warning})
+        return out
+
     def score_test(self, df: DataFrame, z: Column) -> dict:
         """Rao test of a numeric column that the model lacks: one pass for U, z'Wz and X'Wz."""
         scored = self.eta(df).withColumn("_mu", self.family.clamp(self.link.inverse(F.col("_eta"))))
@@ -487,7 +529,7 @@ class Model:
         return json.dumps({
             "version": STATE_VERSION, "spec": self.spec.state(), "family": self.family.name, "parameter": self.family.parameter, "link": self.link.name,
             "beta": f.beta.tolist(), "cov": f.cov.tolist(), "deviance": f.deviance, "pearson": f.pearson, "n": f.n, "sum_w": f.sum_w, "iterations": f.iterations,
-            "converged": f.converged, "edf": f.edf, "lambdas": f.lambdas, "names": self.names, "alpha": self.alpha, "l1_ratio": self.l1_ratio,
+            "converged": f.converged, "edf": f.edf, "lambdas": f.lambdas, "edf_each": f.edf_each, "names": self.names, "alpha": self.alpha, "l1_ratio": self.l1_ratio,
             "offset": self.offset, "is_exposure": self.is_exposure, "weights": self.weights,
         })
 
@@ -498,9 +540,17 @@ class Model:
             raise SerializationError(f"version {d.get('version')!r} of a stored model cannot be read; {STATE_VERSION} can")
         own = d["parameter"]
         family = get_family(d["family"], own or 1.0, own if own is not None else 1.5)
-        fit = Fit(np.array(d["beta"]), np.array(d["cov"]), d["deviance"], d["pearson"], d["n"], d["sum_w"], d["iterations"], d["converged"], d["edf"], d["lambdas"])
+        fit = Fit(np.array(d["beta"]), np.array(d["cov"]), d["deviance"], d["pearson"], d["n"], d["sum_w"], d["iterations"], d["converged"], d["edf"], d["lambdas"], d.get("edf_each", []))
         return cls(ModelSpec.from_state(spark, d["spec"]), family, get_link(d["link"]), fit, d["names"], d["alpha"], d["l1_ratio"], d["offset"], d["is_exposure"], d["weights"])
 
+    def summary_relativities(self, level: float = 0.95) -> str:
+        """Fixed-width text of the relativities."""
+        rows = [f"Rows {self.fit.n}, deviance {self.fit.deviance:.4f}", f"{'':<30}{'Coef':>10}{'Relativity':>12}{f'{100 * level:g}% from':>12}{'to':>10}{'Pr(>|z|)':>12}"]
+        for r, c in zip(self.relativities(level), self.coef_table(level), strict=True):
+            p = "<0.0001" if c["p_value"] < 0.0001 else f"{c['p_value']:.4f}"
+            rows.append(f"{r['feature']:<30}{c['estimate']:>10.4f}{r['relativity']:>12.4f}{r['low']:>12.4f}{r['high']:>10.4f}{p:>12} {c['signif']}")
+        return "\n".join([*rows, "A relativity is exp(coefficient): above 1 it raises the mean."])
+
     def summary(self) -> str:
         """Fixed-width text of the fit and its coefficients."""
         f = self.fit

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.prefix import finite, value_at_ranks
+from riskloom.errors import ValidationError
+from riskloom.operators.prefix import finite, ordered, value_at_ranks
 
 
 def _count(df: DataFrame, value: Column) -> int:
@@ -27,10 +28,49 @@ def round_rank(df: DataFrame, value: Column, probabilities: list[float]) -> list
 
 
 def linear(df: DataFrame, value: Column, probabilities: list[float]) -> list[float]:
-    """Interpolated between ranks: percentile bands of the exploration."""
-    v = value.cast("double")
-    found = df.filter(finite(v)).agg(F.percentile(v, F.array(*map(F.lit, probabilities)))).first()[0]
-    return list(found or [])
+    """Interpolated between the two ranks around p(n-1): percentile bands of the exploration."""
+    n = _count(df, value)
+    if not n:
+        return []
+    at = [p * (n - 1) for p in probabilities]
+    below, above = [math.floor(a) for a in at], [math.ceil(a) for a in at]
+    found = value_at_ranks(df, value, [k + 1 for k in below + above])
+    low, high = found[: len(at)], found[len(at) :]
+    return [x + (a - k) * (y - x) for x, y, a, k in zip(low, high, at, below, strict=True)]
+
+
+#: Distinct values of a factor that are listed on the driver at most.
+MOST_LEVELS = 100_000
+
+
+def fixed_levels(df: DataFrame, value: Column) -> list[str]:
+    """The sorted distinct values that aren't null; raises if there are too many to list."""
+    rows = df.select(value.cast("string").alias("v")).filter("v is not null").distinct().limit(MOST_LEVELS + 1).collect()
+    if len(rows) > MOST_LEVELS:
+        raise ValidationError(f"over {MOST_LEVELS} different values: not a factor")
+    return sorted(r[0] for r in rows)
+
+
+def ranked(df: DataFrame, value: Column) -> Column:
+    """The rank (from 0) of a value among the sorted distinct ones; null has the one after the last."""
+    levels = fixed_levels(df, value)
+    if not levels:
+        return F.lit(0)
+    places = F.create_map(*[x for k, v in enumerate(levels) for x in (F.lit(v), F.lit(k))])
+    return F.coalesce(F.get(F.array(places), F.lit(0))[value.cast("string")], F.lit(len(levels)))
+
+
+def factorized(df: DataFrame, value: Column, name: str = "code") -> DataFrame:
+    """df with the rank (from 0) of each row's level among the sorted levels, null as the level None; any number of levels."""
+    own = F.coalesce(value.cast("string"), F.lit("None"))
+    levels = df.select(own.alias("_level")).distinct()
+    codes = ordered(levels, [F.col("_level")]).select("_level", (F.col("rn") - 1).cast("int").alias(name))
+    return df.withColumn("_own", own).join(codes, F.col("_own") == F.col("_level")).drop("_own", "_level")
+
+
+def indicators(code: Column, n: int) -> Column:
+    """The design of a factor from its codes, as an array: n - 1 columns, code 0 is the reference."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.when(k == code, 1.0).otherwise(0.0)) if n > 1 else F.array().cast("array<double>")
 
 
 def band(value: Column, edges: list[float]) -> Column:
@@ -46,7 +86,17 @@ def unique_edges(edges: list[float]) -> list[float]:
 
 
 def discretized(df: DataFrame, value: Column, n_bins: int = 5) -> Column:
-    """Number of the quantile bin; values that aren't finite have the bin n_bins. Edges are linear quantiles."""
+    """Number of the quantile bin; values that aren't finite have the bin n_bins. Edges are linear quantiles.
+
+    Strings that all are numbers are taken as such; others have the rank of their value among the
+    sorted distinct ones (fixed_levels() bounds these), null the one after.
+    """
     v = value.cast("double")
+    if df.select(value.alias("v")).schema["v"].dataType.typeName() == "string":
+        number = F.expr("try_cast(v AS double)")
+        texts = df.select(value.alias("v")).filter("v is not null").agg(F.count(F.lit(1)), F.count(number)).first()
+        if texts[0] and texts[0] != texts[1]:
+            return ranked(df, value)
+        v = value.try_cast("double")
     inner = linear(df, v, [k / n_bins for k in range(1, n_bins)])
     return F.when(finite(v), band(v, inner)).otherwise(n_bins)

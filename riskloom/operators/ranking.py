@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.prefix import ordered
+from riskloom.operators.prefix import keep, ordered
 
 
 def deciles(df: DataFrame, order: Column, key: Column, n: int = 10) -> DataFrame:
@@ -39,9 +37,24 @@ def lift_chart(df: DataFrame, y: Column, mu: Column, exposure: Column, key: Colu
         (100 * F.sum("actual").over(run) / F.sum("actual").over(whole)).alias("cumulative_actual_pct"),
         (100 * F.sum("expected").over(run) / F.sum("expected").over(whole)).alias("cumulative_expected_pct"),
         (100 * F.sum("exposure").over(run) / F.sum("exposure").over(whole)).alias("cumulative_exposure_pct"),
+        (F.sum("actual").over(run) / F.sum("exposure").over(run) / base).alias("cumulative_lift"),
     )
 
 
+def lift_summary(chart: DataFrame) -> dict:
+    """Of a lift chart (a row per decile): the largest gap of the cumulative shares in percent, its decile, and the weak deciles.
+
+    Deciles count from 1; a decile is weak if it is off by over a fifth, if one of the first three
+    has a lift over 0.8, or one from the eighth on a lift below 1.2.
+    """
+    rows = sorted(chart.select("bin", "ae", "lift", "cumulative_actual_pct", "cumulative_expected_pct").collect(), key=lambda r: r["bin"])
+    gaps = [abs((r["cumulative_actual_pct"] or 0.0) - (r["cumulative_expected_pct"] or 0.0)) for r in rows]
+    most = max(gaps, default=0.0)
+    off = lambda r: r["ae"] is not None and abs(r["ae"] - 1) > 0.2
+    weak = [r["bin"] + 1 for r in rows if off(r) or r["bin"] < 3 and r["lift"] > 0.8 or r["bin"] > 6 and r["lift"] < 1.2]
+    return {"ks": most, "ks_decile": gaps.index(most) + 1 if most > 0 else 1, "weak_deciles": weak}
+
+
 def ratio_deciles(df: DataFrame, y: Column, model: Column, base: Column, exposure: Column, key: Column, n: int = 10) -> DataFrame:
     """Deciles of model over base, with the rates of all three: where a new model moves away from a base."""
     d = deciles(df.withColumn("_ratio", model / F.greatest(base, F.lit(1e-10))), F.col("_ratio"), key, n)
@@ -57,7 +70,8 @@ def calibration_bins(df: DataFrame, y: Column, mu: Column, exposure: Column, key
 
     The ends of bins are found on running sums, a lookup for each, not row by row.
     """
-    rows = ordered(df.withColumn("_e", exposure.cast("double")), [mu.asc(), key.asc()], {"cum": F.col("_e")}).persist()
+    rows = ordered(df.withColumn("_e", exposure.cast("double")), [mu.asc(), key.asc()], {"cum": F.col("_e")})
+    rows = keep(rows)
     count, total = rows.agg(F.count(F.lit(1)), F.sum("_e")).first()
     share = 0.99 * (total or 0.0) / n
     ends: list[int] = []
@@ -120,6 +134,3 @@ def lorenz(df: DataFrame, y: Column, mu: Column, exposure: Column, key: Column,
         (F.col("f.cm") / total_m).alias("expected_share"),
     )
 
-
-def chunk_size(rows: int, bins: int) -> int:
-    return max(1, math.ceil(rows / bins))

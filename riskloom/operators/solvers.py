@@ -149,6 +149,19 @@ def gcv(n: float, rss: float, degrees: float) -> float:
     return n * rss / max(n - degrees, 1e-10) ** 2
 
 
+def aic_score(deviance: float, degrees: float) -> float:
+    return deviance + 2 * degrees
+
+
+def bic_score(deviance: float, n: float, degrees: float) -> float:
+    return deviance + math.log(n) * degrees
+
+
+def lambda_grid(n: int, low: float = 1e-4, high: float = 1e4) -> np.ndarray:
+    """Penalties to search, evenly spaced in their logarithm; a single one is in the middle."""
+    return np.geomspace(low, high, n) if n > 1 else np.array([math.sqrt(low * high)])
+
+
 def smoothing(
     gram: np.ndarray, xz: np.ndarray, zz: float, n: float, blocks: list[tuple[slice, np.ndarray]], start: np.ndarray, low: float = 0.1, high: float = 1000.0
 ) -> np.ndarray:

@@ -98,22 +98,11 @@ SELECT factor, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) *
 )
 def topk_factors(spark: SparkSession, d: str) -> DataFrame:
     """The two factors that explain most of the residuals; all factors in one explode."""
-    t = lines(spark, d)
-    each = t.select((c.y - c.mu).alias("r"), F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("v")) for n in ("f", "g", "line")])).alias("k"))
-    s = each.groupBy("k.factor", "k.v").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
-    between, square = F.sum(F.col("s") * F.col("s") / F.col("n")), F.sum("s") * F.sum("s") / F.sum("n")
-    return s.groupBy("factor").agg(((between - square) / (F.sum("q") - square)).alias("eta_squared")).orderBy(F.col("eta_squared").desc()).limit(2)
-
-
-@query("id encoded.5", "WITH {orders}, s AS (SELECT f, sum(y) AS s, count(*) AS n FROM o GROUP BY f), p AS (SELECT avg(y) AS p FROM o) SELECT id, (s + p) / (n + 1) AS encoded FROM o JOIN s USING (f), p WHERE id % 10 = 0")
-def ft_encoder_api(spark: SparkSession, d: str) -> DataFrame:
-    t = orders(spark, d)
-    return encoding.TargetEncoder("f", "y").fit(t).transform(t.filter(c.id % 10 == 0))
+    return factors.top_factors(lines(spark, d), ["f", "g", "line"], c.y - c.mu, 2)
 
 
 @query("id encoded.5", "WITH {orders}, s AS (SELECT f, sum(y) AS s, count(*) AS n FROM o GROUP BY f), p AS (SELECT avg(y) AS p FROM o) SELECT id, (s + p) / (n + 1) AS encoded FROM o JOIN s USING (f), p")
-def ft_encoder_api_all(spark: SparkSession, d: str) -> DataFrame:
-    """ft_encoder_api over every row."""
+def ft_encoder_api(spark: SparkSession, d: str) -> DataFrame:
     t = orders(spark, d)
     return encoding.TargetEncoder("f", "y").fit(t).transform(t)
 
@@ -185,18 +174,65 @@ def agg_two_way(spark: SparkSession, d: str) -> DataFrame:
     return factors.level_metrics(orders(spark, d).withColumn("k", encoding.interaction_key(c.f, c.g)), F.col("k"), get_family("poisson"), c.y, c.mu, c.e)
 
 
-@query("section entries*")
+def _entries(spark: SparkSession, entries: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(s, k, float(v)) for s, k, v in entries], "section string, key string, value double")
+
+
+@query(
+    "section key value.5",
+    """WITH {orders}, q AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS x, quantile_cont(mu, [0.2, 0.4, 0.6, 0.8]) AS m FROM o),
+w AS (SELECT o.*, y / e AS r, (o.x >= q.x[1])::INT + (o.x >= q.x[2])::INT + (o.x >= q.x[3])::INT + (o.x >= q.x[4])::INT AS kx, (mu >= m[1])::INT + (mu >= m[2])::INT + (mu >= m[3])::INT + (mu >= m[4])::INT AS km FROM o, q),
+c AS (SELECT f AS a, g AS b, e, r FROM w), eta AS (SELECT 'f' AS k, f AS v, e, r FROM w UNION ALL SELECT 'g', g, e, r FROM w),
+es AS (SELECT k, v, sum(e) AS w, sum(e * r) AS s, sum(e * r * r) AS q FROM eta GROUP BY k, v),
+p AS (SELECT 'x~mu' AS k, kx AS a, CAST(km AS VARCHAR) AS b, e, r FROM w UNION ALL SELECT 'x~f', kx, f, e, r FROM w UNION ALL SELECT 'x~g', kx, g, e, r FROM w UNION ALL SELECT 'mu~f', km, f, e, r FROM w UNION ALL SELECT 'mu~g', km, g, e, r FROM w UNION ALL SELECT 'f~g', CAST(left(f, 1) AS INT), g, e, r FROM w),
+ps AS (SELECT k, a, b, sum(e) AS w, sum(e * r) AS s, sum(e * r * r) AS q FROM p GROUP BY ALL HAVING count(*) >= 30)
+SELECT 'response' AS section, 'mean_rate' AS key, avg(r) AS value FROM w UNION ALL SELECT 'response', 'p50', quantile_cont(r, 0.5) FROM w UNION ALL SELECT 'response', 'p99', quantile_cont(r, 0.99) FROM w UNION ALL SELECT 'response', 'exposure', sum(e) FROM w
+UNION ALL SELECT 'missing', k, 0 FROM (SELECT unnest(['y', 'f', 'g', 'x', 'mu']) AS k)
+UNION ALL SELECT 'correlation', 'x~mu', corr(x, mu) FROM w
+UNION ALL SELECT 'exposure of levels', f, sum(e) FROM w GROUP BY f UNION ALL SELECT 'rate of levels', f, sum(y) / sum(e) FROM w GROUP BY f
+UNION ALL SELECT 'eta squared', k, (sum(s * s / w) - sum(s) * sum(s) / sum(w)) / (sum(q) - sum(s) * sum(s) / sum(w)) FROM es GROUP BY k
+UNION ALL SELECT 'interactions', k, (sum(s * s / w) - sum(s) * sum(s) / sum(w)) / (sum(q) - sum(s) * sum(s) / sum(w)) FROM ps GROUP BY k
+UNION ALL SELECT 'mean of x', '', avg(x) FROM w UNION ALL SELECT 'mean of mu', '', avg(mu) FROM w""",
+)
 def rep_explore(spark: SparkSession, d: str) -> DataFrame:
-    """The exploration report's sections; the tests look into them."""
-    out = report.explore_data(orders(spark, d), "y", ["f", "g"], ["x", "mu"], "e", "gamma")
-    return spark.createDataFrame([(k, len(v) if hasattr(v, "__len__") else 1) for k, v in out.items()], "section string, entries long")
+    """Numbers of the exploration report, section by section."""
+    t = orders(spark, d)
+    out = report.explore_data(t, "y", ["f", "g"], ["x", "mu"], "e", "gamma", rare_pct=0.0, max_candidates=6)
+    entries = [("response", k, out["response"][k]) for k in ("mean_rate", "p50", "p99", "exposure")]
+    entries += [("missing", r["name"], r["missing"]) for r in out["missing"]]
+    entries += [("correlation", f"{r['a']}~{r['b']}", r["correlation"]) for r in out["correlations"]]
+    entries += [("exposure of levels", r["level"], r["exposure"]) for r in out["factors"]["f"]["levels"]]
+    entries += [("rate of levels", r["level"], r["actual_mean"]) for r in out["factors"]["f"]["levels"]]
+    entries += [("eta squared", k, out["factors"][k]["univariate"]["eta_squared"]) for k in ("f", "g")]
+    entries += [("interactions", f"{r['a']}~{r['b']}", r["r2"]) for r in out["interactions"]]
+    entries += [(f"mean of {k}", "", out["factors"][k]["stats"]["mean"]) for k in ("x", "mu")]
+    return _entries(spark, entries)
 
 
-@query("section entries*")
+@query(
+    "section key value.5",
+    """WITH {orders}, s AS (SELECT f, avg(y) AS m FROM o WHERE id % 4 > 0 GROUP BY f), p AS (SELECT o.*, s.m AS p, id % 4 > 0 AS train FROM o JOIN s USING (f)), t AS (SELECT * FROM p WHERE train),
+r AS (SELECT *, CASE WHEN y > p THEN 1 ELSE -1 END * sqrt(greatest(2 * (y / p - 1 - ln(y / p)), 0)) AS r FROM t),
+e AS (SELECT g, sum(r) AS s, sum(r * r) AS q, count(*) AS n FROM r GROUP BY g)
+SELECT 'train' AS section, 'deviance' AS key, sum(2 * (y / p - 1 - ln(y / p))) AS value FROM t UNION ALL SELECT 'train', 'dispersion', sum(pow((y - p) / p, 2)) / (count(*) - 5) FROM t
+UNION ALL SELECT CASE WHEN train THEN 'train' ELSE 'test' END, 'ae', sum(y) / sum(p) FROM p GROUP BY train
+UNION ALL SELECT 'level ae', g, sum(y) / sum(p) FROM t GROUP BY g UNION ALL SELECT 'level ae of test', g, sum(y) / sum(p) FROM p WHERE NOT train GROUP BY g
+UNION ALL SELECT 'residuals', 'mean', avg(r) FROM r UNION ALL SELECT 'residuals', 'std', stddev_pop(r) FROM r
+UNION ALL SELECT 'residual pattern', 'g', (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)) FROM e
+UNION ALL SELECT 'partial dependence', f, avg(p) FROM t GROUP BY f
+UNION ALL SELECT 'base', 'loss', avg(2 * (y / base - 1 - ln(y / base))) FROM t UNION ALL SELECT 'base', 'ae', sum(y) / sum(base) FROM t""",
+)
 def rep_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    """The diagnostics report's sections over a train and a test part, with a base model."""
+    """Numbers of the diagnostics report over a train and a test part, with a base model; a model of one factor fits its means."""
     t = orders(spark, d)
     train = t.filter(c.id % 4 > 0)
-    m = GLM("y", {"x": LINEAR, "f": {"type": "categorical"}}, train, family="gamma").fit()
+    m = GLM("y", FLAG, train, family="gamma").fit()
     out = report.diagnose(m, train, "id", ["f", "g"], ["x"], test=t.filter(c.id % 4 == 0), base="base")
-    return spark.createDataFrame([(k, len(v) if hasattr(v, "__len__") else 1) for k, v in out.items()], "section string, entries long")
+    m.close()
+    entries = [("train", k, out["train"]["metrics"][k]) for k in ("deviance", "dispersion")]
+    entries += [(k, "ae", out[k]["total"]["ae"]) for k in ("train", "test")]
+    entries += [("level ae", r["level"], r["ae"]) for r in out["train"]["levels"]["g"]] + [("level ae of test", r["level"], r["ae"]) for r in out["test"]["levels"]["g"]]
+    entries += [("residuals", k, out["residuals"][k]) for k in ("mean", "std")]
+    entries += [("residual pattern", "g", out["factors"]["g"]["residual_pattern"]["eta_squared"])]
+    entries += [("partial dependence", r["level"], r["prediction"]) for r in out["factors"]["f"]["partial_dependence"]]
+    return _entries(spark, entries + [("base", k, out["base"]["base"][k]) for k in ("loss", "ae")])

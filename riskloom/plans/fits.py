@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.families import log_likelihood
 from riskloom.operators import splines
 from riskloom.operators.model import GLM, select_alpha
 from riskloom.plans.registry import c, lines, orders, query
@@ -224,22 +225,12 @@ def fit_constraint(spark: SparkSession, d: str) -> DataFrame:
     return _coefficients(spark, GLM("y", {"x": {"type": "linear", "monotonicity": "decreasing"}}, lines(spark, d)).fit())
 
 
-@query("n* gap.4", "WITH {lines} SELECT 12 AS n, 0e0 AS gap")
+@query("f line prediction.4", "WITH {lines} SELECT f, line, avg(y) AS prediction FROM l GROUP BY f, line")
 def fit_two_way(spark: SparkSession, d: str) -> DataFrame:
-    """A saturated model of two factors fits every cell's mean: the largest gap is 0."""
-    t = lines(spark, d).filter("line < '4'")
-    m = GLM("y", {}, t, [{"f": {"type": "categorical"}, "line": {"type": "categorical"}, "include_main": True}], family="poisson").fit()
-    cells = m.predict(t).groupBy("f", "line").agg(F.avg("y").alias("a"), F.avg("prediction").alias("b"))
-    return cells.agg((F.count(F.lit(1)) + 3).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"))
-
-
-@query("n* gap.4", "WITH {lines} SELECT (SELECT count(*) FROM (SELECT DISTINCT f, line FROM l)) + 3 AS n, 0e0 AS gap")
-def fit_two_way_all(spark: SparkSession, d: str) -> DataFrame:
-    """fit_two_way over every line number."""
+    """A saturated model of two factors fits every cell's mean."""
     t = lines(spark, d)
     m = GLM("y", {}, t, [{"f": {"type": "categorical"}, "line": {"type": "categorical"}, "include_main": True}], family="poisson").fit()
-    cells = m.predict(t).groupBy("f", "line").agg(F.avg("y").alias("a"), F.avg("prediction").alias("b"))
-    return cells.agg((F.count(F.lit(1)) + 3).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"))
+    return m.predict(t).groupBy("f", "line").agg(F.avg("prediction").alias("prediction"))
 
 
 @query("intercept.4 x.4 f.4", "SELECT 0e0 AS intercept, 0e0 AS x, 0e0 AS f")
@@ -302,7 +293,15 @@ def fit_smooth(spark: SparkSession, d: str) -> DataFrame:
     return _coefficients(spark, GLM("y", {"x": {"type": "bs", "k": 8}, "f": {"type": "categorical"}}, orders(spark, d), family="gamma").fit())
 
 
-@query("feature estimate std_error")
+@query(
+    "feature estimate.5 log_likelihood.1",
+    """WITH {lines}, s AS (SELECT f, avg(y) AS m FROM l GROUP BY f), cells AS (SELECT f, y, 1e0 * count(*) AS n FROM l GROUP BY f, y), th AS (SELECT pow(10, -2 + 5e0 * i / 8000) AS t FROM range(8001) r(i)),
+k AS (SELECT t, sum(n * (lgamma(y + t) - lgamma(t) - lgamma(y + 1) + t * ln(t / (m + t)) + y * ln(m / (m + t)))) AS ll FROM cells JOIN s USING (f), th GROUP BY t)
+SELECT CASE WHEN f = 'A' THEN 'Intercept' ELSE 'f[T.' || f || ']' END AS feature, ln(m) - CASE WHEN f = 'A' THEN 0 ELSE (SELECT ln(m) FROM s WHERE f = 'A') END AS estimate, (SELECT max(ll) FROM k) AS log_likelihood FROM s""",
+)
 def fit_nb_theta(spark: SparkSession, d: str) -> DataFrame:
-    """Negative binomial with theta estimated."""
-    return _coefficients(spark, GLM("y", FLAG, lines(spark, d), family="negbinomial").fit())
+    """Negative binomial with theta estimated; the likelihood is the largest over a fine grid of theta."""
+    t = lines(spark, d)
+    m = GLM("y", FLAG, t, family="negbinomial").fit()
+    ll = m.predict(t).agg(log_likelihood(m.family, c.y, F.col("prediction"), F.lit(1.0), 1.0)).first()[0]
+    return spark.createDataFrame([(k, v, ll) for k, v in m.params.items()], "feature string, estimate double, log_likelihood double")

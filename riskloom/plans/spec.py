@@ -147,6 +147,15 @@ class Term:
             out.append((":".join(n for n, _ in combo), value))
         return out
 
+    def knots(self) -> dict | None:
+        """What a fitted spline term has learnt: its boundary, interior knots, degree and number of functions."""
+        if self.kind not in ("bs", "ns") or "knots" not in self.state:
+            return None
+        degree = self.options.get("degree", 3) if self.kind == "bs" else 3
+        outer = degree + 1 if self.kind == "bs" else 1
+        all_ = self.state["knots"]
+        return {"variable": self.variables[0], "type": self.kind, "degree": degree, "functions": self.state["n"], "boundary": (all_[0], all_[-1]), "interior": all_[outer:-outer]}
+
     @property
     def encoded(self) -> str:
         return f"_{self.kind}_{'_'.join(self.variables)}"

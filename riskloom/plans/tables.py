@@ -284,14 +284,14 @@ def agg_design_check(spark: SparkSession, d: str) -> DataFrame:
 # projections
 
 
-_FAMILIES = {"gaussian": ("y", "mu"), "poisson": ("y", "mu"), "gamma": ("y", "mu"), "binomial": ("b", "t"), "tweedie": ("y", "mu"), "negbinomial": ("y", "mu")}
+_FAMILIES = {"gaussian": ("y", "mu"), "poisson": ("y", "mu"), "gamma": ("y", "mu"), "binomial": ("b", "(t + 0.05)"), "tweedie": ("y", "mu"), "negbinomial": ("y", "mu")}
 _DEVIANCE = {
     "gaussian": "(y - mu) * (y - mu)", "poisson": _POISSON, "gamma": "2 * (y / mu - 1 - ln(y / mu))",
-    "binomial": "-2 * (CASE WHEN b > 0 THEN ln(greatest(t, 1e-10)) ELSE ln(1 - greatest(t, 1e-10)) END)",
+    "binomial": "-2 * (CASE WHEN b > 0 THEN ln(t + 0.05) ELSE ln(1 - (t + 0.05)) END)",
     "tweedie": "CASE WHEN y > 0 THEN 2 * (pow(y, 0.5) / (-0.5 * 0.5) - y * pow(mu, -0.5) / -0.5 + pow(mu, 0.5) / 0.5) ELSE 4 * pow(mu, 0.5) END",
     "negbinomial": "2 * (CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END - (y + 2) * ln((y + 2) / (mu + 2)))",
 }
-_VARIANCE = {"gaussian": "1", "poisson": "mu", "gamma": "mu * mu", "binomial": "greatest(t, 1e-10) * (1 - greatest(t, 1e-10))", "tweedie": "pow(mu, 1.5)", "negbinomial": "mu + mu * mu / 2"}
+_VARIANCE = {"gaussian": "1", "poisson": "mu", "gamma": "mu * mu", "binomial": "(t + 0.05) * (1 - (t + 0.05))", "tweedie": "pow(mu, 1.5)", "negbinomial": "mu + mu * mu / 2"}
 
 
 @query(
@@ -300,16 +300,16 @@ _VARIANCE = {"gaussian": "1", "poisson": "mu", "gamma": "mu * mu", "binomial": "
     + " UNION ALL ".join(
         f"SELECT '{k}' AS family, sum({_DEVIANCE[k]}) AS deviance, sum(({y} - {m}) * ({y} - {m}) / greatest({_VARIANCE[k]}, 1e-10)) AS chi2, sum({y} - {m}) AS response, "
         f"sum(({y} - {m}) / greatest(sqrt({_VARIANCE[k]}), 1e-10)) AS pearson, sum(CASE WHEN {y} > {m} THEN 1 ELSE -1 END * sqrt(greatest({_DEVIANCE[k]}, 0))) AS signed, "
-        f"sum(({y} - {m}) * " + {"gaussian": "1", "binomial": "(1 / (greatest(t, 1e-10) * (1 - greatest(t, 1e-10))))"}.get(k, "(1 / mu)") + ") AS working FROM l WHERE t > 0"
+        f"sum(({y} - {m}) * " + {"gaussian": "1", "binomial": "(1 / ((t + 0.05) * (1 - (t + 0.05))))"}.get(k, "(1 / mu)") + ") AS working FROM l"
         for k, (y, m) in _FAMILIES.items()
     ),
 )
 def prj_families(spark: SparkSession, d: str) -> DataFrame:
     """Deviance, Pearson chi-squared and the sums of all residuals of each family; one pass over the lines."""
-    t = lines(spark, d).filter("t > 0")
+    t = lines(spark, d)
     aggregates, rows = [], []
     for k, (y, m) in _FAMILIES.items():
-        f, yc, mc = get_family(k, 2.0, 1.5), F.col(y), F.col(m)
+        f, yc, mc = get_family(k, 2.0, 1.5), F.col(y), F.expr(m)
         aggregates += [metrics.deviance(f, yc, mc).alias(f"{k}_0"), metrics.pearson_chi2(f, yc, mc).alias(f"{k}_1")]
         aggregates += [F.sum(residual(f, r, yc, mc)).alias(f"{k}_{i}") for i, r in enumerate(("response", "pearson", "deviance", "working"), 2)]
         names = ("deviance", "chi2", "response", "pearson", "signed", "working")
@@ -447,47 +447,26 @@ def win_te_ordered_exposure(spark: SparkSession, d: str) -> DataFrame:
     return encoding.target_ordered(t, F.col("f"), c.y, [[c.id]], prior, 1.0, c.e)
 
 
-@query(
-    "id encoded.5",
-    """WITH {orders}, s AS (SELECT f || ':' || g AS k, sum(y) AS s, count(*) AS n FROM o WHERE id % 5 > 0 AND f <> '1-URGENT' GROUP BY 1), p AS (SELECT sum(s) / sum(n) AS p FROM s)
-SELECT id, coalesce((s + 2 * p) / (n + 2), p) AS encoded FROM o LEFT JOIN s ON k = f || ':' || g, p WHERE id % 5 = 0""",
-)
-def ft_te_interaction(spark: SparkSession, d: str) -> DataFrame:
-    """Target encoding of two factors, learnt on four fifths without one level and applied to the rest."""
-    t, key = orders(spark, d), encoding.interaction_key(F.col("f"), F.col("g"))
-    stats, prior = encoding.target_stats(t.filter((c.id % 5 > 0) & (F.col("f") != "1-URGENT")), key, c.y)
-    return encoding.target_apply(t.filter(c.id % 5 == 0), key, stats, prior, 2.0)
-
-
 @query(
     "id encoded.5",
     """WITH {orders}, s AS (SELECT f || ':' || g AS k, sum(y) AS s, count(*) AS n FROM o WHERE f <> '1-URGENT' GROUP BY 1), p AS (SELECT sum(s) / sum(n) AS p FROM s)
 SELECT id, coalesce((s + 2 * p) / (n + 2), p) AS encoded FROM o LEFT JOIN s ON k = f || ':' || g, p""",
 )
-def ft_te_interaction_all(spark: SparkSession, d: str) -> DataFrame:
+def ft_te_interaction(spark: SparkSession, d: str) -> DataFrame:
     """Target encoding of two factors, learnt on every row but those of one level and applied to every row."""
     t, key = orders(spark, d), encoding.interaction_key(F.col("f"), F.col("g"))
     stats, prior = encoding.target_stats(t.filter(F.col("f") != "1-URGENT"), key, c.y)
     return encoding.target_apply(t, key, stats, prior, 2.0)
 
 
-@query("p_partkey encoded.6", "WITH s AS (SELECT p_brand AS b, count(*) AS n FROM part WHERE p_partkey % 2 = 0 AND p_brand <> 'Brand#11' GROUP BY 1) SELECT p_partkey, coalesce(1e0 * n / (SELECT max(n) FROM s), 0) AS encoded FROM part LEFT JOIN s ON b = p_brand")
-def ft_fe(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "part")
-    model = encoding.FrequencyEncoder("p_brand").fit(t.filter((F.col("p_partkey") % 2 == 0) & (F.col("p_brand") != "Brand#11")))
-    return model.transform(t)
-
-
 @query("p_partkey encoded.6", "WITH s AS (SELECT p_brand AS b, count(*) AS n FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1) SELECT p_partkey, coalesce(1e0 * n / (SELECT max(n) FROM s), 0) AS encoded FROM part LEFT JOIN s ON b = p_brand")
-def ft_fe_all(spark: SparkSession, d: str) -> DataFrame:
-    """ft_fe counting every key."""
+def ft_fe(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency encoding learnt on every row but those of one level and applied to every row."""
     t = table(spark, d, "part")
     return encoding.FrequencyEncoder("p_brand").fit(t.filter(F.col("p_brand") != "Brand#11")).transform(t)
 
 
 @query("level index* n*", "SELECT p_type AS level, dense_rank() OVER (ORDER BY p_type) - 1 AS index, count(*) AS n FROM part GROUP BY p_type")
 def prj_factorize(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    levels = table(spark, d, "part").groupBy(factors.level(F.col("p_type")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    return levels.withColumn("index", F.dense_rank().over(Window.orderBy("level")) - 1)
+    t = quantiles.factorized(table(spark, d, "part"), F.col("p_type"), "index")
+    return t.groupBy(F.col("p_type").alias("level"), "index").agg(F.count(F.lit(1)).alias("n"))

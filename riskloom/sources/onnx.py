@@ -126,14 +126,23 @@ def full_graph(model, points: int = POINTS) -> tuple[bytes, dict[str, list[str]]
             low, high = term.state["knots"][0], term.state["knots"][-1]
             grid = np.linspace(low, high, points)
             values = spline_values(term, grid) @ beta
+            beyond = spline_values(term, np.array([2 * low - high, 2 * high - low])) @ beta
             at = g.node("Div", g.node("Sub", raw(x, _FLOAT), g.constant(np.array([low]))), g.constant(np.array([(high - low) / (points - 1)])))
             inside = g.node("Min", g.node("Max", at, g.constant(np.array([0.0]))), g.constant(np.array([float(points - 1)])))
             floor = g.node("Min", g.node("Floor", inside), g.constant(np.array([float(points - 2)])))
             index = g.node("Cast", floor, to=_INT64)
             left = g.node("Gather", g.constant(values[:-1]), index)
             slope = g.node("Gather", g.constant(np.diff(values)), index)
-            part = g.node("Add", left, g.node("Mul", slope, g.node("Sub", inside if term.kind == "bs" else at, floor)))
-            parts.append(part)
+            part = g.node("Add", left, g.node("Mul", slope, g.node("Sub", inside, floor)))
+            # outside its range a B-spline is 0 and a natural spline goes on in a line
+            zero, last = g.constant(np.array([0.0])), g.constant(np.array([float(points - 1)]))
+            under, over = g.node("Less", at, zero), g.node("Less", last, at)
+            if term.kind == "bs":
+                ends = [zero, zero]
+            else:
+                line = lambda near, far, from_: g.node("Add", g.constant(np.array([near])), g.node("Mul", g.constant(np.array([(far - near) / (points - 1)])), from_))
+                ends = [line(values[0], beyond[0], g.node("Sub", zero, at)), line(values[-1], beyond[1], g.node("Sub", at, last))]
+            parts.append(g.node("Where", under, ends[0], g.node("Where", over, ends[1], part)))
         elif term.kind in ("target_encoding", "frequency_encoding") and len(term.variables) == 1:
             te = term.kind == "target_encoding"
             rows = term.state["stats"].orderBy("level").collect()
