@@ -149,7 +149,7 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def linked(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(sketches, components): the second has node and root for each set that is linked to another text's."""
     least = matches(percent)
     sketch = staged(sketches(docs, text, size), "minhash-sketches")
@@ -413,7 +413,7 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"node {kind}, set_key binary, shingles binary, bits struct<n:long,map:binary>")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     sketch, parts = linked(docs, text, size, percent)
     nodes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
@@ -425,7 +425,7 @@ def deduplicated(docs: DataFrame, text: str = "text", size: int = 5, percent: in
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def representatives(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that deduplicated() keeps, with their columns.
 
     Of rows that repeat a doc_id and its set one stays; texts without words, and rows with a null

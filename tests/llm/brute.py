@@ -36,7 +36,7 @@ def shingles(text, size=5):
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
 
 
-def near_copies(rows):
+def near_copies(rows, percent=80):
     sets = {}
     for d, t in rows:
         if d is not None:
@@ -44,7 +44,7 @@ def near_copies(rows):
     links = [
         (a, b)
         for (a, xs), (b, ys) in combinations(sets.items(), 2)
-        if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in xs for y in ys)
+        if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in xs for y in ys)
     ]
     comp = components(sets, links)
     return sorted(

@@ -54,7 +54,8 @@ def got(df, *columns):
 def test_near_copies(docs, rows, empty):
     from riskloom.llm.minhash import deduplicated
 
-    assert got(deduplicated(docs), "doc_id", "n_shingles", "component_id", "kept") == brute.near_copies(rows)
+    for percent in (80, 85):
+        assert got(deduplicated(docs, percent=percent), "doc_id", "n_shingles", "component_id", "kept") == brute.near_copies(rows, percent)
     assert deduplicated(empty).count() == 0
 
 
