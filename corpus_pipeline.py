@@ -1,6 +1,14 @@
 """A training corpus from documents: quality, near copies, benchmark passages, secrets, tokens.
 
 Each stage takes what its predecessor kept; all but the last return the columns of documents.
+
+Defined results: a null or empty text is scored for quality as the empty text, has no near copies, no
+benchmark passage, no secret and no tokens; texts of any length are taken whole. Of near copies (five
+words, 0.8) the smallest doc_id stays, of equal rows one; rows with a null doc_id are never near copies.
+All copies of a text in which a window of a benchmark item occurs go, also those of one doc_id. Further columns of
+documents are kept as they are, whatever their names; those named like what the last stage adds
+(n_tokens, ids_sha256, decoded_sha256) are replaced there. Empty documents give an empty result;
+without labels every score is 0.5, and all documents stay; without benchmark items none are dropped there.
 """
 
 from __future__ import annotations
@@ -20,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies."""
-    return minhash.representatives(docs)
+    """Keeps the document of the smallest doc_id of each group of near copies (similarity 0.8 or more)."""
+    return minhash.representatives(docs, percent=80)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
