@@ -69,6 +69,29 @@ def test_run_gives_the_last_stage(spark, folder):
     assert sorted(map(repr, out.select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
 
 
+def test_odd_documents(spark, folder, tmp_path):
+    """Clashing columns, nulls, repeated rows and a very long text go through all stages."""
+    import corpus_pipeline
+
+    clashes = ["node", "root", "set_key", "signature", "text_key", "blob", "spans", "_id", "_blob", "_spans", "_salt", "_stats", "_y", "score", "n_words", "word", "ids_sha256"]
+    long = " ".join(f"w{k % 997}x{k % 1009}" for k in range(60_000))
+    rows = [(1, "a plain text of some words that stays", "en"), (1, "a plain text of some words that stays", "en"), (None, None, None), (None, "", "en"), (2, long, None), (3, long + " tail", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(f"own {c}") for c in clashes}).withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    columns = docs.columns
+    top, _ = folder
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[1:]):
+        out = stage(spark, docs, top)
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns, name
+            assert all(r[c] == f"own {c}" for r in docs.collect() for c in clashes), name
+    out = {(r["doc_id"], r["decoded_sha256"]) for r in docs.collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert out == {(1, sha(rows[0][1])), (None, sha("")), (2, sha(long))} and docs.count() == 4
+    assert corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_stats", F.lit(1)), top).columns == ["doc_id", "text", "lang", "_stats"]
+
+
 def test_empty_documents(spark, folder):
     import corpus_pipeline
 
