@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import free, lower_az, staged
+from riskloom.llm.common import dropped, free, lower_az, staged
 
 #: What separates words, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -69,6 +69,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text")
     )
     prefix = found.filter("least > 0").select(F.col("rarest.part").alias("part"), F.col("rarest.offset").alias("offset"), "window")
     prefix = staged(prefix, "decontam-prefix")
+    dropped(rarity)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")
     rows = docs.select("doc_id", key, words(F.col(text)).alias("w"))
     places = rows.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word")).withColumn("part", F.lower("word"))
@@ -84,7 +85,9 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text")
         asked = staged(asked, "decontam-asked").withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
         on = rows["doc_id"].eqNullSafe(asked["_doc_id"]) & (rows["text_key"] == asked["_text_key"])
         marks = rows.join(asked, on).filter(same).select("doc_id", "text_key", "at", "n", "window")
-    return staged(marks, "decontam-marks"), owned
+    marks = staged(marks, "decontam-marks")
+    dropped(prefix)
+    return marks, owned
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text") -> DataFrame:

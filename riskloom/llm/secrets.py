@@ -89,6 +89,23 @@ def scan(
     The first has path, blob and spans (in order, over all rules). The ledger has blob, kind,
     version and spans; give it to the next call, which then scans the pairs it lacks and no others.
     """
+    found, entries = _found(versions, path, text, rules, ledger)
+    return found, entries if ledger is None else ledger.unionByName(entries)
+
+
+def scan_into(versions: DataFrame, folder: str, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """scan() with a ledger that is kept as Parquet in a folder (a URI that all executors reach): read if it is there, then added to."""
+    spark = versions.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    found, entries = _found(versions, path, text, rules, spark.read.parquet(folder) if there else None)
+    found = staged(found, "secret-findings")
+    entries.write.mode("append").parquet(folder)
+    return found
+
+
+def _found(versions: DataFrame, path: str, text: str, rules: tuple[Rule, ...], ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(findings per row, what the ledger lacks)."""
     prepare(versions.sparkSession)
     paths = staged(versions.select(F.col(path), blob_id(F.col(text)).alias("blob")), "secret-paths")
     texts = versions.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
@@ -101,9 +118,8 @@ def scan(
             "left_semi",
         )
         done = done.groupBy("blob").agg(F.collect_set("kind").alias("done"))
-        texts = texts.join(done, "blob", "left").filter(
-            F.size(F.array_except(F.array(*[F.lit(r.kind) for r in rules]), F.coalesce("done", F.array().cast("array<string>")))) > 0
-        )
+        texts = texts.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
+        texts = texts.filter(F.size(F.array_except(F.array(*[F.lit(r.kind) for r in rules]), "done")) > 0)
     else:
         texts = texts.withColumn("done", F.array().cast("array<string>"))
     fresh = _scanned(texts, rules)
@@ -131,7 +147,7 @@ def scan(
     found = spread_join(paths, held, "blob").select(
         path, "blob", F.coalesce("spans", F.array().cast(FINDINGS)).alias("spans")
     )
-    return found, book
+    return found, entries
 
 
 def blobs_with_secrets(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

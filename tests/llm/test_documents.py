@@ -238,6 +238,24 @@ def test_private_keys_go_whole(spark):
     assert dict(map(tuple, out.collect())) == {1: "a [pem] b [pem]\nc", 2: "x [pem]", 3: rows[2][1]}
 
 
+def test_ledger_in_a_folder(spark, tmp_path):
+    """A second run over old and new versions scans the new ones only, and a new version of a rule all of them."""
+    from dataclasses import replace
+
+    from riskloom.llm.secrets import RULES, scan, scan_into
+
+    folder = (tmp_path / "ledger").as_uri()
+    secret = "token = abcdefgh" + "1"
+    one = spark.createDataFrame([(1, secret), (2, "plain")], "doc_id long, text string")
+    two = one.unionByName(spark.createDataFrame([(3, secret), (4, "AKIA" + "B" * 16)], "doc_id long, text string"))
+    n = lambda: spark.read.parquet(folder).count()
+    assert got(scan_into(one, folder), "doc_id", "spans") == got(scan(one)[0], "doc_id", "spans") and n() == 2 * len(RULES)
+    for _ in range(2):
+        assert got(scan_into(two, folder), "doc_id", "spans") == got(scan(two)[0], "doc_id", "spans") and n() == 3 * len(RULES)
+    newer = (replace(RULES[0], version=9), *RULES[1:])
+    assert got(scan_into(two, folder, rules=newer), "doc_id", "spans") == got(scan(two)[0], "doc_id", "spans") and n() == 3 * len(RULES) + 3
+
+
 def test_added_kinds(spark):
     from riskloom.llm.secrets import digests, scan
 
