@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +27,16 @@ def lgamma_col(x: Column) -> Column:
     return F.when(small, out - F.log(x)).otherwise(out)
 
 
+def lgamma_np(x: np.ndarray) -> np.ndarray:
+    """lgamma_col() of an array."""
+    small = x < 0.5
+    z = np.where(small, x, x - 1.0)
+    total = LANCZOS[0] + sum(c / (z + k) for k, c in enumerate(LANCZOS[1:], 1))
+    t = z + 7.5
+    out = 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(total)
+    return np.where(small, out - np.log(x), out)
+
+
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from riskloom.errors import FittingError, SerializationError, ValidationError
 from riskloom.functions.families import Family, get_family, residual
 from riskloom.functions.links import Link, get_link
-from riskloom.functions.special import chi2_sf, normal_cdf, normal_quantile, t_sf2
+from riskloom.functions.special import chi2_sf, lgamma_np, normal_cdf, normal_quantile, t_sf2
 from riskloom.operators import metrics, solvers
 from riskloom.operators.gram import packed, row_sums
 from riskloom.operators.prefix import finite
@@ -279,13 +279,12 @@ def _estimate_theta(frame: Frame, glm: GLM, names, signs, smooth) -> tuple[Famil
             # the likelihood needs y and mu only: rows that agree in both, rounded, are one
             cells = frame.df.select("y", F.round(F.log(mu), 6).alias("m"), "w").groupBy("y", "m").agg(F.sum("w").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
 
-            def minus(t: float, cells: DataFrame = cells) -> float:
-                f = get_family("negbinomial", math.exp(t))
-                from riskloom.functions.families import log_likelihood
+            pairs = cells.select(F.array("y", F.exp("m")).alias("x"), "y", "w", F.lit(0.0).alias("o"))
 
-                return -cells.agg(log_likelihood(f, F.col("y"), F.exp("m"), F.col("w"), 1.0)).first()[0]
+            def minus(logs: list[float], pairs: DataFrame = pairs) -> list[float]:
+                return (-row_sums(pairs, _theta_likelihoods(np.exp(logs)), len(logs), frame.parts)).tolist()  # all in one pass
 
-            new = math.exp(solvers.brent(minus, math.log(0.01), math.log(1000.0), 1e-4, 25))
+            new = math.exp(solvers.grid_minimum(minus, math.log(0.01), math.log(1000.0)))
             cells.unpersist()
         thetas.append(new)
         done = k > 0 and abs(new - theta) <= 1e-4 * theta
@@ -295,6 +294,19 @@ def _estimate_theta(frame: Frame, glm: GLM, names, signs, smooth) -> tuple[Famil
     return family, thetas
 
 
+def _theta_likelihoods(thetas: np.ndarray):
+    """Function of a batch of (y, mu): the negative binomial log-likelihood at each theta, but for what is the same at all."""
+
+    def run(x: np.ndarray, y: np.ndarray, w: np.ndarray, o: np.ndarray) -> np.ndarray:
+        mu, out = x[:, 1], []
+        for t in thetas:
+            each = lgamma_np(y + t) - math.lgamma(t) + t * np.log(t / (mu + t)) + y * np.log(mu / (mu + t))
+            out.append((w * each).sum())
+        return np.array(out)
+
+    return run
+
+
 def _dot(beta: np.ndarray, design: str = "_x") -> Column:
     """The product of the design array with the coefficients."""
     literal = F.array(*[F.lit(float(b)) for b in beta])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.prefix import keep, ordered
 
+#: Running sums that calibration collects, and the share of the whole that rounding may move one by.
+GRID, SLACK = 100_000, 1e-9
+
 
 def deciles(df: DataFrame, order: Column, key: Column, n: int = 10) -> DataFrame:
     """df with bin 0..n-1: count div n rows each by order, the rest in the last."""
@@ -68,23 +73,35 @@ def ratio_deciles(df: DataFrame, y: Column, model: Column, base: Column, exposur
 def calibration_bins(df: DataFrame, y: Column, mu: Column, exposure: Column, key: Column, n: int = 10) -> DataFrame:
     """Greedy bins by mu: one closes when it has 0.99 of an equal share of exposure, bins are left, and at least as many rows as bins are left.
 
-    The ends of bins are found on running sums, a lookup for each, not row by row.
+    The ends of bins are found on running sums: one pass gives the sums at every so many rows, between
+    which each end must lie, and a second one the few rows there, on which the bins are closed one by one.
     """
     rows = ordered(df.withColumn("_e", exposure.cast("double")), [mu.asc(), key.asc()], {"cum": F.col("_e")})
     rows = keep(rows)
     count, total = rows.agg(F.count(F.lit(1)), F.sum("_e")).first()
     share = 0.99 * (total or 0.0) / n
+    step = max(1, (count or 0) // GRID)
+    grid = rows.groupBy(F.floor((F.col("rn") - 1) / step).alias("k")).agg(F.max("rn").alias("rn"), F.max("cum").alias("cum")).orderBy("k").collect()
+    room = lambda b: (count or 0) - (n - 1 - b)  # noqa: E731  rows that may be used so that each later bin has one
+    reach = [g["cum"] for g in grid]
+    low = high = 0.0
+    places = F.lit(False)
+    for _ in range(n - 1):  # the end of a bin is in one of these stretches, whichever rows ended those before
+        first, last = bisect_left(reach, low + share - SLACK * (total or 0.0)), bisect_left(reach, high + share + SLACK * (total or 0.0))
+        if first >= len(grid):
+            break
+        last = min(last, len(grid) - 1)
+        places = places | F.col("rn").between(grid[first - 1]["rn"] if first else 0, grid[last]["rn"])
+        low, high = reach[first - 1] if first else 0.0, reach[last]
+    near = sorted((r["rn"], r["cum"]) for r in rows.filter(places).select("rn", "cum").collect())
     ends: list[int] = []
     done = 0.0
     for b in range(n - 1):
-        last_start = ends[-1] if ends else 0
-        room = count - (n - 1 - b)  # rows that may be used so that each later bin has one
-        hit = rows.filter((F.col("rn") > last_start) & (F.col("cum") >= F.lit(done + share)) & (F.col("rn") <= room))
-        first = hit.agg(F.min(F.struct("rn", "cum"))).first()[0]
-        if first is None:
+        hit = next(((rn, cum) for rn, cum in near if rn > (ends[-1] if ends else 0) and cum >= done + share and rn <= room(b)), None)
+        if hit is None:
             break
-        ends.append(first["rn"])
-        done = first["cum"]
+        ends.append(hit[0])
+        done = hit[1]
     bin_of = F.lit(0)
     for e in ends:
         bin_of = bin_of + F.when(F.col("rn") > e, 1).otherwise(0)

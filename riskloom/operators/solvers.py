@@ -140,6 +140,21 @@ def brent(f: Callable[[float], float], low: float, high: float, tol: float = 1e-
     return x
 
 
+def grid_minimum(f: Callable[[list[float]], list[float]], low: float, high: float, points: int = 24, rounds: int = 4) -> float:
+    """Minimum of a function that takes many places at once: ever finer grids around the best place, and a parabola through the last."""
+    at, values, best = [low], [0.0], 0
+    for _ in range(rounds):
+        at = [low + (high - low) * k / (points - 1) for k in range(points)]
+        values = f(at)
+        best = min(range(points), key=values.__getitem__)
+        low, high = at[max(best - 1, 0)], at[min(best + 1, points - 1)]
+    if 0 < best < points - 1:
+        a, b, c = values[best - 1 : best + 2]
+        if a - 2 * b + c > 0:
+            return at[best] + (at[best + 1] - at[best]) * 0.5 * (a - c) / (a - 2 * b + c)
+    return at[best]
+
+
 def edf(gram: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     """Effective degrees of freedom of each coefficient: the diagonal of (G + S)^-1 G."""
     return np.diag(np.linalg.solve(gram + penalty, gram))

@@ -135,11 +135,20 @@ def snk_state(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(m.params.items()), "feature string, estimate double")
 
 
-@query("graph bytes*")
+@query("graph level prediction.3", "WITH {lines}, s AS (SELECT f, avg(y) AS m FROM l GROUP BY f) SELECT 'full' AS graph, f AS level, m AS prediction FROM s UNION ALL SELECT 'full', 'new', m FROM s WHERE f = 'A' UNION ALL SELECT 'scoring', f, m FROM s")
 def snk_onnx(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of both graphs; the tests score them with a runtime."""
-    m = GLM("y", FLAG | {"x": {"type": "bs", "df": 4}}, lines(spark, d), family="poisson").fit()
-    return spark.createDataFrame([("scoring", len(scoring_graph(m))), ("full", len(full_graph(m)[0]))], "graph string, bytes long")
+    """Means by level as an ONNX runtime computes them from both graphs; a level that the fit did not see has the reference's."""
+    import onnxruntime
+
+    m = GLM("y", FLAG, lines(spark, d), family="poisson").fit()
+    full, levels = full_graph(m)
+    run = lambda graph, x: (s := onnxruntime.InferenceSession(graph, providers=["CPUExecutionProvider"])).run(None, {s.get_inputs()[0].name: x})[0].ravel()
+    names = [*levels["f"], "new"]
+    out = [("full", v, float(p)) for v, p in zip(names, run(full, np.arange(len(names))[:, None]), strict=True)]
+    design = np.array([[1.0] + [float(v == w) for w in levels["f"][1:]] for v in levels["f"]])
+    inputs = design[:, 1:] if onnxruntime.InferenceSession(scoring_graph(m), providers=["CPUExecutionProvider"]).get_inputs()[0].shape[1] == design.shape[1] - 1 else design
+    out += [("scoring", v, float(p)) for v, p in zip(levels["f"], run(scoring_graph(m), inputs.astype(np.float32)), strict=True)]
+    return spark.createDataFrame(out, "graph string, level string, prediction double")
 
 
 @query(

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.families import get_family
+from riskloom.functions.families import get_family, log_likelihood
 from riskloom.functions.links import get_link
 from riskloom.functions.special import chi2_sf, f_sf, t_sf2
-from riskloom.operators import diagnostics, explore, factors, metrics, quantiles, ranking, solvers, splines
+from riskloom.operators import diagnostics, encoding, explore, factors, metrics, quantiles, ranking, solvers, splines
 from riskloom.operators.gram import row_sums
 from riskloom.operators.model import GLM, _pass
-from riskloom.operators.prefix import released
+from riskloom.operators.prefix import ordered, released
 from riskloom.plans.fits import FLAG, _sums
 from riskloom.plans.registry import c, lines, orders, query, table
 from riskloom.plans.spec import ModelSpec
@@ -364,3 +364,40 @@ def topk_candidates(spark: SparkSession, d: str) -> DataFrame:
 
     rows = [(r["a"], r["b"], r["cells"], r["r2"], r["recommendation"]) for r in _strongest(orders(spark, d), ["f", "g"], ["mu"], c.y, None, 2, set())]
     return spark.createDataFrame(rows, "a string, b string, cells long, r2 double, recommendation string")
+
+
+@query(
+    "family log_likelihood.3",
+    """WITH {lines}, m AS (SELECT avg(b) AS b, avg(y) AS y FROM l) SELECT 'binomial' AS family, sum(l.b * ln(m.b) + (1 - l.b) * ln(1 - m.b)) AS log_likelihood FROM l, m
+UNION ALL SELECT 'tweedie', -sum(pow(l.y, 0.5) / -0.25 + 2 * l.y / sqrt(m.y) + 2 * sqrt(m.y)) FROM l, m""",
+)
+def agg_loglik_others(spark: SparkSession, d: str) -> DataFrame:
+    """Log-likelihoods of models of the mean; Tweedie's is minus half the deviance."""
+    t = lines(spark, d)
+    b, y = t.agg(F.avg("b"), F.avg("y")).first()
+    one = F.lit(1.0)
+    both = t.agg(log_likelihood(get_family("binomial"), c.b, F.lit(b), one, 1.0).alias("binomial"), log_likelihood(get_family("tweedie", 1.0, 1.5), c.y, F.lit(y), one, 1.0).alias("tweedie")).first()
+    return spark.createDataFrame(list(both.asDict().items()), "family string, log_likelihood double")
+
+
+@query("k* n* ranks.0 differs", "WITH {orders} SELECT k, (SELECT count(*) FROM o) AS n, (SELECT 1e0 * count(*) * (count(*) + 1) / 2 FROM o) AS ranks, k > 0 AS differs FROM range(4) t(k)")
+def win_permutation(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of the rows by hashes of a key: each ranks every row once, and no two are the same."""
+    t, out, first = orders(spark, d).select("id"), [], None
+    for k, order in enumerate(encoding.permutations(c.id, 4)):
+        with released():
+            r = ordered(t, order)
+            own = r.agg(F.count_distinct("rn"), F.sum("rn"), F.sum(F.col("rn") * F.pmod("id", F.lit(1009)))).first()
+        out.append((k, own[0], float(own[1]), first is not None and own[2] != first))
+        first = own[2] if first is None else first
+    return spark.createDataFrame(out, "k long, n long, ranks double, differs boolean")
+
+
+@query("factor base exposure.3", "WITH {orders}, s AS (SELECT 'f' AS factor, f AS v, sum(e) AS e FROM o GROUP BY f UNION ALL SELECT 'g', g, sum(e) FROM o GROUP BY g) SELECT factor, arg_max(v, e) AS base, max(e) AS exposure FROM s GROUP BY factor")
+def agg_suggested_base(spark: SparkSession, d: str) -> DataFrame:
+    """The level with the most exposure of each factor."""
+    t, out = orders(spark, d), []
+    for name in ("f", "g"):
+        best = factors.ae_by_level(t, F.col(name), c.y, c.mu, c.e, 0.0).orderBy(F.col("exposure").desc(), "level").first()
+        out.append((name, best["level"], best["exposure"]))
+    return spark.createDataFrame(out, "factor string, base string, exposure double")
