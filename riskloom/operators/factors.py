@@ -83,6 +83,15 @@ def factor_deviance(df: DataFrame, factor: Column, family: Family, y: Column, mu
     return out.withColumn("is_problem", problem).drop("_mean", "_share")
 
 
+def cell_gram(df: DataFrame, first: Column, second: Column, weight: Column, z: Column) -> DataFrame:
+    """What of X'WX and X'Wz the cells of two factors have, without a column for each: a row per cell that occurs.
+
+    X'WX of cell indicators is diagonal; its entries with the levels of either factor are sums over cells.
+    """
+    w = weight.cast("double")
+    return df.groupBy(level(first).alias("a"), level(second).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("weight"), F.sum(w * z.cast("double")).alias("wz"))
+
+
 def level_metrics(df: DataFrame, factor: Column, family: Family, y: Column, mu: Column, exposure: Column) -> DataFrame:
     return df.groupBy(level(factor).alias("level")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(exposure).alias("exposure"), (F.sum(y) / F.sum(exposure)).alias("actual_rate"), (F.sum(mu) / F.sum(exposure)).alias("predicted_rate"),

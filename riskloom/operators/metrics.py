@@ -69,6 +69,13 @@ def dataset_metrics(df: DataFrame, family: Family, y: Column, mu: Column, n_para
     )
 
 
+def fit_metrics(df: DataFrame, family: Family, y: Column, mu: Column, n_params: int, weight: Column | None = None, log_offset: Column | None = None) -> DataFrame:
+    """dataset_metrics() with the null deviance and the share of it that the model explains."""
+    out = dataset_metrics(df, family, y, mu, n_params, weight)
+    null = null_deviance(df, family, y, weight, log_offset).first()[0]
+    return out.withColumn("null_deviance", F.lit(null).cast("double")).withColumn("deviance_explained", 1 - F.col("deviance") / F.col("null_deviance"))
+
+
 def null_deviance(df: DataFrame, family: Family, y: Column, weight: Column | None = None, log_offset: Column | None = None) -> DataFrame:
     """Deviance of the mean (of the pooled rate times exposure, given a log offset)."""
     w = F.lit(1.0) if weight is None else weight

@@ -146,8 +146,7 @@ def snk_onnx(spark: SparkSession, d: str) -> DataFrame:
     names = [*levels["f"], "new"]
     out = [("full", v, float(p)) for v, p in zip(names, run(full, np.arange(len(names))[:, None]), strict=True)]
     design = np.array([[1.0] + [float(v == w) for w in levels["f"][1:]] for v in levels["f"]])
-    inputs = design[:, 1:] if onnxruntime.InferenceSession(scoring_graph(m), providers=["CPUExecutionProvider"]).get_inputs()[0].shape[1] == design.shape[1] - 1 else design
-    out += [("scoring", v, float(p)) for v, p in zip(levels["f"], run(scoring_graph(m), inputs.astype(np.float32)), strict=True)]
+    out += [("scoring", v, float(p)) for v, p in zip(levels["f"], run(scoring_graph(m), design[:, 1:].astype(np.float32)), strict=True)]
     return spark.createDataFrame(out, "graph string, level string, prediction double")
 
 

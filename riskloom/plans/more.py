@@ -401,3 +401,20 @@ def agg_suggested_base(spark: SparkSession, d: str) -> DataFrame:
         best = factors.ae_by_level(t, F.col(name), c.y, c.mu, c.e, 0.0).orderBy(F.col("exposure").desc(), "level").first()
         out.append((name, best["level"], best["exposure"]))
     return spark.createDataFrame(out, "factor string, base string, exposure double")
+
+
+@query(
+    "deviance.2 null_deviance.2 deviance_explained.8 dispersion.6 log_likelihood.1 aic.1 bic.1",
+    """WITH {lines}, s AS (SELECT y, avg(y) OVER (PARTITION BY f) AS m, avg(y) OVER () AS g FROM l), t AS (SELECT sum(2 * (y * ln(y / m) - (y - m))) AS d, sum(2 * (y * ln(y / g) - (y - g))) AS n0, sum((y - m) * (y - m) / m) / (count(*) - 3) AS p, sum(y * ln(m) - m - lgamma(y + 1)) AS ll, count(*) AS n FROM s)
+SELECT d AS deviance, n0 AS null_deviance, 1 - d / n0 AS deviance_explained, p AS dispersion, ll AS log_likelihood, 6 - 2 * ll AS aic, 3 * ln(n) - 2 * ll AS bic FROM t""",
+)
+def agg_metrics_fit(spark: SparkSession, d: str) -> DataFrame:
+    t = lines(spark, d)
+    m = GLM("y", FLAG, t, family="poisson").fit()
+    return metrics.fit_metrics(m.predict(t), m.family, c.y, F.col("prediction"), 3)
+
+
+@query("a b n* weight.3 wz.3", "WITH {lines} SELECT f AS a, line AS b, count(*) AS n, sum(e) AS weight, sum(e * y) AS wz FROM l GROUP BY f, line")
+def agg_cell_gram(spark: SparkSession, d: str) -> DataFrame:
+    """The Gram matrix of the cells of two factors from one aggregate."""
+    return factors.cell_gram(lines(spark, d), c.f, c.line, c.e, c.y)

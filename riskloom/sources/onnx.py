@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import struct
+from itertools import product
 
 import numpy as np
 
@@ -112,6 +114,65 @@ def full_graph(model, points: int = POINTS) -> tuple[bytes, dict[str, list[str]]
             made[name] = g.input(name, kind, ("n", 1))
         return made[name]
 
+    def spline(term, of) -> str:
+        """A spline as lines between points: of() makes one number of each point's basis."""
+        at = raw(term.variables[0], _FLOAT)
+        low, high = term.state["knots"][0], term.state["knots"][-1]
+        values = of(spline_values(term, np.linspace(low, high, points)))
+        beyond = of(spline_values(term, np.array([2 * low - high, 2 * high - low])))
+        at = g.node("Div", g.node("Sub", at, g.constant(np.array([low]))), g.constant(np.array([(high - low) / (points - 1)])))
+        inside = g.node("Min", g.node("Max", at, g.constant(np.array([0.0]))), g.constant(np.array([float(points - 1)])))
+        floor = g.node("Min", g.node("Floor", inside), g.constant(np.array([float(points - 2)])))
+        index = g.node("Cast", floor, to=_INT64)
+        left = g.node("Gather", g.constant(values[:-1]), index)
+        slope = g.node("Gather", g.constant(np.diff(values)), index)
+        part = g.node("Add", left, g.node("Mul", slope, g.node("Sub", inside, floor)))
+        # outside its range a B-spline is 0 and a natural spline goes on in a line
+        zero, last = g.constant(np.array([0.0])), g.constant(np.array([float(points - 1)]))
+        under, over = g.node("Less", at, zero), g.node("Less", last, at)
+        if term.kind == "bs":
+            ends = [zero, zero]
+        else:
+            line = lambda near, far, from_: g.node("Add", g.constant(np.array([near])), g.node("Mul", g.constant(np.array([(far - near) / (points - 1)])), from_))
+            ends = [line(values[0], beyond[0], g.node("Sub", zero, at)), line(values[-1], beyond[1], g.node("Sub", at, last))]
+        return g.node("Where", under, ends[0], g.node("Where", over, ends[1], part))
+
+    def formula(node: ast.AST) -> str:
+        if isinstance(node, ast.Name):
+            return raw(node.id, _FLOAT)
+        if isinstance(node, ast.Constant):
+            return g.constant(np.array([float(node.value)]))
+        if isinstance(node, ast.UnaryOp):
+            inner = formula(node.operand)
+            return g.node("Neg", inner) if isinstance(node.op, ast.USub) else inner
+        return g.node({ast.Add: "Add", ast.Sub: "Sub", ast.Mult: "Mul", ast.Div: "Div", ast.Pow: "Pow"}[type(node.op)], formula(node.left), formula(node.right))
+
+    def columns(term) -> list[str]:
+        """A node for each design column of a term."""
+        x = term.variables[0] if term.variables else ""
+        if term.kind == "linear":
+            return [raw(x, _FLOAT)]
+        if term.kind == "expression":
+            return [formula(ast.parse(term.options["expr"].strip(), mode="eval").body)]
+        if term.kind == "categorical":
+            chosen = term.options.get("levels")
+            own = [str(v) for v in chosen] if chosen else term.state["levels"]
+            if levels.setdefault(x, own) != own:
+                raise SerializationError(f"{x!r} is coded in two ways")
+            return [g.node("Cast", g.node("Equal", raw(x, _INT64), g.constant(np.array([k]))), to=_FLOAT) for k in range(0 if chosen else 1, len(own))]
+        if term.kind in ("bs", "ns"):
+            n = len(term.columns())
+            return [spline(term, lambda v, k=k: v[:, k]) for k in range(n)]
+        if term.kind == "interaction":
+            out = []
+            for combo in product(*[columns(p) for p in term.parts]):
+                node = combo[0]
+                for other in combo[1:]:
+                    node = g.node("Mul", node, other)
+                out.append(node)
+            return out
+        raise SerializationError(f"the term {term.name!r} has no ONNX form here")
+
     for term, a, b in model.spec.slices():
         beta, x = model.fit.beta[a:b], term.variables[0] if term.variables else ""
         if term.kind == "linear":
@@ -123,26 +184,7 @@ def full_graph(model, points: int = POINTS) -> tuple[bytes, dict[str, list[str]]
                 raise SerializationError(f"{x!r} is coded in two ways")
             parts.append(g.node("Gather", g.constant(np.append(values, 0.0)), _code(g, raw(x, _INT64), len(own))))
         elif term.kind in ("bs", "ns"):
-            low, high = term.state["knots"][0], term.state["knots"][-1]
-            grid = np.linspace(low, high, points)
-            values = spline_values(term, grid) @ beta
-            beyond = spline_values(term, np.array([2 * low - high, 2 * high - low])) @ beta
-            at = g.node("Div", g.node("Sub", raw(x, _FLOAT), g.constant(np.array([low]))), g.constant(np.array([(high - low) / (points - 1)])))
-            inside = g.node("Min", g.node("Max", at, g.constant(np.array([0.0]))), g.constant(np.array([float(points - 1)])))
-            floor = g.node("Min", g.node("Floor", inside), g.constant(np.array([float(points - 2)])))
-            index = g.node("Cast", floor, to=_INT64)
-            left = g.node("Gather", g.constant(values[:-1]), index)
-            slope = g.node("Gather", g.constant(np.diff(values)), index)
-            part = g.node("Add", left, g.node("Mul", slope, g.node("Sub", inside, floor)))
-            # outside its range a B-spline is 0 and a natural spline goes on in a line
-            zero, last = g.constant(np.array([0.0])), g.constant(np.array([float(points - 1)]))
-            under, over = g.node("Less", at, zero), g.node("Less", last, at)
-            if term.kind == "bs":
-                ends = [zero, zero]
-            else:
-                line = lambda near, far, from_: g.node("Add", g.constant(np.array([near])), g.node("Mul", g.constant(np.array([(far - near) / (points - 1)])), from_))
-                ends = [line(values[0], beyond[0], g.node("Sub", zero, at)), line(values[-1], beyond[1], g.node("Sub", at, last))]
-            parts.append(g.node("Where", under, ends[0], g.node("Where", over, ends[1], part)))
+            parts.append(spline(term, lambda v: v @ beta))
         elif term.kind in ("target_encoding", "frequency_encoding") and len(term.variables) == 1:
             te = term.kind == "target_encoding"
             rows = term.state["stats"].orderBy("level").collect()
@@ -153,7 +195,8 @@ def full_graph(model, points: int = POINTS) -> tuple[bytes, dict[str, list[str]]
             values = [(r["total"] + prior * w) / (r["size"] + w) if te else r["n"] / term.state["largest"] for r in rows] + [prior if te else 0.0]
             parts.append(g.node("Gather", g.constant(np.array(values) * beta[0]), _code(g, raw(x, _INT64), len(own))))
         else:
-            raise SerializationError(f"the term {term.name!r} has no ONNX form here")
+            for node, v in zip(columns(term), beta, strict=True):
+                parts.append(g.node("Mul", node, g.constant(np.array([v]))))
     if model.offset:
         o = raw(model.offset, _FLOAT)
         parts.append(g.node("Log", o) if model.is_exposure else o)

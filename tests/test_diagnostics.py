@@ -213,6 +213,20 @@ def test_exports_agree_outside_the_knots(spark, data, kind):
     assert got[inside] == pytest.approx(np.array(want)[inside], rel=2e-3)
 
 
+def test_graph_with_products_and_expressions(data):
+    runtime = pytest.importorskip("onnxruntime")
+    from riskloom.sources.onnx import full_graph
+
+    terms = {"e": {"type": "expression", "expr": "x ** 2 / 10 - (-z)"}, "f": FACTOR}
+    m = GLM("y", terms, data, [{"f": FACTOR, "x": LINEAR}, {"x": {"type": "bs", "df": 4}, "z": LINEAR}, {"f": FACTOR, "z": {"type": "ns", "df": 3}}], family="poisson").fit()
+    graph, levels = full_graph(m)
+    t = m.predict(data).orderBy("id").limit(200).collect()
+    session = runtime.InferenceSession(graph, providers=["CPUExecutionProvider"])
+    values = {"x": np.array([[r["x"]] for r in t], np.float32), "z": np.array([[r["z"]] for r in t], np.float32), "f": np.array([[levels["f"].index(r["f"])] for r in t], np.int64)}
+    got = session.run(None, {i.name: values[i.name] for i in session.get_inputs()})[0].ravel()
+    assert got == pytest.approx([r["prediction"] for r in t], rel=5e-3)
+
+
 def test_families_and_links_can_be_added(data):
     from riskloom.functions.families import ALIASES, FAMILIES, Family, register_family
     from riskloom.functions.links import LINKS, Link, register_link
