@@ -96,10 +96,10 @@ def to_pmml(model) -> str:
             low, high = term.state["knots"][0], term.state["knots"][-1]
             grid = np.linspace(low, high, POINTS)
             name = f"{_field(x)}_{term.kind}_{k + 1}"
-            # outside its range a B-spline is 0 and a natural spline goes on in a line, on which two more points lie
+            # outside its range a B-spline is 0 and a natural spline goes on in a line, on which two of its points lie
             body = ET.Element("NormContinuous", field=x, outliers="asMissingValues", mapMissingTo="0") if term.kind == "bs" else ET.Element("NormContinuous", field=x, outliers="asIs")
             if term.kind == "ns":
-                grid = np.concatenate([[2 * low - high], grid, [2 * high - low]])
+                grid = np.concatenate([[2 * low - high], np.linspace(low, high, POINTS - 2), [2 * high - low]])
             for a, b in zip(grid, spline_values(term, grid)[:, k], strict=True):
                 ET.SubElement(body, "LinearNorm", orig=repr(float(a)), norm=repr(float(b)))
             transform(name, body)

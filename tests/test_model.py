@@ -261,7 +261,8 @@ def test_onnx(spark, data):
     got = ort.InferenceSession(scoring_graph(simple)).run(None, {"X": x.astype(np.float32)})[0][:, 0]
     assert np.allclose(got, p2["prediction"], rtol=1e-4)
     with pytest.raises(SerializationError):
-        full_graph(GLM("y", {"e1": {"type": "expression", "expr": "x ** 2"}}, df, family="poisson").fit())
+        both = df.selectExpr("*", "CAST(pmod(hash(x), 3) AS STRING) AS h")
+        full_graph(GLM("y", {}, both, [{"f": FACTOR, "h": FACTOR, "frequency_encoding": True}], family="poisson").fit())  # an encoding of several factors
 
 
 def test_reports(data):
