@@ -6,7 +6,8 @@ tag become a repeated group, runs of tags that come again become a repeated grou
 only one side has becomes optional, and text becomes a slot. A slot is known by the tags, classes, ids and
 roles it stands in, at any depth. What a host's wrapper tells of its slots decides which texts are the page's own:
 
-* a text that a slot has on all pages with that slot, two different pages at least, is the template's;
+* a text that a slot has on all pages with that slot is the template's, if two different pages at least
+  show it, and in article or main elements FIRM of them, as revisions of a page share most of their text;
 * a slot of a repeated group whose texts all are links, on two different pages at least, is a menu;
 * slots in what HTML or its marks name as menus, headers, footers, sidebars, notices, adverts, forms or
   comments are not main text; where a page has text of its own in article or main elements, that is
@@ -47,6 +48,8 @@ from riskloom.llm.linkrank import host
 BROADCAST_BYTES = 16 << 20
 #: Blocks within blocks up to which a wrapper's tree is one; what is deeper is a sibling there.
 DEEPEST = 150
+#: Different pages that must have a text in an article for it to be the template's.
+FIRM = 5
 #: Groups in which a host's wrappers are aligned before those are.
 GROUPS = 32
 
@@ -122,7 +125,8 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
     places: dict[str, list[int]] = {}  # of each tag in the stack
     text: list[str] = []
     labels: dict[tuple[str, str], str] = {}
-    in_link = plain = False
+    link: int | None = None  # blocks that were open where the link began
+    plain = False
 
     def run() -> Iterator[tuple[str, str, bool]]:
         nonlocal plain
@@ -134,19 +138,22 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
         plain = False
 
     def close(depth: int) -> Iterator[tuple[str, str, bool]]:
+        nonlocal link
         while len(stack) > depth:
             places[stack.pop()].pop()
             yield ">", "", False
+        if link is not None and len(stack) < link:  # a link ends with the block it began in
+            link = None
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text.append(page[at : m.start()])
-            plain = plain or not in_link and not text[-1].isspace()
+            plain = plain or link is None and not text[-1].isspace()
         at = m.end()
         tag = m[3].lower() if m[3] else ""
         if tag == "a":
-            in_link = not m[2]
+            link = len(stack) if not m[2] and "href" in m[4].lower() else None
         elif tag == "br":
             text.append(" ")
         if tag not in BLOCKS:
@@ -175,7 +182,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
         stack.append(tag)
     rest = page[at:]
     text.append(rest[: cut.start()] if (cut := re.search(r"<[a-zA-Z/!][^<>]*\Z", rest)) else rest)
-    plain = plain or not in_link and not text[-1].isspace()
+    plain = plain or link is None and not text[-1].isspace()
     yield from run()
     yield from close(0)
 
@@ -210,9 +217,9 @@ def _is_article(label: str) -> bool:
 
 
 # A node of a wrapper is [label, optional, repeated, children]; a group of several has the label "("; a text has "#" and its slots as children.
-# What is known of a slot is (page, texts, linked): the one page that has it (its texts' hash) or None for several, the texts that
+# What is known of a slot is (pages, texts, linked): up to FIRM of the pages that have it (hashes of their texts), the texts that
 # all pages with it have, and whether all its texts are links.
-Known = tuple[int | None, set[int], bool]
+Known = tuple[set[int], set[int], bool]
 
 
 def page_wrapper(page: str) -> tuple[list, dict[int, Known]]:
@@ -240,7 +247,7 @@ def page_wrapper(page: str) -> tuple[list, dict[int, Known]]:
                 if not linked:
                     plain.add(slot)
     own = xxhash.xxh3_64_intdigest(repr(sorted((p, sorted(t)) for p, t in texts.items())))
-    return folded(top), {p: (own, t, p not in plain) for p, t in texts.items()}
+    return folded(top), {p: ({own}, t, p not in plain) for p, t in texts.items()}
 
 
 def page_tree(page: str) -> list:
@@ -250,12 +257,12 @@ def page_tree(page: str) -> list:
 
 def joined(a: dict[int, Known], b: dict[int, Known]) -> dict[int, Known]:
     """What is known of the slots of both wrappers' pages; adds b to a."""
-    for slot, (page, texts, linked) in b.items():
+    for slot, (pages, texts, linked) in b.items():
         if slot in a:
             own, common, links = a[slot]
-            a[slot] = (own if own == page else None, common & texts, links and linked)
+            a[slot] = (set(sorted(own | pages)[:FIRM]), common & texts, links and linked)
         else:
-            a[slot] = (page, texts, linked)
+            a[slot] = (pages, texts, linked)
     return a
 
 
@@ -359,19 +366,21 @@ def repeated_slots(nodes: list, inside: bool = False) -> Iterator[int]:
             yield from children
 
 
-def told(tree: list, known: dict[int, Known]) -> tuple[dict[int, set[int]], set[int]]:
-    """What a host's wrapper tells of its slots: (the template's texts by slot, menus)."""
-    shared = {slot: (texts, linked) for slot, (page, texts, linked) in known.items() if page is None}
-    menus = {slot for slot in repeated_slots(tree) if slot in shared and shared[slot][1]}
-    return {slot: texts for slot, (texts, _) in shared.items() if texts}, menus
+def told(tree: list, known: dict[int, Known]) -> tuple[dict[int, set[int]], set[int], set[int]]:
+    """What a host's wrapper tells of its slots: (the template's texts by slot, menus, slots that FIRM pages have)."""
+    shared = {slot: k for slot, k in known.items() if len(k[0]) > 1}
+    menus = {slot for slot in repeated_slots(tree) if slot in shared and shared[slot][2]}
+    return {slot: texts for slot, (_, texts, _) in shared.items() if texts}, menus, {slot for slot, (pages, _, _) in shared.items() if len(pages) >= FIRM}
 
 
-def main_text(page: str, template: dict[int, set[int]] | None = None, menus: set[int] | frozenset[int] = frozenset()) -> str:
+def main_text(
+    page: str, template: dict[int, set[int]] | None = None, menus: set[int] | frozenset[int] = frozenset(), firm: set[int] | frozenset[int] = frozenset()
+) -> str:
     """The page's own texts: those in articles, or all unmarked ones if there are none; one line per block."""
     first, second = [], []
     template = template or {}
     for slot, marked, article, text, _ in slots(page):
-        if marked or slot in template and xxhash.xxh3_64_intdigest(text) in template[slot]:
+        if marked or slot in template and (slot in firm or not article) and xxhash.xxh3_64_intdigest(text) in template[slot]:
             continue
         if article:
             first.append(text)
@@ -381,12 +390,12 @@ def main_text(page: str, template: dict[int, set[int]] | None = None, menus: set
 
 
 def _written(tree: list, known: dict[int, Known]) -> str:
-    return json.dumps([tree, [[slot, page, sorted(texts), linked] for slot, (page, texts, linked) in sorted(known.items())]])
+    return json.dumps([tree, [[slot, sorted(pages), sorted(texts), linked] for slot, (pages, texts, linked) in sorted(known.items())]])
 
 
 def _read(text: str) -> tuple[list, dict[int, Known]]:
     tree, known = json.loads(text)
-    return tree, {slot: (page, set(texts), linked) for slot, page, texts, linked in known}
+    return tree, {slot: (set(pages), set(texts), linked) for slot, pages, texts, linked in known}
 
 
 def _one(table: pa.Table) -> pa.Table:
@@ -448,7 +457,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[dict[int, set[int]], set[int]]] = {}
+        known: dict[str, tuple[dict[int, set[int]], set[int], set[int]]] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

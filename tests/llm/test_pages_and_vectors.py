@@ -205,6 +205,24 @@ def test_unmarked_menus(spark):
     assert out == {k: f"{w} {words[k - 1]}\n{w * 2}" for k, w in enumerate(words)} | {9: "Go amber\nriver now\namber river\nstone"}
 
 
+def test_links_end_with_their_blocks():
+    from riskloom.llm.wrapper import slots
+
+    page = "<div><p><a name=top>one<p><a href='/x'>two<p>three</div><div><a href=y><p>four</p>five</a> six</div>"
+    assert [(t, linked) for *_, t, linked in slots(page)] == [("one", False), ("two", True), ("three", False), ("four", True), ("five six", False)]
+
+
+def test_revisions_share_their_text(spark):
+    """What a few pages' articles have in common stays; what five different ones have is the template's."""
+    from riskloom.llm.wrapper import extracted
+
+    page = "<article><p>The same long paragraph.</p><p>Edited {}.</p></article>"
+    rows = [(k, "http://two/", page.format(w)) for k, w in enumerate(("once", "twice"))]
+    rows += [(10 + k, "http://five/", page.format(f"w{k}")) for k in range(5)]
+    out = {r["page_id"]: r["text"] for r in extracted(spark.createDataFrame(rows, PAGE_FIELDS).repartition(3)).collect()}
+    assert out == {0: "The same long paragraph.\nEdited once.", 1: "The same long paragraph.\nEdited twice."} | {10 + k: f"Edited w{k}." for k in range(5)}
+
+
 def longest_common(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
