@@ -9,14 +9,15 @@ that the longer context has are excluded after an escape, and behind the empty c
 uniform choice among the bytes left. The base score is of single tokens: log10((c+0.1)/(n+0.1(v+1))).
 
 Texts are put into chunks. A chunk sends each distinct gram (ORDER+1 bytes) and word once; counts
-are summed in Spark and stay distributed; code lengths are computed in shards of two context bytes;
-and the chunk gets back the lengths of its grams and the counts of its words, so that a word or gram
+are summed in Spark and stay distributed; code lengths are computed shard by shard, each of the grams
+with the same last two context bytes; and the chunk gets back the lengths of its grams and the counts of its words, so that a word or gram
 of every document adds one row per chunk. Only tables whose size bytes bound (two bytes' counts)
 reach the driver.
 
 Defined results: null and empty texts have one token, the end; a null id counts as held out (crc32
 of the empty text is 0); repeated rows count, and are scored, each; without training texts every
-byte has the same probability; an empty table gives an empty result.
+byte has the same probability; an empty table gives an empty result; texts of any length are coded
+whole; columns of docs besides doc_id and the text play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,21 +205,45 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coded(table: DataFrame) -> DataFrame:
-    """(code, length): log10 of the probability of each gram's last byte, from (code, n)."""
+    """(chunk, code, value) for each chunk of each gram of (code, n, chunks): log10 of the probability of the gram's last byte."""
     low = table.filter("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
     pairs = np.zeros((256, 256))
     for row in low:
         pairs[divmod(row["pair"], 256)] = row["n"]
     shared = table.sparkSession.sparkContext.broadcast(pairs)
 
-    def modelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if parts:
-            code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(code_lengths(code, n, code, shared.value))], names=["code", "length"])
+    def lengths(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts)
+        code = whole.column("code").to_numpy()
+        value = code_lengths(code, whole.column("n").to_numpy(), code, shared.value)
+        at = 0
+        for part in parts:
+            chunks = part.column("chunks")
+            of = pc.list_parent_indices(chunks).to_numpy()
+            flat = chunks.flatten()
+            for a in range(0, len(of), 100_000):
+                own = of[a : a + 100_000] + at
+                yield pa.RecordBatch.from_arrays([flat.slice(a, len(own)), pa.array(code[own]), pa.array(value[own])], names=["chunk", "code", "value"])
+            at += part.num_rows
 
-    # all contexts of two bytes and more that end in the same two bytes are in one partition
-    return table.select("code", "n").repartition(F.shiftright("code", 8).bitwiseAND(0xFFFF)).mapInArrow(modelled, "code long, length double")
+    def modelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            pair = batch.column("pair").to_numpy()
+            cuts = [0, *(np.nonzero(pair[1:] != pair[:-1])[0] + 1).tolist(), len(pair)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    if held and held[-1].column("pair")[-1].as_py() != pair[a]:
+                        yield from lengths(held)
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from lengths(held)
+
+    # all contexts of two bytes and more that end in the same two bytes are neighbours
+    pair = F.shiftright("code", 8).bitwiseAND(0xFFFF)
+    rows = table.select(pair.alias("pair"), "code", "n", "chunks").repartition("pair").sortWithinPartitions("pair")
+    return rows.mapInArrow(modelled, "chunk long, code long, value double")
 
 
 def scored(docs: DataFrame, text: str = "text", modulus: int = 10) -> DataFrame:
@@ -235,7 +261,7 @@ def scored(docs: DataFrame, text: str = "text", modulus: int = 10) -> DataFrame:
     table = streams.mapInArrow(_gram_counts, "chunk long, code long, n long").groupBy("code").agg(F.sum("n").alias("n"), every)
     table = staged(table, "ppm-grams")
     none = lambda kind: F.lit(None).cast(kind)
-    told = table.select("code", "chunks").join(coded(table), "code").select(F.explode("chunks").alias("chunk"), "code", none("binary").alias("word"), F.col("length").alias("value"))
+    told = coded(table).select("chunk", "code", none("binary").alias("word"), "value")
     told = told.unionByName(words.select(F.explode("chunks").alias("chunk"), none("long").alias("code"), "word", F.col("n").cast("double").alias("value")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
