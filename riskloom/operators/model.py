@@ -22,7 +22,7 @@ from riskloom.functions.links import Link, get_link
 from riskloom.functions.special import chi2_sf, lgamma_np, normal_cdf, normal_quantile, t_sf2
 from riskloom.operators import metrics, solvers
 from riskloom.operators.gram import packed, row_sums
-from riskloom.operators.prefix import finite
+from riskloom.operators.prefix import finite, released
 from riskloom.plans.spec import ModelSpec
 
 STATE_VERSION = 1
@@ -228,8 +228,9 @@ class GLM:
     def frame(self) -> Frame:
         self.spec.fit(self.data, self.exposure)
         training = {"y": self.spec.response, "exposure": self.exposure, "row_id": self.row_id, "seed": self.seed}
-        design = self.spec.design(self.data, training)
-        return Frame(design, F.col(self.spec.response), self.weights, self.offset)
+        with released():  # what encodings keep is not needed once the frame is
+            design = self.spec.design(self.data, training)
+            return Frame(design, F.col(self.spec.response), self.weights, self.offset)
 
     def fit(
         self, alpha: float = 0.0, l1_ratio: float = 0.0, max_iter: int = 25, tol: float = 1e-8, cv: int | None = None, selection: str = "min", n_alphas: int = 20,
