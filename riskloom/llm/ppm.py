@@ -38,6 +38,8 @@ from riskloom.llm.common import LOWER_BYTES, prepare, remainder, remainder_col,
 ORDER = 5
 #: Bytes of streams in a chunk, in a piece of it whose grams are counted at once, and in one that is coded at once.
 CHUNK_BYTES, PIECE_BYTES, CODED_BYTES = 24 << 20, 2 << 20, 1 << 19
+#: Grams of chunks that are put into rows at once.
+PACKED = 1 << 20
 #: Texts in a chunk.
 CHUNK_DOCS = 65_536
 END = b"\n"  # no word has white space
@@ -204,29 +206,59 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
+def _packed(chunk: np.ndarray, code: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row per chunk with its grams' codes (sorted, as differences) and lengths."""
+    if len(chunk):
+        order = np.lexsort((code, chunk))
+        chunk, code, value = chunk[order], code[order], value[order]
+        ends = [*(np.nonzero(chunk[1:] != chunk[:-1])[0] + 1).tolist(), len(chunk)]
+        starts = [0, *ends[:-1]]
+        rows = [(chunk[a], np.diff(code[a:b], prepend=0).tobytes(), value[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+        columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "codes", "lengths"])
+
+
+def _unpacked(codes: list[bytes], lengths: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of _packed() rows of one chunk, sorted, and their lengths."""
+    if not codes:
+        return np.zeros(0, np.int64), np.zeros(0)
+    code = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in codes])
+    order = np.argsort(code)
+    return code[order], np.frombuffer(b"".join(lengths))[order]
+
+
 def coded(table: DataFrame) -> DataFrame:
-    """(chunk, code, value) for each chunk of each gram of (code, n, chunks): log10 of the probability of the gram's last byte."""
+    """(chunk, codes, lengths), as _packed(), of the grams of (code, n, chunks): log10 of the probability of a gram's last byte, for each of its chunks."""
     low = table.filter("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
     pairs = np.zeros((256, 256))
     for row in low:
         pairs[divmod(row["pair"], 256)] = row["n"]
     shared = table.sparkSession.sparkContext.broadcast(pairs)
 
-    def lengths(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lengths(parts: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         whole = pa.Table.from_batches(parts)
         code = whole.column("code").to_numpy()
         value = code_lengths(code, whole.column("n").to_numpy(), code, shared.value)
         at = 0
         for part in parts:
             chunks = part.column("chunks")
-            of = pc.list_parent_indices(chunks).to_numpy()
-            flat = chunks.flatten()
-            for a in range(0, len(of), 100_000):
-                own = of[a : a + 100_000] + at
-                yield pa.RecordBatch.from_arrays([flat.slice(a, len(own)), pa.array(code[own]), pa.array(value[own])], names=["chunk", "code", "value"])
+            own = pc.list_parent_indices(chunks).to_numpy() + at
+            yield chunks.flatten().to_numpy(), code[own], value[own]
             at += part.num_rows
 
     def modelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
+        for triple in by_pair(batches):
+            done.append(triple)
+            n += len(triple[0])
+            if n >= PACKED:
+                yield from _packed(*map(np.concatenate, zip(*done, strict=True)))
+                done, n = [], 0
+        if done:
+            yield from _packed(*map(np.concatenate, zip(*done, strict=True)))
+
+    def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             pair = batch.column("pair").to_numpy()
@@ -243,7 +275,7 @@ def coded(table: DataFrame) -> DataFrame:
     # all contexts of two bytes and more that end in the same two bytes are neighbours
     pair = F.shiftright("code", 8).bitwiseAND(0xFFFF)
     rows = table.select(pair.alias("pair"), "code", "n", "chunks").repartition("pair").sortWithinPartitions("pair")
-    return rows.mapInArrow(modelled, "chunk long, code long, value double")
+    return rows.mapInArrow(modelled, "chunk long, codes binary, lengths binary")
 
 
 def scored(docs: DataFrame, text: str = "text", modulus: int = 10) -> DataFrame:
@@ -261,18 +293,14 @@ def scored(docs: DataFrame, text: str = "text", modulus: int = 10) -> DataFrame:
     table = streams.mapInArrow(_gram_counts, "chunk long, code long, n long").groupBy("code").agg(F.sum("n").alias("n"), every)
     table = staged(table, "ppm-grams")
     none = lambda kind: F.lit(None).cast(kind)
-    told = coded(table).select("chunk", "code", none("binary").alias("word"), "value")
-    told = told.unionByName(words.select(F.explode("chunks").alias("chunk"), none("long").alias("code"), "word", F.col("n").cast("double").alias("value")))
+    told = coded(table).select("chunk", "codes", "lengths", none("binary").alias("word"), none("long").alias("n"))
+    told = told.unionByName(words.select(F.explode("chunks").alias("chunk"), none("binary").alias("codes"), none("binary").alias("lengths"), "word", "n"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        value = right.column("value").to_numpy()
-        gram = right.column("code").is_valid().to_numpy()
-        codes, at = np.unique(right.column("code").drop_null().to_numpy(), return_index=True)
-        lengths = value[gram][at]
+        codes, lengths = _unpacked(right.column("codes").drop_null().to_pylist(), right.column("lengths").drop_null().to_pylist())
         numbers = {w: k for k, w in enumerate(right.column("word").drop_null().to_pylist())}
-        count = value[~gram]
+        count = right.column("n").drop_null().to_numpy()
         base = np.log10((count + 0.1) / below)
-        del gram, value
         texts = left.column("stream").to_pylist()
         score, known, plain, sizes = np.zeros(len(texts)), np.full(len(texts), int(ends > 0)), np.full(len(texts), math.log10((ends + 0.1) / below)), np.ones(len(texts), np.int64)
         for k, x in enumerate(texts):
