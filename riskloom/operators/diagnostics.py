@@ -12,6 +12,7 @@ from riskloom.errors import LinearAlgebraError
 from riskloom.functions.special import chi2_sf
 from riskloom.operators.factors import level
 from riskloom.operators.gram import packed, row_sums
+from riskloom.operators.prefix import keep, released
 from riskloom.plans.spec import ModelSpec
 
 #: Variances below this are those of a constant; a design's condition number and a correlation above these are a problem.
@@ -141,11 +142,12 @@ def score_test_levels(model, df: DataFrame, factor: Column) -> dict:
 
 
 def score_test_encoded(model, df: DataFrame, factor: Column, exposure: Column | None = None) -> dict:
-    """The same with one degree of freedom: of the levels' mean rates as a number."""
+    """The same with one degree of freedom: of the levels' mean rates as a number. One aggregate by level, of which one row reaches the driver."""
     rate = F.col(model.spec.response).cast("double") / (F.lit(1.0) if exposure is None else F.greatest(exposure.cast("double"), F.lit(1e-10)))
-    means = df.groupBy(level(factor).alias("_level")).agg(F.avg(rate).alias("_z"))
-    coded = df.withColumn("_key", level(factor)).join(means, F.col("_key") == F.col("_level"))
-    return model.score_test(coded, F.col("_z"))
+    wx = F.array(*[F.sum(F.col("_w") * F.get("_x", F.lit(j))) for j in range(len(model.names))])
+    sums = _working(model, df).groupBy(level(factor).alias("_level")).agg(F.avg(rate).alias("_z"), F.sum("_u").alias("_u"), F.sum("_w").alias("_w"), wx.alias("_wx"))
+    with released():
+        return model.score_of(keep(sums))
 
 
 def sorted_coefficients(model) -> list[dict]:

@@ -519,14 +519,26 @@ class Model:
         return out
 
     def score_test(self, df: DataFrame, z: Column) -> dict:
-        """Rao test of a numeric column that the model lacks: one pass for U, z'Wz and X'Wz."""
+        """Rao test of a numeric column that the model lacks, on the rows of the fit: a pass for z's mean and one for U, z'Wz and X'Wz."""
         scored = self.eta(df).withColumn("_mu", self.family.clamp(self.link.inverse(F.col("_eta"))))
         g = self.link.slope(F.col("_mu"))
         v = self.family.variance(F.col("_mu"))
         w = (F.lit(1.0) if self.weights is None else F.col(self.weights)) / (v * g * g)
-        y, zc = F.col(self.spec.response).cast("double"), z.cast("double")
-        cross = [F.sum(w * zc * F.get("_x", F.lit(j))) for j in range(len(self.names))]
-        row = scored.agg(F.sum(w * g * zc * (y - F.col("_mu"))), F.sum(w * zc * zc), *cross).first()
+        y = F.col(self.spec.response).cast("double")
+        wx = F.transform("_x", lambda x: w * x)
+        return self.score_of(scored.select(z.cast("double").alias("_z"), (w * g * (y - F.col("_mu"))).alias("_u"), w.alias("_w"), wx.alias("_wx")))
+
+    def score_of(self, sums: DataFrame) -> dict:
+        """The same from rows, or sums over rows of equal _z, of the score's weight _u, the weight _w and the weighted design _wx.
+
+        z is taken less its weighted mean where there is an intercept: the statistic is the same, as nothing penalises
+        an intercept, and sums of a z far from 0 would lose its variance to rounding.
+        """
+        z = F.coalesce("_z", F.lit(0.0))
+        mean = sums.agg(F.sum(F.col("_w") * z) / F.sum("_w")).first()[0] if self.spec.intercept else None
+        z = z - F.lit(mean or 0.0)
+        cross = [F.sum(z * F.get("_wx", F.lit(j))) for j in range(len(self.names))]
+        row = sums.agg(F.sum(F.col("_u") * z), F.sum(F.col("_w") * z * z), *cross).first()
         u, zz, xz = row[0], row[1], np.array(row[2:])
         info = (zz - xz @ self.fit.cov @ xz) * self.scale
         stat = u * u / info if info > 1e-10 else 0.0

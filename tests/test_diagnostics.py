@@ -1,6 +1,7 @@
 """Diagnostics of designs, terms and reports; exports outside the knots; prefix sums within hot keys; extension points."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -43,6 +44,54 @@ def test_score_tests_of_factors(data):
     assert diagnostics.score_test_encoded(m, data, F.col("f"))["statistic"] == pytest.approx(u * u / info, rel=1e-6)
 
 
+def exact_encoded(pairs):
+    """The score statistic of the levels' means in a Poisson model of the mean, in fractions of whole numbers."""
+    each = {}
+    for f, y in pairs:
+        each.setdefault(f, []).append(int(y))
+    n, m = len(pairs), Fraction(sum(sum(v) for v in each.values()), len(pairs))
+    z = [(Fraction(sum(v), len(v)), len(v)) for v in each.values()]
+    u = sum(a * k * (a - m) for a, k in z)
+    return float(u * u / (m * sum(a * a * k for a, k in z) - m * sum(a * k for a, k in z) ** 2 / n))
+
+
+def test_encoded_score_test_of_near_means(spark, tmp_path):
+    """Levels whose means differ by little beside their size: the operator and the query keep the digits of exact sums."""
+    import __spark_entry__ as entry
+
+    pairs = [("ABC"[k % 3], 1e9 + 1e4 * (k % 3) + k * 37 % 101) for k in range(3000)]
+    t = spark.createDataFrame(pairs, "f string, y double").repartition(3)
+    m = GLM("y", {}, t, family="poisson").fit()
+    assert diagnostics.score_test_encoded(m, t, F.col("f"))["statistic"] == pytest.approx(exact_encoded(pairs), rel=1e-9)
+    lines = t.select(F.col("y").alias("l_quantity"), F.col("f").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), F.lit(1).alias("l_linenumber"), *[F.lit(0.0).alias(f"l_{k}") for k in ("extendedprice", "discount", "tax")])
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in entry.queries()["inf_score_cat_encoded"](spark, str(tmp_path)).select("statistic", "df").collect()] == [(pytest.approx(exact_encoded(pairs), abs=1e-5), 1)]
+
+
+@pytest.mark.parametrize("alpha", [0.0, 5.0])
+def test_score_test_of_a_shifted_number(data, alpha):
+    """An intercept takes up a constant, penalised model or not; a constant itself tests nothing."""
+    m = GLM("y", {"x": LINEAR}, data, family="poisson").fit(alpha=alpha, tol=1e-14)
+    want = m.score_test(data, F.col("z"))["statistic"]
+    assert want > 1
+    assert m.score_test(data, F.col("z") + 2.0**27)["statistic"] == pytest.approx(want, rel=1e-6)
+    assert m.score_test(data, F.lit(12345.678))["statistic"] == 0.0
+
+
+def test_score_test_of_nulls_and_without_intercept(data):
+    """Against matrices: a null counts as 0, and without an intercept nothing is taken off."""
+    r = rows()
+    y, x = np.array([a[1] for a in r]), np.array([a[2] for a in r])
+    z = np.array([0.0 if k % 7 == 0 else a[3] + 3 for k, a in enumerate(r)])
+    for intercept in (True, False):
+        m = GLM("y", {"x": LINEAR}, data, family="poisson", intercept=intercept).fit(tol=1e-14)
+        d = np.column_stack([np.ones(len(x)), x]) if intercept else x[:, None]
+        mu = np.exp(d @ m.fit.beta)
+        xz = d.T @ (mu * z)
+        want = (z @ (y - mu)) ** 2 / (z @ (mu * z) - xz @ np.linalg.inv(d.T @ (mu[:, None] * d)) @ xz)
+        assert m.score_test(data, F.when(F.col("id") % 7 != 0, F.col("z") + 3))["statistic"] == pytest.approx(want, rel=1e-6)
+
+
 def test_smooth_terms(data):
     """Each term has its own degrees of freedom, and they are what the whole has, but for the rest."""
     m = GLM("y", {"x": {"type": "bs", "k": 9}, "z": {"type": "bs", "k": 6}, "f": FACTOR}, data, family="poisson").fit()
